@@ -331,6 +331,8 @@ def find_items(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[int,
             while last + 1 < len(path) and LABELS[path[last + 1]] == f"I-{label[2:]}":
                 last += 1
             a, b = spans[k][0], spans[last][1]
+            if label[2:] == "phone" and a and (line[a - 1] == "+" or line[a - 1] == "(" and ")" in line[a:b]):
+                a -= 1  # the sign or bracket that opens a number belongs to it
             skip, good = accept(label[2:], line[a:b])
             if good:
                 out[i].append((at + a + skip, at + b, label[2:]))
