@@ -59,3 +59,27 @@ def spread(df: DataFrame) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the session, wherever they run."""
+    context = spark.sparkContext
+    if getattr(context, "_stratawright_shipped", False):
+        return
+    import io
+    import zipfile
+
+    here = os.path.dirname(os.path.abspath(__file__))
+    content = io.BytesIO()
+    with zipfile.ZipFile(content, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, names in os.walk(here):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    archive.write(path, os.path.join("stratawright", os.path.relpath(path, here)))
+    # The driver serves the file to the executors; nothing on a worker's disk is relied on.
+    path = os.path.join(tempfile.mkdtemp(prefix="stratawright-"), "stratawright.zip")
+    with open(path, "wb") as file:
+        file.write(content.getvalue())
+    context.addPyFile(path)
+    context._stratawright_shipped = True
