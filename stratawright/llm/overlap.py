@@ -31,6 +31,9 @@ from stratawright.llm.scrub import plain, romanised, unaccented
 from stratawright.session import cut, spread
 
 BANDS, ROWS = 14, 4
+#: Hash functions in all; a bit of each minimum makes a sketch. Of two matters of similarity s, (1 - s) / 2 of the bits differ on average, so
+#: at 0.7 more than MOST_BITS of 64 differ in 2 of 100 pairs that share a bucket, at 0.4 in 90.
+HASHES, MOST_BITS = 64, 15
 #: Least Jaccard similarity of the trigram sets of two matters. Two slips in each of two of nine words leave about 0.6.
 SIMILARITY = 0.55
 
@@ -90,7 +93,7 @@ def matter_of(title: str | None) -> tuple[str, str] | None:
 # --- minima ------------------------------------------------------------------------------------------------------------------
 
 _RNG = np.random.default_rng(20_240_611)
-_MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype="uint64") | np.uint64(1)
+_MULTIPLY = _RNG.integers(1, 1 << 63, HASHES, dtype="uint64") | np.uint64(1)
 
 
 def shingle_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -105,19 +108,22 @@ def shingle_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mixed, starts
 
 
-def band_keys(codes: list[str], words: list[str]) -> np.ndarray:
-    """BANDS bucket keys of every row, as int64."""
+def band_keys(codes: list[str], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """BANDS bucket keys and the sketch of every row, as int64."""
     hashes, starts = shingle_hashes(words)
     keys = np.empty((len(words), BANDS), "uint64")
+    sketch = np.zeros(len(words), "uint64")
     salt = pd.util.hash_array(np.array(codes, dtype=object)) if codes else np.empty(0, "uint64")
-    for band in range(BANDS):
-        key = salt * np.uint64(0xD6E8FEB86659FD93) + np.uint64((band + 1) * 0x2545F4914F6CDD1D % (1 << 64))
-        for row in range(ROWS):
-            least = np.minimum.reduceat((hashes * _MULTIPLY[band * ROWS + row]) >> np.uint64(20), starts)
+    for n in range(HASHES):
+        band, row = divmod(n, ROWS)
+        least = np.minimum.reduceat((hashes * _MULTIPLY[n]) >> np.uint64(20), starts)
+        sketch |= (least >> np.uint64(7) & np.uint64(1)) << np.uint64(n)
+        if band < BANDS:
+            key = key if row else salt * np.uint64(0xD6E8FEB86659FD93) + np.uint64((band + 1) * 0x2545F4914F6CDD1D % (1 << 64))
             key = (key ^ least) * np.uint64(0xFF51AFD7ED558CCD)
             key ^= key >> np.uint64(33)
-        keys[:, band] = key
-    return keys.view("int64")
+            keys[:, band] = key
+    return keys.view("int64"), sketch.view("int64")
 
 
 # --- verification ------------------------------------------------------------------------------------------------------------
@@ -202,14 +208,13 @@ def matter_links(found: DataFrame) -> DataFrame:
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = band_keys(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+                keys, sketch = band_keys(batch.column(1).to_pylist(), batch.column(2).to_pylist())
                 take = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *(batch.column(i).take(take) for i in (0, 3, 4))], ["key", "id", "t", "e"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(take), pa.array(np.repeat(sketch, BANDS))], ["key", "id", "sketch"])
 
-    keyed = distinct.select("matter_id", "codes", "words", "t", "e").mapInArrow(bands, "key bigint, id bigint, t boolean, e boolean")
-    train = keyed.filter("t").select("key", F.col("id").alias("train_id"))
-    other = keyed.filter("e").select("key", F.col("id").alias("eval_id"))
-    pairs = train.join(other, "key").filter("train_id <> eval_id").select("train_id", "eval_id").distinct()
+    train, other = (distinct.filter(side).select("matter_id", "codes", "words").mapInArrow(bands, "key bigint, id bigint, sketch bigint") for side in ("t", "e"))
+    pairs = train.toDF("key", "train_id", "a").join(other.toDF("key", "eval_id", "b"), "key")
+    pairs = pairs.filter((F.col("train_id") != F.col("eval_id")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS)).select("train_id", "eval_id").distinct()
 
     @F.pandas_udf("boolean")
     def verified(a: pd.Series, b: pd.Series) -> pd.Series:
