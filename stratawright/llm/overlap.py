@@ -32,8 +32,8 @@ from stratawright.session import cut, spread
 
 BANDS, ROWS = 14, 4
 #: Hash functions in all; a bit of each minimum makes a sketch. Of two matters of similarity s, (1 - s) / 2 of the bits differ on average, so
-#: at 0.7 more than MOST_BITS of 64 differ in 2 of 100 pairs that share a bucket, at 0.4 in 90.
-HASHES, MOST_BITS = 64, 15
+#: at 0.7 more than MOST_BITS of 64 differ in 1 of 100 pairs that share a bucket, at 0.4 in 80.
+HASHES, MOST_BITS = 64, 16
 #: Least Jaccard similarity of the trigram sets of two matters. Two slips in each of two of nine words leave about 0.6.
 SIMILARITY = 0.55
 
@@ -184,7 +184,7 @@ def split_name(column: str | Column) -> Column:
 
 
 def matters(posts: DataFrame) -> DataFrame:
-    """post_id, split, subreddit, codes, words, matter_id of every row that takes part."""
+    """post_id, split, subreddit, codes, words, matter_id, train of every row that takes part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,12 +197,12 @@ def matters(posts: DataFrame) -> DataFrame:
     rows = posts.select(F.col("post_id").cast("string"), split_name("split").alias("split"), F.col("subreddit").cast("string"), "title")
     rows = spread(rows.filter("post_id is not null and split is not null and title is not null"))
     found = rows.mapInArrow(run, "post_id string, split string, subreddit string, codes string, words string")
-    return found.withColumn("matter_id", F.xxhash64("codes", "words"))
+    return found.withColumn("matter_id", F.xxhash64("codes", "words")).withColumn("train", F.col("split") == "train")
 
 
 def matter_links(found: DataFrame) -> DataFrame:
     """Distinct (train_id, eval_id) of matters that are one, an identical one included. ``found`` should be a stored table."""
-    distinct = found.groupBy("matter_id").agg(F.first("codes").alias("codes"), F.first("words").alias("words"), F.max(F.col("split") == "train").alias("t"), F.max(F.col("split") != "train").alias("e"))
+    distinct = found.groupBy("matter_id").agg(F.first("codes").alias("codes"), F.first("words").alias("words"), F.max("train").alias("t"), F.max(~F.col("train")).alias("e"))
     distinct = cut(distinct)
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,10 +229,10 @@ def matter_links(found: DataFrame) -> DataFrame:
 
 def overlapping_pairs(posts: DataFrame) -> DataFrame:
     """post_id_a < post_id_b: every pair of a train and an evaluation post on one matter."""
-    found = cut(matters(posts))
+    found = cut(matters(posts).select("post_id", "train", "matter_id", "codes", "words"))
     links = matter_links(found)
-    train = found.filter("split = 'train'").select(F.col("matter_id").alias("train_id"), F.col("post_id").alias("a"))
-    other = found.filter("split <> 'train'").select(F.col("matter_id").alias("eval_id"), F.col("post_id").alias("b"))
+    train = found.filter("train").select(F.col("matter_id").alias("train_id"), F.col("post_id").alias("a"))
+    other = found.filter("not train").select(F.col("matter_id").alias("eval_id"), F.col("post_id").alias("b"))
     pairs = other.join(links, "eval_id").join(train, "train_id").filter("a <> b")
     return pairs.select(F.least("a", "b").alias("post_id_a"), F.greatest("a", "b").alias("post_id_b")).distinct()
 
