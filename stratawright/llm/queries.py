@@ -52,8 +52,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    posts = read_table(spark, sf_dir, "posts")
-    return toxicity.long_form(toxicity.scores(posts, toxicity.train(posts, read_table(spark, sf_dir, "content_labels"))))
+    return toxicity.long_form(toxicity.scores(*toxicity.train(read_table(spark, sf_dir, "posts"), read_table(spark, sf_dir, "content_labels"))))
 
 
 def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:

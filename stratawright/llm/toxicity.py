@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratawright.llm.scrub import plain, romanised, unaccented
-from stratawright.session import spread
+from stratawright.session import cut, spread
 
 CATEGORIES = ("abusive", "hateful", "sexual")
 #: Most labelled posts that the classifier is fitted on.
@@ -107,9 +107,6 @@ class Model:
     scale: np.ndarray
     threshold: np.ndarray
 
-    def ids(self, texts: list[str | None], memory: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        return word_ids(texts, self.words, memory)
-
     def token_scores(self, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Score of every token: its own and that of the pair that it ends. ``first`` marks the first token of each text."""
         scores = self.single[ids]
@@ -120,12 +117,11 @@ class Model:
             scores[hit + 1] += self.pair_scores[at[hit]]
         return scores - DRIFT
 
-    def best(self, texts: list[str | None], memory: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    def best(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best passage score of every text by category, and the number of tokens of every text."""
-        ids, ends = self.ids(texts, memory)
         starts = np.concatenate([[0], ends[:-1]]).astype("int64")
         lengths = ends - starts
-        out = np.zeros((len(texts), len(CATEGORIES)))
+        out = np.zeros((len(ends), len(CATEGORIES)))
         some = np.flatnonzero(lengths)
         if not len(some):
             return out, lengths
@@ -185,7 +181,7 @@ class Evidence:
         def odds(ids: np.ndarray, places: np.ndarray, size: int, everywhere: np.ndarray) -> np.ndarray:
             within = inside[places]
             a = self._docs(ids[within], self.doc[places[within]], size)
-            b = np.maximum(everywhere - a, self._docs(ids[~within], self.doc[places[~within]], size))
+            b = np.maximum(everywhere - a, 0)
             other = max(corpus.rows - cases, 1)
             alpha = np.maximum(PRIOR * everywhere / max(corpus.rows, 1), 1e-3)
             first = (a + alpha) / np.maximum(cases + PRIOR - a - alpha, 0.5)
@@ -214,7 +210,7 @@ def fit_weights(posts: list[list[int]], labels: np.ndarray, corpus: Corpus, n_wo
     ones, twos = np.zeros((n_words, len(CATEGORIES))), np.zeros((len(proof.keys), len(CATEGORIES)))
     for c in range(len(CATEGORIES)):
         cases = np.flatnonzero(labels[:, c])
-        if not len(cases) or len(cases) == len(labels):
+        if not len(cases):
             continue
         inside = np.isin(proof.doc, cases)
         for error_of in (1.6, 1.0, 0.7, 0.7)[:ROUNDS]:
@@ -261,36 +257,62 @@ def word_ids(texts: list[str | None], known: dict[str, int], memory: dict[str, i
     return np.array(ids, "int64"), np.array(ends, "int64")
 
 
-def corpus_counts(posts: DataFrame, words: dict[str, int], keys: np.ndarray) -> Corpus:
-    """Counts over all rows: partial sums by task, one row per word and pair of the labelled posts."""
-    held = posts.sparkSession.sparkContext.broadcast((words, keys))  # bounded by MOST_LABELS posts
+def encoded(posts: DataFrame, words: dict[str, int]) -> DataFrame:
+    """post_id, subreddit, title, selftext, the texts as word ids: the texts are read and normalised once for counting and scoring."""
+    held = posts.sparkSession.sparkContext.broadcast(words)  # bounded by MOST_LABELS posts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, wanted = held.value
+        known = held.value
         memory: dict[str, int] = {}
-        seen, twice, n = np.zeros(len(known), "int64"), np.zeros(len(wanted), "int64"), 0
         for batch in batches:
-            ids, ends = word_ids([t for both in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in both], known, memory)
-            sizes = np.diff(ends, prepend=0)
-            doc = np.repeat(np.arange(len(sizes)) // 2, sizes)
-            seen += np.bincount(np.unique(doc * len(known) + ids) % len(known), minlength=len(known))
-            if len(ids) > 1 and len(wanted):
-                pairs = ids[:-1] * len(known) + ids[1:]
-                at = np.minimum(np.searchsorted(wanted, pairs), len(wanted) - 1)
-                hit = wanted[at] == pairs
-                hit[ends[(ends > 0) & (ends < len(ids))] - 1] = False
-                twice += np.bincount(np.unique(doc[1:][hit] * len(wanted) + at[hit]) % len(wanted), minlength=len(wanted))
+            columns = []
+            for column in (2, 3):
+                ids, ends = word_ids(batch.column(column).to_pylist(), known, memory)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(ids, pa.int32())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["post_id", "subreddit", "title", "selftext"])
+
+    rows = posts.filter("post_id is not null").select(F.col("post_id").cast("string").alias("post_id"), F.col("subreddit").cast("string").alias("subreddit"), "title", "selftext")
+    return cut(spread(rows).mapInArrow(run, "post_id string, subreddit string, title array<int>, selftext array<int>"))
+
+
+def flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of all lists one behind the other, and where each list ends."""
+    offsets = lists.offsets.to_numpy().astype("int64")
+    return lists.values.to_numpy()[offsets[0] : offsets[-1]].astype("int64"), offsets[1:] - offsets[0]
+
+
+def corpus_counts(texts: DataFrame, n_words: int, keys: np.ndarray) -> Corpus:
+    """Counts over all rows: partial sums by task, one row per word and pair of the labelled posts."""
+    held = texts.sparkSession.sparkContext.broadcast(keys)  # bounded by MOST_LABELS posts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = held.value
+        seen, twice, n = np.zeros(n_words, "int64"), np.zeros(len(wanted), "int64"), 0
+        for batch in batches:
+            words, pairs = [], []
+            for column in (0, 1):
+                ids, ends = flat(batch.column(column))
+                doc = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+                words.append(doc * n_words + ids)
+                if len(ids) > 1 and len(wanted):
+                    both = ids[:-1] * n_words + ids[1:]
+                    at = np.minimum(np.searchsorted(wanted, both), len(wanted) - 1)
+                    hit = (wanted[at] == both) & (doc[1:] == doc[:-1])
+                    pairs.append(doc[1:][hit] * len(wanted) + at[hit])
+            seen += np.bincount(np.unique(np.concatenate(words)) % n_words, minlength=n_words)
+            if pairs:
+                twice += np.bincount(np.unique(np.concatenate(pairs)) % len(wanted), minlength=len(wanted))
             n += batch.num_rows
         one, two = np.flatnonzero(seen), np.flatnonzero(twice)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], one, len(seen) + two])), pa.array(np.concatenate([[n], seen[one], twice[two]]))], ["item", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], one, n_words + two])), pa.array(np.concatenate([[n], seen[one], twice[two]]))], ["item", "n"])
 
-    rows = spread(posts.select("title", "selftext")).mapInArrow(run, "item bigint, n bigint").groupBy("item").agg(F.sum("n").alias("n")).toPandas()
-    both, total = np.zeros(len(words) + len(keys)), 0
+    rows = texts.select("title", "selftext").mapInArrow(run, "item bigint, n bigint").groupBy("item").agg(F.sum("n").alias("n")).toPandas()
+    both, total = np.zeros(n_words + len(keys)), 0
     if len(rows):
         item, n = rows["item"].to_numpy("int64"), rows["n"].to_numpy("float64")
         total = int(n[item < 0].sum())
         both[item[item >= 0]] = n[item >= 0]
-    return Corpus(both[: len(words)], keys, both[len(words) :], total)
+    return Corpus(both[:n_words], keys, both[n_words:], total)
 
 
 def gumbel(best: np.ndarray, lengths: np.ndarray) -> tuple[float, float]:
@@ -323,7 +345,8 @@ def threshold(surprise: np.ndarray, truth: np.ndarray, weight: float) -> float:
     return float((value[at] + under) / 2)
 
 
-def train(posts: DataFrame, content_labels: DataFrame) -> Model:
+def train(posts: DataFrame, content_labels: DataFrame) -> tuple[Model, DataFrame]:
+    """The fitted model, and the posts as word ids."""
     frame = labelled(posts, content_labels)
     vocabulary: dict[str, int] = {"": 0}
     memory: dict[str, int] = {}
@@ -339,23 +362,25 @@ def train(posts: DataFrame, content_labels: DataFrame) -> Model:
         docs.append(ids)
     labels = frame[list(CATEGORIES)].to_numpy("int64").reshape(len(frame), len(CATEGORIES))
     n = len(vocabulary)
+    texts = encoded(posts, vocabulary)
     told = Evidence([d for d, mine in zip(docs, labels, strict=True) if mine.any()], n)
-    corpus = corpus_counts(posts, vocabulary, told.keys)
+    corpus = corpus_counts(texts, n, told.keys)
 
     def model(rows: np.ndarray) -> Model:
-        one, keys, two = fit_weights([docs[i] for i in rows], labels[rows], corpus, n)
+        mine = [i for i in rows if labels[i].any()]  # the others are in the corpus counts
+        one, keys, two = fit_weights([docs[i] for i in mine], labels[mine].reshape(len(mine), -1), corpus, n)
         size = len(CATEGORIES)
         return Model(vocabulary, one, keys, two, np.zeros(size), np.ones(size), np.zeros(size))
 
-    texts = [[t if isinstance(t, str) else None for t in pair] for pair in zip(frame["title"], frame["selftext"], strict=True)]
     fold = np.random.default_rng(SEED).permutation(len(docs)) % 2
     best, lengths = np.zeros((len(docs), len(CATEGORIES))), np.zeros(len(docs), "int64")
     for side in (0, 1):
         rows = np.flatnonzero(fold == side)
         if len(rows) and (fold != side).any():
-            held = model(np.flatnonzero(fold != side))
-            flat, sizes = held.best([t for i in rows for t in texts[i]], {})
-            best[rows] = flat.reshape(len(rows), 2, -1).max(axis=1)
+            ids = np.array([w for i in rows for w in docs[i]], "int64")
+            real = ids >= 0
+            found, sizes = model(np.flatnonzero(fold != side)).best(ids[real], np.cumsum(real)[~real])
+            best[rows] = found.reshape(len(rows), 2, -1).max(axis=1)
             lengths[rows] = sizes.reshape(len(rows), 2).sum(axis=1)
     final = model(np.arange(len(docs)))
     for c in range(len(CATEGORIES)):
@@ -363,25 +388,23 @@ def train(posts: DataFrame, content_labels: DataFrame) -> Model:
     surprise = final.surprise(best, lengths)
     for c in range(len(CATEGORIES)):
         final.threshold[c] = threshold(surprise[:, c], labels[:, c] == 1, max(1.0, corpus.rows / max(1, len(docs))))
-    return final
+    return final, texts
 
 
-def scores(posts: DataFrame, model: Model) -> DataFrame:
+def scores(model: Model, texts: DataFrame) -> DataFrame:
     """post_id, subreddit, and by category its score (surprise of the best passage) and whether it is a case. One row per row of posts."""
-    held = posts.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_LABELS posts
+    held = texts.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_LABELS posts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, memory = held.value, {}
+        own = held.value
         for batch in batches:
-            n = batch.num_rows
-            best, lengths = own.best([*batch.column(2).to_pylist(), *batch.column(3).to_pylist()], memory)
-            value = own.surprise(np.maximum(best[:n], best[n:]), lengths[:n] + lengths[n:])
+            (best, lengths), (other, more) = (own.best(*flat(batch.column(c))) for c in (2, 3))
+            value = own.surprise(np.maximum(best, other), lengths + more)
             flags = (value >= own.threshold) & (value > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(value[:, c]) for c in range(len(CATEGORIES))), *(pa.array(flags[:, c]) for c in range(len(CATEGORIES)))], ["post_id", "subreddit", *CATEGORIES, *(f"is_{c}" for c in CATEGORIES)])
 
-    rows = spread(posts.filter("post_id is not null").select(F.col("post_id").cast("string").alias("post_id"), F.col("subreddit").cast("string").alias("subreddit"), "title", "selftext"))
     kinds = "post_id string, subreddit string, " + ", ".join(f"{c} double" for c in CATEGORIES) + ", " + ", ".join(f"is_{c} boolean" for c in CATEGORIES)
-    return rows.mapInArrow(run, kinds)
+    return texts.mapInArrow(run, kinds)
 
 
 def long_form(scored: DataFrame) -> DataFrame:
@@ -393,7 +416,7 @@ def long_form(scored: DataFrame) -> DataFrame:
 
 def found(posts: DataFrame, content_labels: DataFrame) -> DataFrame:
     """post_id, category of every post outside the labelled sample that is a case."""
-    scored = scores(posts, train(posts, content_labels))
+    scored = scores(*train(posts, content_labels))
     cases = scored.filter(" or ".join(f"is_{c}" for c in CATEGORIES))
     fresh = cases.join(content_labels.select(F.col("post_id").cast("string").alias("post_id")).distinct(), "post_id", "left_anti")
     return long_form(fresh).filter("is_case").select("post_id", "category")
@@ -401,6 +424,6 @@ def found(posts: DataFrame, content_labels: DataFrame) -> DataFrame:
 
 def rates(posts: DataFrame, content_labels: DataFrame) -> DataFrame:
     """subreddit, category, posts, cases, rate."""
-    rows = long_form(scores(posts, train(posts, content_labels)))
+    rows = long_form(scores(*train(posts, content_labels)))
     counted = rows.groupBy("subreddit", "category").agg(F.count(F.lit(1)).alias("posts"), F.sum(F.col("is_case").cast("bigint")).alias("cases"))
     return counted.withColumn("rate", F.col("cases") / F.col("posts"))
