@@ -61,7 +61,7 @@ def cut(df: DataFrame) -> DataFrame:
         atexit.register(_remove_tables, spark)
     path = f"{folder}/{uuid.uuid4().hex}"
     _TABLES.add((spark.sparkContext.applicationId, folder))
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "snappy").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,7 +77,10 @@ def _remove_tables(spark: SparkSession) -> None:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Repartition rows of CPU-heavy Python stages, but only where the scan has fewer partitions than there are cores."""
+    """Repartition rows of CPU-heavy Python stages, but only where the scan has fewer partitions than there are cores.
+
+    For scans only: behind an exchange, counting the partitions would run its stages.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     have = df._jdf.queryExecution().toRdd().getNumPartitions()
     return df if have >= cores else df.repartition(max(cores * 3, have))
@@ -109,3 +112,8 @@ def ship_package(spark: SparkSession) -> None:
         file.write(content.getvalue())
     context.addPyFile(path)
     context._stratawright_shipped = True
+
+
+def wide(spark: SparkSession) -> int:
+    """Partitions for CPU-heavy stages behind an exchange, which adaptive execution would merge by their few bytes."""
+    return max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
