@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratawright.llm.scrub import plain, romanised, unaccented
-from stratawright.session import cut, spread
+from stratawright.session import cut, wide
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "tr", "ru", "ja")
 #: Corpus segments taken per language to complete its dictionary, and the most bytes of a dictionary.
@@ -175,7 +175,10 @@ def record_fields(posts: DataFrame, communities: DataFrame) -> DataFrame:
     """record_kind, record_id, field, text: the longest text of each field over the rows of a record."""
 
     def longest(df: DataFrame, kind: str, key: str, names: list[str]) -> DataFrame:
-        rows = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("record_id")).agg(*[F.max_by(n, F.struct(F.length(n), F.col(n))).alias(n) for n in names])
+        rows = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("record_id"), *names)
+        if kind == "post":
+            rows = rows.repartition(wide(df.sparkSession), "record_id")
+        rows = rows.groupBy("record_id").agg(*[F.max_by(n, F.struct(F.length(n), F.col(n))).alias(n) for n in names])
         fields = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("text")) for n in names]))
         return rows.select(F.lit(kind).alias("record_kind"), "record_id", fields.alias("f")).select("record_kind", "record_id", "f.field", "f.text")
 
@@ -283,7 +286,7 @@ def field_languages(fields: DataFrame, texts: dict[str, bytes]) -> DataFrame:
             found = [[{"lang": a, "n_chars": b, "confidence": c} for a, b, c in merge(model.field(t))] for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, kind)], ["record_kind", "record_id", "field", "langs"])
 
-    rows = spread(fields.select("record_kind", "record_id", "field", "text"))
+    rows = fields.select("record_kind", "record_id", "field", "text")
     return rows.mapInArrow(run, "record_kind string, record_id string, field string, langs array<struct<lang:string,n_chars:bigint,confidence:double>>")
 
 
@@ -304,7 +307,7 @@ def language_segments(fields: DataFrame, texts: dict[str, bytes]) -> DataFrame:
             kinds = [pa.int32(), pa.string(), pa.string(), pa.float64()]
             yield pa.RecordBatch.from_arrays([*(batch.column(i).take(at) for i in range(3)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["record_kind", "record_id", "field", "part", "segment", "lang", "confidence"])
 
-    rows = spread(fields.select("record_kind", "record_id", "field", "text"))
+    rows = fields.select("record_kind", "record_id", "field", "text")
     return rows.mapInArrow(run, "record_kind string, record_id string, field string, part int, segment string, lang string, confidence double")
 
 
