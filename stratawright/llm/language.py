@@ -120,7 +120,7 @@ class Classifier:
 
     def segment(self, segment: str) -> tuple[str | None, float]:
         """Language or None, and a confidence in [0, 1]."""
-        japanese = len(JAPANESE.findall(segment))
+        japanese = 0 if segment.isascii() else len(JAPANESE.findall(segment))
         if japanese:
             latin = sum(len(w) for w in WORDS.findall(segment) if not JAPANESE.search(w))
             if KANA.search(segment) and japanese >= 6 and japanese * 2 > latin:

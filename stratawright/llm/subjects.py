@@ -32,7 +32,7 @@ from stratawright.llm.scrub import plain, romanised, unaccented
 from stratawright.session import spread
 
 #: Hashed features, rounds over all documents, most labelled documents.
-FEATURES, ROUNDS, MOST_LABELS = 1 << 17, 2, 40_000
+FEATURES, ROUNDS, MOST_LABELS = 1 << 17, 2, 16_000
 SMOOTH, STRENGTH, PURITY = 1.0, 4.0, 3
 SEED, REMEMBERED = 5, 300_000
 #: Words of the neighbouring sentences count this much for a sentence.
@@ -99,6 +99,9 @@ class Reader:
         return np.array(ids, "int64"), np.array(ends, "int64"), np.array(owner, "int64")
 
 
+Read = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 @dataclass
 class Model:
     """Complement naive Bayes: ``weights`` (features, classes) are -log of the words' share outside each class, less their mean."""
@@ -124,14 +127,14 @@ class Model:
         np.exp(mixed, out=mixed)
         return mixed / mixed.sum(axis=1, keepdims=True)
 
-    def shares(self, reader: Reader, texts: list[str | None]) -> np.ndarray:
-        """Share of every text that is about each class."""
-        ids, ends, owner = reader.read(texts)
-        out = np.zeros((len(texts), len(self.names)))
+    def shares(self, read: Read, number: int) -> np.ndarray:
+        """Share of each of ``number`` texts (as read) that is about each class."""
+        ids, ends, owner = read
+        out = np.zeros((number, len(self.names)))
         if len(ends):
             size = np.diff(ends, prepend=0).astype(float)
             np.add.at(out, owner, self.posterior(ids, ends, owner) * size[:, None])
-            out /= np.maximum(np.bincount(owner, size, len(texts)), 1)[:, None]
+            out /= np.maximum(np.bincount(owner, size, number), 1)[:, None]
         return out
 
     def probability(self, share: np.ndarray) -> np.ndarray:
@@ -157,9 +160,9 @@ def complement_weights(counts: np.ndarray) -> np.ndarray:
     return np.clip(weights, -8, 8).astype("float32")
 
 
-def count_words(model: Model | None, reader: Reader, texts: list[str | None], allowed: np.ndarray, out: np.ndarray) -> None:
-    """Add to ``out`` (features, classes) the words of the texts by their sentences' posteriors."""
-    ids, ends, owner = reader.read(texts)
+def count_words(model: Model | None, read: Read, allowed: np.ndarray, out: np.ndarray) -> None:
+    """Add to ``out`` (features, classes) the words of texts (as read) by their sentences' posteriors."""
+    ids, ends, owner = read
     if not len(ends):
         return
     if model is None:
@@ -194,32 +197,39 @@ def fit(documents: DataFrame, subject_labels: DataFrame, subject_list: DataFrame
         return Model(classes, np.zeros((FEATURES, len(classes)), "float32"), threshold=2.0)
     fold = np.random.default_rng(SEED).permutation(len(frame)) % 2
 
-    def local(rows: np.ndarray, background: np.ndarray | None) -> Model:
-        """Model of the labelled documents ``rows``, over the counts of all documents if there are any."""
-        reader, model = Reader(), None
+    reader = Reader()
+    chunks = [(rows, reader.read([texts[i] for i in rows])) for side in (0, 1) for rows in np.array_split(np.flatnonzero(fold == side), max(1, len(texts) // 1000))]
+    del texts
+
+    def local(sides: tuple[int, ...], background: np.ndarray | None) -> Model:
+        """Model of the labelled documents of some folds, over the counts of all documents if there are any."""
+        model = None
         for step in range(4):
             counts = np.zeros((FEATURES, len(classes)))
-            allowed = truth[rows].copy()
-            if step:
-                allowed[:, -1] = True  # small talk occurs in every document
-            count_words(model, reader, [texts[i] for i in rows], allowed, counts)
+            for rows, read in chunks:
+                if len(rows) and fold[rows[0]] in sides:
+                    allowed = truth[rows].copy()
+                    if step:
+                        allowed[:, -1] = True  # small talk occurs in every document
+                    count_words(model, read, allowed, counts)
             if background is not None and step:
                 counts += UNLABELLED * background
             model = Model(classes, complement_weights(counts))
         return model
 
-    everything = np.arange(len(frame))
-    model = local(everything, None)
+    model = local((0, 1), None)
     background = None
-    held_ids = {k: v for k, v in zip(frame["doc_id"], map(tuple, truth), strict=True)}
+    labelled_ids = set(frame["doc_id"])
     for _ in range(ROUNDS):
-        background = expected_counts(documents, model, set(held_ids))
-        model = local(everything, background)
+        background = expected_counts(documents, model, labelled_ids)
+        model = local((0, 1), background)
     share = np.zeros((len(frame), len(classes)))
     for side in (0, 1):
         if (fold == side).any() and (fold != side).any():
-            rows = np.flatnonzero(fold == side)
-            share[rows] = local(np.flatnonzero(fold != side), background).shares(Reader(), [texts[i] for i in rows])
+            other = local((1 - side,), background)
+            for rows, read in chunks:
+                if len(rows) and fold[rows[0]] == side:
+                    share[rows] = other.shares(read, len(rows))
     calibrate(model, share[:, :-1].ravel(), truth[:, :-1].ravel())
     return model
 
@@ -236,7 +246,7 @@ def expected_counts(documents: DataFrame, model: Model, labelled_ids: set) -> np
             texts = [t for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if i not in skip]
             for at in range(0, len(texts), 500):
                 some = texts[at : at + 500]
-                count_words(own, reader, some, np.ones((len(some), classes), bool), counts)
+                count_words(own, reader.read(some), np.ones((len(some), classes), bool), counts)
         at = np.flatnonzero(counts.sum(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(counts[at, c].astype("float32")) for c in range(classes))], ["feature", *(f"c{c}" for c in range(classes))])
 
@@ -283,7 +293,7 @@ def subject_scores(documents: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                share = own.shares(reader, part.column(1).to_pylist())[:, :-1]
+                share = own.shares(reader.read(part.column(1).to_pylist()), part.num_rows)[:, :-1]
                 chance = own.probability(share)
                 doc, subject = np.nonzero(share >= 0.01)
                 flag = chance[doc, subject] >= own.threshold
