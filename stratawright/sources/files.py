@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from stratawright.functions import text
 
-#: Headers that mean the same field.
+#: Headers that mean the same field, in small letters.
 POST_ALIASES = {
-    "id": ["id", "post_id"], "permalink": ["permalink", "url"], "subreddit": ["subreddit_name", "subreddit", "label"], "title": ["title", "Title"],
+    "id": ["id", "post_id"], "permalink": ["permalink", "url"], "subreddit": ["subreddit_name", "subreddit", "label"], "title": ["title", "title__2"],
     "selftext": ["text", "selftext", "body"], "created": ["create_time", "created_utc", "created"],
 }
 COMMUNITY_ALIASES = {"community_id": ["community_id", "subreddit_name", "subreddit", "name"], "public_description": ["public_description", "description"]}
@@ -38,28 +38,35 @@ def discover_csvs(paths: Iterable[str]) -> list[str]:
     return sorted(found)
 
 
+def column_names(header: list[str]) -> list[str]:
+    """Names without regard to case: a spelling in small letters keeps its name, further spellings of it get ``__2``, ``__3`` ..."""
+    order = sorted(range(len(header)), key=lambda i: (header[i] != header[i].lower(), i))
+    seen: dict[str, int] = {}
+    out = [""] * len(header)
+    for i in order:
+        low = header[i].strip().lower()
+        seen[low] = seen.get(low, 0) + 1
+        out[i] = low if seen[low] == 1 else f"{low}__{seen[low]}"
+    return out
+
+
 def read_csvs(spark: SparkSession, files: list[str]) -> DataFrame:
     """All columns of all files as text, with ``seq``, the order of reading.
 
-    Every file has its own header, and headers differ by case, so each file is read by itself with case-sensitive names. Quoted line ends
+    Every file has its own header, so each file is read by itself, under names that do not differ by case only. Quoted line ends
     need one task per file; split large exports into several files.
     """
-    before = spark.conf.get("spark.sql.caseSensitive")
-    spark.conf.set("spark.sql.caseSensitive", "true")
-    try:
-        parts = []
-        for number, file in enumerate(files):
-            with open(file, encoding="utf-8-sig", newline="") as head:
-                names = next(csv.reader(head), [])
-            schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-            rows = spark.read.schema(schema).csv(file, header=True, multiLine=True, escape='"', enforceSchema=True, encoding="UTF-8")
-            parts.append(rows.withColumn("seq", F.lit(number).cast("bigint") * F.lit(1 << 40) + F.monotonically_increasing_id()))
-        out = parts[0]
-        for part in parts[1:]:
-            out = out.unionByName(part, allowMissingColumns=True)
-        return out
-    finally:
-        spark.conf.set("spark.sql.caseSensitive", before)
+    parts = []
+    for number, file in enumerate(files):
+        with open(file, encoding="utf-8-sig", newline="") as head:
+            names = column_names(next(csv.reader(head), []))
+        schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+        rows = spark.read.schema(schema).csv(file, header=True, multiLine=True, escape='"', enforceSchema=True, encoding="UTF-8")
+        parts.append(rows.withColumn("seq", F.lit(number).cast("bigint") * F.lit(1 << 40) + F.monotonically_increasing_id()))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
 
 
 def read_posts(spark: SparkSession, paths: Iterable[str], title_only: bool = False) -> tuple[DataFrame, DataFrame]:
