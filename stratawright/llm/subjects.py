@@ -155,7 +155,9 @@ def complement_weights(counts: np.ndarray) -> np.ndarray:
     weights -= weights.mean(axis=1, keepdims=True)
     part = (level + 1e-9) / (level + 1e-9).sum(axis=1, keepdims=True)
     even = -(part * np.log(part)).sum(axis=1) / np.log(counts.shape[1])
-    weights *= STRENGTH * (1 - even[:, None]) ** PURITY
+    pure = np.clip(1 - even, 0, 1)
+    pure /= max(float(pure[counts.sum(axis=1) >= 5].max(initial=0.0)), 1e-6)  # the clearest of the common words counts in full
+    weights *= STRENGTH * np.minimum(pure, 1.0)[:, None] ** PURITY
     weights[counts.sum(axis=1) == 0] = 0
     return np.clip(weights, -8, 8).astype("float32")
 

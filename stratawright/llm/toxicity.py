@@ -368,7 +368,7 @@ def train(posts: DataFrame, content_labels: DataFrame) -> tuple[Model, DataFrame
 
     def model(rows: np.ndarray) -> Model:
         mine = [i for i in rows if labels[i].any()]  # the others are in the corpus counts
-        one, keys, two = fit_weights([docs[i] for i in mine], labels[mine].reshape(len(mine), -1), corpus, n)
+        one, keys, two = fit_weights([docs[i] for i in mine], labels[mine].reshape(len(mine), len(CATEGORIES)), corpus, n)
         size = len(CATEGORIES)
         return Model(vocabulary, one, keys, two, np.zeros(size), np.ones(size), np.zeros(size))
 
