@@ -146,7 +146,7 @@ class Classifier:
     def field(self, text: str | None) -> list[tuple[str, str, float]]:
         """(segment, language or "", confidence) of every segment of a field."""
         found = [(s, name or "", sure) for s in segments(text) for name, sure in [self.segment(s)]]
-        doubtful = [s for s, name, _ in found if not name and not JAPANESE.search(s)]
+        doubtful = [s for s, name, _ in found if not name and (s.isascii() or not JAPANESE.search(s))]
         if doubtful:  # what is too short to tell alone may be told together, unless the field's languages account for it
             letters = " ".join(map(folded, doubtful))
             if letters.count(" ") + 1 >= LEAST_WORDS and len(letters) >= 2 * LEAST_LETTERS:
@@ -264,6 +264,10 @@ def _classifier(texts: dict[str, bytes]) -> Classifier:
 
 def merge(found: Iterable[tuple[str, str, float]]) -> list[tuple[str, int, float]]:
     """(language, characters, confidence) of a field; the confidence is the mean over its segments by their letters."""
+    found = list(found)
+    if found and all(name == found[0][1] for _, name, _ in found):  # most fields have one language
+        n = sum(len(segment) for segment, _, _ in found)
+        return [(found[0][1], n, sum(len(s) * sure for s, _, sure in found) / n)] if found[0][1] else []
     letters: dict[str, int] = {}
     weight: dict[str, float] = {}
     for segment, name, sure in found:
@@ -277,14 +281,20 @@ def merge(found: Iterable[tuple[str, str, float]]) -> list[tuple[str, int, float
 
 def field_languages(fields: DataFrame, texts: dict[str, bytes]) -> DataFrame:
     """record_kind, record_id, field, langs: array of (lang, n_chars, confidence), empty if the field has no language."""
-    kind = pa.list_(pa.struct([("lang", pa.string()), ("n_chars", pa.int64()), ("confidence", pa.float64())]))
     held = fields.sparkSession.sparkContext.broadcast(texts)  # at most 11 * DICTIONARY_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _classifier(held.value)
         for batch in batches:
-            found = [[{"lang": a, "n_chars": b, "confidence": c} for a, b, c in merge(model.field(t))] for t in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(found, kind)], ["record_kind", "record_id", "field", "langs"])
+            ends, found = [0], []
+            for text in batch.column(3).to_pylist():
+                if text:
+                    found += merge(model.field(text))
+                ends.append(len(found))
+            names, sizes, sure = zip(*found, strict=True) if found else ((), (), ())
+            parts = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(sure, pa.float64())], ["lang", "n_chars", "confidence"])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), parts)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], ["record_kind", "record_id", "field", "langs"])
 
     rows = fields.select("record_kind", "record_id", "field", "text")
     return rows.mapInArrow(run, "record_kind string, record_id string, field string, langs array<struct<lang:string,n_chars:bigint,confidence:double>>")
