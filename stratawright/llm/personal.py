@@ -34,7 +34,7 @@ REACH = 3
 OFFSETS = 2 * REACH + 1
 #: Most features of a token, feature slots, token types remembered per worker.
 WIDTH, REMEMBERED = 8, 150_000
-EPOCHS, RATE, DECAY, BATCH = 7, 0.25, 1e-4, 40
+EPOCHS, RATE, DECAY, BATCH = 9, 0.25, 2e-5, 40
 #: Fewest occurrences in the table of a word that is a feature.
 KNOWN = 3
 
@@ -59,7 +59,7 @@ def features(token: str) -> list[str]:
     runs = LETTER_RUN.sub(lambda m: m[0][0] * 2, shape)
     short = DIGIT_RUN.sub(lambda m: f"d{min(len(m[0]), 12)}", runs)
     if "@" in text or "＠" in text:
-        return ["s=@", "b"]
+        return ["s=@", "b", "w=@", "e=@", "f=@", f"h={low[low.find('@') + 1 :][-4:]}"]
     out = [f"s={short[:24]}", "b", f"w={low}"]
     if low.isalpha() or "-" in low or "'" in low:
         out += [f"e={low[-3:]}", f"f={low[-4:]}"]
@@ -68,7 +68,7 @@ def features(token: str) -> list[str]:
         if runs[:2] == "Xx":
             out.append("capital")
     elif low[:1].isdigit():
-        out.append(f"n={short[:12]}:{low[:2]}")
+        out += [f"n={short[:12]}:{low[:2]}", f"r={short}", f"q={sum(c.isdigit() for c in low)}"]
     elif "d" in shape:
         out.append(f"m={runs[:1]}{low[:1]}")
     return out
@@ -259,6 +259,13 @@ def train() -> Tagger:
 #: Courtesy titles, and words of greeting that end a text before a name.
 TITLE = re.compile(r"^(?:(?:dr|mr|mrs|ms|prof|miss|sir|herr|frau|señor|señora|signor|signora|monsieur|madame|pan|pani|thanks|cheers|regards|best|signed|love|yours|hi|hello|dear)\b[.,]?\s*|[^\W\d_]{4,}[.!?:]\s+)+", re.IGNORECASE)
 HOUSE = re.compile(r"(?<![^\W_])\d+[a-z]?(?![^\W_])", re.IGNORECASE)
+#: Words of which an address has one, unless it has a postal code.
+ROADS = re.compile(
+    r"\b(?:street|st|road|rd|avenue|ave|lane|ln|drive|dr|close|court|ct|blvd|boulevard|way|place|pl|square|sq|terrace|crescent|row|hill|grove|gardens|mews|walk|alley|parkway|highway|box|apt|flat|unit|suite"
+    r"|via|viale|piazza|rue|place|chemin|rua|avenida|calle|plaza|paseo|ulica|ul|aleja|plein|kade|markt|platz|sokak|sokağı|cadde|caddesi|улица|ул|проспект|переулок)\b|c/|(?:straße|strasse|str\.|gasse|weg|allee|ring|damm|ufer|straat|laan|gracht|dijk)\b",
+    re.IGNORECASE,
+)
+POSTCODE = re.compile(r"\b\d{5}\b|\b[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}\b|\b\d{2}-\d{3}\b")
 LONE = re.compile(r"^[^\W\d_]+\s+[^\W\d_]\.?$")
 
 
@@ -283,7 +290,7 @@ def accept(kind: str, item: str) -> tuple[int, bool]:
         return 0, 7 <= digits <= 17
     if kind == "id_number":
         return 0, digits >= 5 and len(item) >= 7
-    return 0, bool(HOUSE.search(item)) and sum(c.isalpha() for c in item) >= 3
+    return 0, bool(HOUSE.search(item)) and sum(c.isalpha() for c in item) >= 3 and bool(ROADS.search(item) or POSTCODE.search(item))
 
 
 def find_items(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:

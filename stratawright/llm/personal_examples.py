@@ -24,6 +24,11 @@ My doctor is Dr. {name} and the practice is full.
 My doctor is Dr. {name}.
 Mr. {name} told Mrs. {name} to wait.
 Thanks, {name}
+Thanks, {name}
+Thanks, {name} It was a long day.
+Thanks, {name} They asked me to wait.
+Cheers, {name}
+Ask for {name} at the desk. Whoever lost a {thing} on {day}: {phone} The rest is fine.
 Best regards, {name}
 -- {name}
 - {name}
@@ -244,11 +249,11 @@ class Maker:
 
     def name(self) -> str:
         x, given, last = self.r.random(), self.r.choice(GIVEN), self.surname()
-        if x < 0.6:
+        if x < 0.52:
             text = f"{given} {last}"
-        elif x < 0.68:
+        elif x < 0.64:
             return f"{given} {given[1].upper()}. {last}"
-        elif x < 0.84:
+        elif x < 0.78:
             text = f"{last}, {given}"
         elif x < 0.96:
             return f"{given[0]}. {last}"
@@ -301,7 +306,7 @@ class Maker:
         d, r, town = self.digits, self.r, self.r.choice(TOWN)
         n, x = str(r.randint(1, 1800)), r.random()
         code = r.choice([f" 0{d(4)}", f", QX{d(1)} {d(1)}ZZ", "", "", f" {d(5)}"])
-        if x < 0.48:
+        if x < 0.42:
             unit = r.choice(["", "", f", Apt {r.randint(1, 30)}", f", Flat {r.randint(1, 9)}", f", Unit {r.randint(1, 9)}"])
             text = f"{n} {r.choice(ROAD_NAME)} {r.choice(ROAD)}{unit}" + r.choice(["", f", {town}{code}"])
         elif x < 0.62:
@@ -343,7 +348,7 @@ class Maker:
             at = b + 1
 
 
-def labelled_lines(number: int = 2600, seed: int = 11, more_without: list[str] | None = None) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def labelled_lines(number: int = 4200, seed: int = 11, more_without: list[str] | None = None) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """``number`` labelled lines: one to four of the lines above, in any order, set apart in the ways in which people do."""
     maker = Maker(seed)
     with_items, without = WITH.split("\n"), WITHOUT.split("\n") + (more_without or [])
