@@ -160,7 +160,8 @@ Some of you may remember my post from {d2} weeks ago.
 This is my {d2}th post and I am still nervous.
 I have been lurking here for {d2} months and finally made an account.
 After {d2} attempts the {thing} still fails, so I decided to give up.
-We compared {d2} of them, and only one works.
+We compared {d2} {thing}s, and only one works. We compared {d2} unit tests.
+We compared {d2} {thing}s, and only one fails in the {thing}.
 Between the {thing}, the {thing} and the {thing} I have spent {d2} weekends on this.
 There are {d2} roads and a lane between us and the shop.
 The old road was closed, so we took the avenue and then a lane.
