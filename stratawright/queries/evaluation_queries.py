@@ -161,3 +161,24 @@ def M1_supervised_baseline(spark, d):
 
     e = read_table(spark, d, "embeddings")
     return supervised_baseline(e.select("vec_id", F.col("embedding").alias("vector"), F.col("label").cast("string").alias("label")), "vec_id", max_iter=30)
+
+
+@query()
+def A24_baseline_accuracy(spark, d):
+    """Rows only: bootstrap with one seed for every slice; held against numpy in the tests."""
+    from stratawright.operators.baseline import baseline_accuracy
+
+    return baseline_accuracy(predictions(spark, d), ["difficulty", "k"], 200, 7)
+
+
+@query()
+def M2_sanity(spark, d):
+    """Fixed examples through the word-overlap scorer, per representation."""
+    from stratawright.plans.pipeline import sanity
+    from stratawright.scoring.scorer import WordOverlap
+
+    about = {r.subject: r.about for r in read_table(spark, d, "subject_list").orderBy("subject").collect()}  # sixteen rows
+    names = list(about)
+    examples = [{"title": about[n], "target": n, "candidates": [names[(i + j) % len(names)] for j in range(4)]} for i, n in enumerate(names)]
+    rows = sanity(WordOverlap(), {"min_accuracy": 0.8, "communities": about, "examples": examples})
+    return spark.createDataFrame([(r["representation"], r["correct"], r["total"], r["accuracy"], r["passed"]) for r in rows], "representation string, correct int, total int, accuracy double, passed boolean")

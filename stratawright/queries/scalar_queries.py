@@ -155,12 +155,13 @@ def f_eval_split(spark, d):
     return read_table(spark, d, "instances").filter("difficulty = 'random' and lower(trim(split)) = 'test'").select("post_id", "target", "community_track")
 
 
-@query("SELECT n AS max_options, list_filter([4, 16, 64], lambda k: k <= n) AS run, list_filter([4, 16, 64], lambda k: k > n) AS skipped FROM (SELECT unnest([4, 20, 100]) AS n)")
+@query("SELECT n AS max_options, array_to_string(list_filter([4, 16, 64], lambda k: k <= n), ',') AS run, array_to_string(list_filter([4, 16, 64], lambda k: k > n), ',') AS skipped FROM (SELECT unnest([4, 20, 100]) AS n)")
 def f_k_limit(spark, d):
     """Candidate counts that a worker can take, and those that are skipped."""
     ks = F.array(F.lit(4), F.lit(16), F.lit(64))
     limits = spark.createDataFrame([(4,), (20,), (100,)], "max_options int")
-    return limits.select("max_options", F.filter(ks, lambda k: k <= F.col("max_options")).alias("run"), F.filter(ks, lambda k: k > F.col("max_options")).alias("skipped"))
+    text_of = lambda a: F.array_join(a.cast("array<string>"), ",")
+    return limits.select("max_options", text_of(F.filter(ks, lambda k: k <= F.col("max_options"))).alias("run"), text_of(F.filter(ks, lambda k: k > F.col("max_options"))).alias("skipped"))
 
 
 @query("SELECT post_id, subreddit, title FROM posts UNION ALL BY NAME SELECT community_id AS post_id, name AS subreddit, public_description AS title FROM communities")
@@ -169,11 +170,11 @@ def U1_union(spark, d):
     return _posts(spark, d).select("post_id", "subreddit", "title").unionByName(c, allowMissingColumns=True)
 
 
-@query("SELECT DISTINCT community_track, list_sort(list_distinct(list_intersect([4, 16, 64], [16, 64, 128]))) AS shared, list_sort(list_concat([4, 16], [64])) AS requested FROM negative_pools")
+@query("SELECT DISTINCT community_track, array_to_string(list_sort(list_distinct(list_intersect([4, 16, 64], [16, 64, 128]))), ',') AS shared, array_to_string(list_sort(list_concat([4, 16], [64])), ',') AS requested FROM negative_pools")
 def U3_U6_array_sets(spark, d):
     """Shared and requested candidate counts."""
     a = lambda *xs: F.array(*map(F.lit, xs))
-    return read_table(spark, d, "negative_pools").select("community_track", F.array_sort(F.array_intersect(a(4, 16, 64), a(16, 64, 128))).alias("shared"), F.array_sort(F.concat(a(4, 16), a(64))).alias("requested")).distinct()
+    return read_table(spark, d, "negative_pools").select("community_track", F.array_join(F.array_sort(F.array_intersect(a(4, 16, 64), a(16, 64, 128))).cast("array<string>"), ",").alias("shared"), F.array_join(F.array_sort(F.concat(a(4, 16), a(64))).cast("array<string>"), ",").alias("requested")).distinct()
 
 
 @query("SELECT DISTINCT target FROM instances EXCEPT SELECT target FROM negative_pools")
@@ -192,3 +193,58 @@ def U5_J10_set_equality(spark, d):
 @query("SELECT DISTINCT post_id, target, community_track FROM instances ORDER BY community_track, target, post_id")
 def O3_selected_order(spark, d):
     return read_table(spark, d, "instances").select("post_id", "target", "community_track").distinct().orderBy("community_track", "target", "post_id")
+
+
+@query("SELECT count(*) FILTER (WHERE lower(trim(split)) = 'train') AS train, count(*) FILTER (WHERE lower(trim(split)) <> 'train') AS not_train, count(*) FILTER (WHERE split IS NULL) AS unknown FROM posts")
+def f_train_f_not_train(spark, d):
+    split = F.lower(F.trim("split"))
+    return _posts(spark, d).agg(F.count_if(split == "train").alias("train"), F.count_if(split != "train").alias("not_train"), F.count_if(split.isNull()).alias("unknown"))
+
+
+@query("SELECT DISTINCT post_id, split FROM posts ORDER BY post_id, split")
+def O1_posts_order(spark, d):
+    return _posts(spark, d).select("post_id", "split").distinct().orderBy("post_id", "split")
+
+
+@query("SELECT lower(community_id) AS key, count(*) AS n FROM communities GROUP BY 1 ORDER BY 1")
+def O2_communities_order(spark, d):
+    return read_table(spark, d, "communities").groupBy(text.casefold("community_id").alias("key")).agg(F.count(F.lit(1)).alias("n")).orderBy("key")
+
+
+@query("SELECT pool_id, array_to_string(negative_pool[1:3], '|') AS prefix, negative_pool[len(negative_pool)] AS last FROM (SELECT DISTINCT pool_id, negative_pool FROM negative_pools)")
+def O5_pool_prefix(spark, d):
+    pools = read_table(spark, d, "negative_pools").select("pool_id", "negative_pool").distinct()
+    return pools.select("pool_id", F.array_join(F.slice("negative_pool", 1, 3), "|").alias("prefix"), F.try_element_at("negative_pool", F.lit(-1)).alias("last"))
+
+
+@query("SELECT community_track, difficulty, count(DISTINCT post_id) AS ids, string_agg(DISTINCT lower(trim(split)), ',' ORDER BY lower(trim(split))) AS splits FROM instances WHERE difficulty IS NOT NULL GROUP BY 1, 2")
+def A21_id_and_slice_sets(spark, d):
+    rows = read_table(spark, d, "instances").filter("difficulty is not null")
+    return rows.groupBy("community_track", "difficulty").agg(F.count_distinct("post_id").alias("ids"), F.array_join(F.array_sort(F.collect_set(F.lower(F.trim("split")))), ",").alias("splits"))
+
+
+@query("SELECT subreddit, title FROM posts WHERE lower(trim(split)) = 'train'")
+def src_parquet_projected(spark, d):
+    """Two of six columns, filtered at the scan."""
+    return _posts(spark, d).filter(F.lower(F.trim("split")) == "train").select("subreddit", "title")
+
+
+@query("SELECT n_name, coalesce(r_name, 'none') AS r_name FROM nation LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON n_regionkey = r_regionkey")
+def J14_left_outer(spark, d):
+    """The kind of join that shows models with and without a saved endpoint."""
+    n, r = read_table(spark, d, "nation"), read_table(spark, d, "region").filter("r_regionkey < 3")
+    return n.join(r, n.n_regionkey == r.r_regionkey, "left").select("n_name", F.coalesce("r_name", F.lit("none")).alias("r_name"))
+
+
+@query("SELECT * FROM (VALUES ('first-option', 'local', 'native'), ('word-overlap', 'local', 'native')) t(model, adapter, probabilities)")
+def O7_src_registry(spark, d):
+    from stratawright.sources.files import registry
+
+    return registry(spark).select("model", "adapter", "probabilities")
+
+
+@query("SELECT event_id, map_extract_value(map([0, 1], ['a', 'b']), (event_id % 2)::INTEGER) AS candidate FROM events")
+def J12_fn_label_to_candidate(spark, d):
+    labels, candidates = F.array(F.lit("l0"), F.lit("l1")), F.array(F.lit("a"), F.lit("b"))
+    choice = F.concat(F.lit("l"), (F.col("event_id") % 2).cast("string"))
+    return read_table(spark, d, "events").select("event_id", answers.label_to_candidate(labels, candidates, choice).alias("candidate"))
