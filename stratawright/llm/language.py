@@ -29,8 +29,9 @@ from stratawright.llm.scrub import plain, romanised, unaccented
 from stratawright.session import cut, wide
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "tr", "ru", "ja")
-#: Corpus segments taken per language to complete its dictionary, and the most bytes of a dictionary.
-SAMPLE, DICTIONARY_BYTES = 1500, 60_000
+#: Declared records taken per language to complete its dictionary (up to 1,000 Spark keeps the smallest hashes within each task, so the declarations
+#: of a frequent language never meet in one), and the most bytes of a dictionary.
+SAMPLE, DICTIONARY_BYTES = 1000, 60_000
 #: Least share by which the smallest encoding must undercut the next, and least letters of a segment.
 MARGIN, LEAST_LETTERS, LEAST_WORDS = 0.06, 12, 3
 #: Short matches must count, or short segments are stored as they are and all encodings have one size.
