@@ -19,7 +19,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -36,9 +35,6 @@ SAMPLE, DICTIONARY_BYTES = 1000, 60_000
 MARGIN, LEAST_LETTERS, LEAST_WORDS = 0.06, 12, 3
 #: Short matches must count, or short segments are stored as they are and all encodings have one size.
 SEARCH = {"window_log": 17, "chain_log": 16, "hash_log": 16, "search_log": 4, "min_match": 4, "target_length": 64, "strategy": zstandard.STRATEGY_DFAST}
-#: An encoding of so small a part of the letters is conclusive, the other dictionaries need not be tried: of 14,000 segments of the test
-#: data, none was encoded in 0.6 of its letters by two dictionaries.
-CONCLUSIVE = 0.55
 #: Rounds in which the dictionaries judge the declared sample anew, and the margin that it needs.
 ROUNDS, TEACHES = 3, 0.06
 #: Confidence and letters that a further language of a field needs: names alone can look foreign.
@@ -97,27 +93,13 @@ class Classifier:
             content.precompute_compress(compression_params=settings)
             self.coders.append(zstandard.ZstdCompressor(dict_data=content, compression_params=settings).compress)
         self.memory: dict[str, tuple[str | None, float]] = {}
-        self.last = 0
 
     def score(self, letters: str) -> tuple[str, float]:
         """Language and margin of a folded segment."""
         data = letters.encode()
         sizes = [len(coder(data)) for coder in self.coders]
-        order = np.argsort(sizes, kind="stable")
-        best, second = sizes[order[0]], sizes[order[1]]
-        return self.languages[order[0]], (second - best) / max(1, second)
-
-    def decide(self, letters: str) -> tuple[str, float]:
-        """Like score, but ends at a conclusive encoding; the language found last is tried first."""
-        data = letters.encode()
-        enough = CONCLUSIVE * len(data)
-        if len(self.coders[self.last](data)) <= enough:
-            return self.languages[self.last], 2 * MARGIN
-        for i, coder in enumerate(self.coders):
-            if i != self.last and len(coder(data)) <= enough:
-                self.last = i
-                return self.languages[i], 2 * MARGIN
-        return self.score(letters)
+        best, second = sorted(sizes)[:2]
+        return self.languages[sizes.index(best)], (second - best) / max(1, second)
 
     def segment(self, segment: str) -> tuple[str | None, float]:
         """Language or None, and a confidence in [0, 1]."""
@@ -137,7 +119,7 @@ class Classifier:
         if letters.count(" ") + 1 < LEAST_WORDS or len(letters) - letters.count(" ") < LEAST_LETTERS:
             answer: tuple[str | None, float] = (None, 0.0)
         else:
-            name, margin = self.decide(letters)
+            name, margin = self.score(letters)
             answer = (name if margin >= MARGIN else None, min(1.0, margin / (2 * MARGIN)))
         if len(self.memory) >= REMEMBERED:
             self.memory.clear()

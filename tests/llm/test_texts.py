@@ -94,6 +94,15 @@ def test_long_text_is_read_whole(classifier):
     assert {name for name, _, _ in language.merge(classifier.field(text))} == {"en", "de"}
 
 
+def test_every_dictionary_is_tried(classifier):
+    for letters in ("zorvik lumbek tarnow quidel " * 12, "brelport vasmora melport dunkeld " * 20):
+        name, margin = classifier.score(language.folded(letters))
+        assert margin < language.MARGIN and classifier.segment(letters) == (None, margin / (2 * language.MARGIN))
+    letters = "nobody here could tell me why it does not work any more " * 2
+    name, margin = classifier.score(language.folded(letters))
+    assert (name, margin >= language.MARGIN) == ("en", True) and classifier.segment(letters) == ("en", min(1.0, margin / (2 * language.MARGIN)))
+
+
 def test_declared_codes(spark):
     values = ["en", "en_GB", "EN", " English ", "es-419", "deutsch", "ger", "pt-BR", "", "und", None, "klingon", "ja-JP"]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "lang string").select(language.declared_code("lang")).collect()]
