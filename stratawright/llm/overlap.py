@@ -30,10 +30,8 @@ from pyspark.sql import functions as F
 from stratawright.llm.scrub import plain, romanised, unaccented
 from stratawright.session import cut, spread
 
-BANDS, ROWS = 14, 4
-#: Hash functions in all; a bit of each minimum makes a sketch. Of two matters of similarity s, (1 - s) / 2 of the bits differ on average, so
-#: at 0.7 more than MOST_BITS of 64 differ in 1 of 100 pairs that share a bucket, at 0.4 in 80.
-HASHES, MOST_BITS = 64, 16
+#: Two matters of similarity s share a bucket with probability 1 - (1 - s ** ROWS) ** BANDS: 0.991 at SIMILARITY, the least that counts.
+BANDS, ROWS = 26, 3
 #: Least Jaccard similarity of the trigram sets of two matters. Two slips in each of two of nine words leave about 0.6.
 SIMILARITY = 0.55
 
@@ -93,7 +91,7 @@ def matter_of(title: str | None) -> tuple[str, str] | None:
 # --- minima ------------------------------------------------------------------------------------------------------------------
 
 _RNG = np.random.default_rng(20_240_611)
-_MULTIPLY = _RNG.integers(1, 1 << 63, HASHES, dtype="uint64") | np.uint64(1)
+_MULTIPLY = _RNG.integers(1, 1 << 63, BANDS * ROWS, dtype="uint64") | np.uint64(1)
 
 
 def shingle_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -108,22 +106,19 @@ def shingle_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return mixed, starts
 
 
-def band_keys(codes: list[str], words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """BANDS bucket keys and the sketch of every row, as int64."""
+def band_keys(codes: list[str], words: list[str]) -> np.ndarray:
+    """BANDS bucket keys of every row, as int64."""
     hashes, starts = shingle_hashes(words)
     keys = np.empty((len(words), BANDS), "uint64")
-    sketch = np.zeros(len(words), "uint64")
     salt = pd.util.hash_array(np.array(codes, dtype=object)) if codes else np.empty(0, "uint64")
-    for n in range(HASHES):
+    for n in range(BANDS * ROWS):
         band, row = divmod(n, ROWS)
         least = np.minimum.reduceat((hashes * _MULTIPLY[n]) >> np.uint64(20), starts)
-        sketch |= (least >> np.uint64(7) & np.uint64(1)) << np.uint64(n)
-        if band < BANDS:
-            key = key if row else salt * np.uint64(0xD6E8FEB86659FD93) + np.uint64((band + 1) * 0x2545F4914F6CDD1D % (1 << 64))
-            key = (key ^ least) * np.uint64(0xFF51AFD7ED558CCD)
-            key ^= key >> np.uint64(33)
-            keys[:, band] = key
-    return keys.view("int64"), sketch.view("int64")
+        key = key if row else salt * np.uint64(0xD6E8FEB86659FD93) + np.uint64((band + 1) * 0x2545F4914F6CDD1D % (1 << 64))
+        key = (key ^ least) * np.uint64(0xFF51AFD7ED558CCD)
+        key ^= key >> np.uint64(33)
+        keys[:, band] = key
+    return keys.view("int64")
 
 
 # --- verification ------------------------------------------------------------------------------------------------------------
@@ -151,9 +146,55 @@ def slips(a: str, b: str, most: int = 2) -> bool:
     return row[-1] <= most
 
 
+def _letters(word: str) -> int:
+    """Set of the letters of a word as bits; a slip changes at most one."""
+    return sum({1 << ord(c) % 64 for c in word})
+
+
+@lru_cache(maxsize=1)
+def _stops_by_letter() -> dict[str, list[tuple[str, int]]]:
+    found: dict[str, list[tuple[str, int]]] = {}
+    for word in stop_words():
+        if len(word) >= 4:
+            found.setdefault(word[0], []).append((word, _letters(word)))
+    return found
+
+
 @lru_cache(maxsize=200_000)
 def _slip_of_stop(word: str) -> bool:
-    return len(word) >= 4 and any(slips(word, s) for s in stop_words() if len(s) >= 4)
+    if len(word) < 4:
+        return False
+    mine = _letters(word)
+    return any((mine ^ letters).bit_count() <= 2 and slips(word, stop) for stop, letters in _stops_by_letter().get(word[0], ()))
+
+
+def outline(words: str) -> int:
+    """First letters of the words of a matter, as bits: in the upper 32 those that need a partner in a like matter, in the lower 32 all.
+
+    Slips leave the first letter, so each word that is no slip of a stop word has a partner with its first letter in the other matter.
+    The n-th word with a letter has a bit of its own; bits shared by chance only let more pairs through.
+    """
+    every: dict[str, int] = {}
+    firm: dict[str, int] = {}
+    bits = 0
+    for word in words.split(" "):
+        first = word[:1]
+        every[first] = n = every.get(first, 0) + 1
+        bits |= 1 << (ord(first or " ") * 11 + n * 7) % 32
+        if not _slip_of_stop(word):
+            firm[first] = n = firm.get(first, 0) + 1
+            bits |= 1 << 32 + (ord(first or " ") * 11 + n * 7) % 32
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
+def may_match(a: Column, b: Column) -> Column:
+    """Whether the outlines let two matters be one: true for every pair that same_matter accepts."""
+    low = F.lit(0xFFFFFFFF)
+
+    def unmet(x: Column, y: Column) -> Column:
+        return F.shiftrightunsigned(x, 32).bitwiseAND(F.bitwise_not(y)).bitwiseAND(low)
+
+    return (unmet(a, b) == 0) & (unmet(b, a) == 0)
 
 
 def same_matter(a: str, b: str) -> bool:
@@ -208,13 +249,15 @@ def matter_links(found: DataFrame) -> DataFrame:
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys, sketch = band_keys(batch.column(1).to_pylist(), batch.column(2).to_pylist())
+                words = batch.column(2).to_pylist()
+                keys = band_keys(batch.column(1).to_pylist(), words)
+                outlines = np.array([outline(w) for w in words], "int64")
                 take = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(take), pa.array(np.repeat(sketch, BANDS))], ["key", "id", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column(0).take(take), pa.array(np.repeat(outlines, BANDS))], ["key", "id", "outline"])
 
-    train, other = (distinct.filter(side).select("matter_id", "codes", "words").mapInArrow(bands, "key bigint, id bigint, sketch bigint") for side in ("t", "e"))
+    train, other = (distinct.filter(side).select("matter_id", "codes", "words").mapInArrow(bands, "key bigint, id bigint, outline bigint") for side in ("t", "e"))
     pairs = train.toDF("key", "train_id", "a").join(other.toDF("key", "eval_id", "b"), "key")
-    pairs = pairs.filter((F.col("train_id") != F.col("eval_id")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MOST_BITS)).select("train_id", "eval_id").distinct()
+    pairs = pairs.filter((F.col("train_id") != F.col("eval_id")) & may_match(F.col("a"), F.col("b"))).select("train_id", "eval_id").distinct()
 
     @F.pandas_udf("boolean")
     def verified(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -63,3 +63,32 @@ def test_counts_without_expanding(spark):
 def test_slips():
     assert overlap.slips("absobrs", "absorbs") and overlap.slips("dnugeeon", "dungeon") and overlap.slips("effrt", "effort")
     assert not overlap.slips("vasova", "vasmora") and not overlap.slips("brelport", "melport") and not overlap.slips("cat", "dog")
+
+
+def test_candidates_down_to_the_least_similarity(spark):
+    """Pairs just above SIMILARITY share a bucket and pass the outline filter."""
+    rng = np.random.default_rng(1)
+    letters = np.array(list("bcdfghklmnprstvz"))
+    a, b = [], []
+    while len(a) < 400:
+        words = ["".join(rng.choice(letters, rng.integers(7, 10))) for _ in range(rng.integers(3, 7))]
+        slipped = []
+        for word in words:
+            at = [int(x) for x in rng.choice(np.arange(1, len(word)), rng.integers(0, 3), replace=False)]
+            slipped.append("".join(c for i, c in enumerate(word) if i not in at))
+        one, two = (" ".join(sorted(set(w))) for w in (words, slipped))
+        x, y = overlap.trigrams(one), overlap.trigrams(two)
+        if 0.55 <= len(x & y) / len(x | y) <= 0.62 and overlap.same_matter(one, two):
+            a.append(one)
+            b.append(two)
+    shared = (overlap.band_keys([""] * 400, a) == overlap.band_keys([""] * 400, b)).any(axis=1)
+    df = spark.createDataFrame([(overlap.outline(x), overlap.outline(y)) for x, y in zip(a, b, strict=True)], "a bigint, b bigint")
+    passed = np.array([r[0] for r in df.select(overlap.may_match(df.a, df.b)).collect()])
+    assert passed.all() and shared.mean() >= 0.98
+
+
+def test_outline_tells_unlike_matters_apart(spark):
+    words = ["kitchen vormel", "garden tulvek", "kitcehn vormel", "anyoen kitchen vormel"]
+    df = spark.createDataFrame([(overlap.outline(words[0]), overlap.outline(w)) for w in words], "a bigint, b bigint")
+    assert [r[0] for r in df.select(overlap.may_match(df.a, df.b)).collect()] == [True, False, True, True]
+    assert overlap._slip_of_stop("anyoen") and not overlap._slip_of_stop("vormel")
