@@ -231,14 +231,16 @@ def fit_weights(posts: list[list[int]], labels: np.ndarray, corpus: Corpus, n_wo
     return ones, proof.keys[keep], twos[keep]
 
 
-def labelled(posts: DataFrame, content_labels: DataFrame, most: int = MOST_LABELS) -> pd.DataFrame:
-    """post_id, texts, and a column per category of at most ``most`` labelled posts."""
+def labelled(posts: DataFrame, content_labels: DataFrame, most: int = MOST_LABELS) -> tuple[pd.DataFrame, float]:
+    """post_id, texts, and a column per category of at most ``most`` labelled posts, and which part of all labelled ids these were taken from."""
     name = F.lower(F.trim(F.regexp_replace("category", r"(?U)\s+", " ")))
     rows = content_labels.filter("post_id is not null").groupBy(F.col("post_id").cast("string").alias("post_id")).agg(*[F.max((name == c).cast("int")).alias(c) for c in CATEGORIES])
+    rows = cut(rows)
+    share = min(1.0, most / max(1, rows.count()))
     few = rows.orderBy(F.xxhash64("post_id"), "post_id").limit(most)
     texts = posts.select(F.col("post_id").cast("string").alias("post_id"), "title", "selftext").join(F.broadcast(few), "post_id")  # at most ``most`` ids
     found = texts.groupBy("post_id", *CATEGORIES).agg(F.max("title").alias("title"), F.max_by("selftext", F.length("selftext")).alias("selftext"))
-    return found.toPandas().sort_values("post_id", ignore_index=True)
+    return found.toPandas().sort_values("post_id", ignore_index=True), share
 
 
 def word_ids(texts: list[str | None], known: dict[str, int], memory: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -347,7 +349,7 @@ def threshold(surprise: np.ndarray, truth: np.ndarray, weight: float) -> float:
 
 def train(posts: DataFrame, content_labels: DataFrame) -> tuple[Model, DataFrame]:
     """The fitted model, and the posts as word ids."""
-    frame = labelled(posts, content_labels)
+    frame, share = labelled(posts, content_labels)
     vocabulary: dict[str, int] = {"": 0}
     memory: dict[str, int] = {}
     docs = []
@@ -386,8 +388,9 @@ def train(posts: DataFrame, content_labels: DataFrame) -> tuple[Model, DataFrame
     for c in range(len(CATEGORIES)):
         final.location[c], final.scale[c] = gumbel(best[labels[:, c] == 0, c], lengths[labels[:, c] == 0])
     surprise = final.surprise(best, lengths)
+    weight = max(1.0, corpus.rows * share / max(1, len(docs)))  # of all labelled posts, so it does not grow where MOST_LABELS binds
     for c in range(len(CATEGORIES)):
-        final.threshold[c] = threshold(surprise[:, c], labels[:, c] == 1, max(1.0, corpus.rows / max(1, len(docs))))
+        final.threshold[c] = threshold(surprise[:, c], labels[:, c] == 1, weight)
     return final, texts
 
 

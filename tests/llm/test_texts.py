@@ -149,6 +149,16 @@ def content(spark):
     return spark.createDataFrame(posts, POSTS), spark.createDataFrame(labels + labels[:20], "post_id string, category string, score int"), bad
 
 
+def test_bound_of_labels_leaves_the_weight(spark, monkeypatch):
+    posts, labels, _ = content(spark)
+    weights = []
+    monkeypatch.setattr(toxicity, "threshold", lambda surprise, truth, weight: weights.append(weight) or 1.0)
+    for most in (40_000, 150):
+        monkeypatch.setattr(toxicity.labelled, "__defaults__", (most,))
+        toxicity.train(posts, labels)
+    assert weights[0] > 1 and weights == pytest.approx([weights[0]] * 6)
+
+
 def test_toxic_posts(spark):
     posts, labels, bad = content(spark)
     got = {(r.post_id, r.category) for r in toxicity.found(posts, labels).collect()}
