@@ -3,8 +3,9 @@
 Method: maximum-scoring segment search. Tokens are words and pairs of neighbouring words. Each token has, per category, its log-odds
 between labelled posts of that category and the whole corpus, smoothed with an informative Dirichlet prior whose strength is
 spread over the tokens as they occur in *all* posts, and shrunk by its standard error. A linear-time scan over the running sum finds, in each post,
-every maximal passage (Ruzzo and Tompa); the best passage of a post is calibrated by an extreme-value (Gumbel) law, fitted to
-the posts labelled as none, into the probability that ordinary text of that length reaches such a score. Scores of the labelled
+every maximal passage (Ruzzo and Tompa); a passage is calibrated by an extreme-value (Gumbel) law, fitted to the best passages of
+the posts labelled as none, into the probability that ordinary text of that length reaches such a score. All significant passages of
+a post, title and text together, are combined by the sum statistic of Karlin and Altschul. Scores of the labelled
 posts themselves come from models that have not seen them (two folds), so calibration and threshold are not those of the training.
 
 The classifier is fitted on at most MOST_LABELS labelled posts (a bounded sample by hash of the id); token counts of the prior cover all
@@ -17,6 +18,7 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,6 +41,8 @@ PRIOR, DRIFT = 30.0, 0.5
 ROUNDS = 4
 #: Scores are cut to this range, so that no single token decides.
 CLIP = 3.0
+#: Surprise from which a passage is significant by itself (one ordinary text in 20 has one) and counts among the passages of its post.
+SIGNIFICANT = 1.3
 SEED = 7
 
 #: Digits and signs written for letters.
@@ -78,23 +82,35 @@ def normal(word: str) -> str:
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring segments [start, end) by the linear-time algorithm of Ruzzo and Tompa."""
-    total, kept = 0.0, []
+    total, kept = 0.0, []  # (start, end, sum before, sum behind, place of the last one that began lower)
     for at, score in enumerate(scores.tolist()):
         before = total
         total += score
         if score <= 0:
             continue
-        new = (at, at + 1, before, total)
+        start = at
         while True:
             j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= new[3]:
-                kept.append(new)
+            while j >= 0 and kept[j][2] >= before:
+                j = kept[j][4]  # those between began at least as high
+            if j < 0 or kept[j][3] >= total:
+                kept.append((start, at + 1, before, total, j))
                 break
-            new = (kept[j][0], new[1], kept[j][2], new[3])
+            start, before = kept[j][0], kept[j][2]
             del kept[j:]
-    return [(a, b, right - left) for a, b, left, right in kept]
+    return [(a, b, right - left) for a, b, left, right, _ in kept]
+
+
+def sum_surprise(z: list[float]) -> float:
+    """-log10 of the probability of normalised scores (largest first) as good together, by Karlin and Altschul: the best number of them.
+
+    The sum t of r scores is reached with probability exp(-t) t^(r-1) / (r! (r-1)!); each further passage costs a factor of 2 for the choice.
+    """
+    best, t = 0.0, 0.0
+    for r, x in enumerate(z, 1):
+        t += x
+        best = max(best, (t - (r - 1) * math.log(t) + math.lgamma(r + 1) + math.lgamma(r) - (r - 1) * math.log(2)) / math.log(10))
+    return best
 
 
 @dataclass
@@ -117,17 +133,22 @@ class Model:
             scores[hit + 1] += self.pair_scores[at[hit]]
         return scores - DRIFT
 
-    def best(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best passage score of every text by category, and the number of tokens of every text."""
+    def scored(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of all tokens, and where each text begins and ends."""
         starts = np.concatenate([[0], ends[:-1]]).astype("int64")
+        first = np.zeros(len(ids), bool)
+        first[starts[ends > starts]] = True
+        return self.token_scores(ids, first), starts, ends
+
+    def best(self, scores: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Best passage score of every text by category."""
         lengths = ends - starts
         out = np.zeros((len(ends), len(CATEGORIES)))
         some = np.flatnonzero(lengths)
         if not len(some):
-            return out, lengths
-        first = np.zeros(len(ids), bool)
+            return out
+        first = np.zeros(len(scores), bool)
         first[starts[some]] = True
-        scores = self.token_scores(ids, first)
         wall = 4 * CLIP * (int(lengths.max()) + 1)
         for c in range(len(CATEGORIES)):
             # A wall before every text keeps the least prefix within the text; sums of one batch stay exact enough in float64.
@@ -135,7 +156,7 @@ class Model:
             prefix = np.cumsum(walled)
             before = np.concatenate([[0.0], prefix[:-1]]) - first * wall
             out[some, c] = np.maximum.reduceat(prefix - np.minimum.accumulate(before), starts[some])
-        return np.maximum(out, 0.0), lengths
+        return np.maximum(out, 0.0)
 
     def surprise(self, best: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """-log10 of the probability that ordinary text of that length has a passage as good."""
@@ -144,6 +165,19 @@ class Model:
         value = np.where(z > 30, z / np.log(10), -np.log10(np.maximum(tail, 1e-300)))
         return np.where(best > 0, np.maximum(value, 0.0), 0.0)
 
+    def combined(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Surprise of all significant passages of every post, whose texts are ``parts``. Where the best passage is not significant, none is."""
+        lengths = sum(ends - starts for _, starts, ends in parts)
+        value = self.surprise(np.maximum.reduce([self.best(*part) for part in parts]), lengths)
+        least = -math.log(-math.log1p(-(10**-SIGNIFICANT)))
+        for i, c in zip(*np.nonzero(value >= SIGNIFICANT), strict=True):
+            usual = self.location[c] + self.scale[c] * math.log(max(lengths[i], 1))
+            z = [(v - usual) / self.scale[c] for scores, starts, ends in parts for *_, v in maximal_segments(scores[starts[i] : ends[i], c])]
+            z = sorted((x for x in z if x >= least), reverse=True)
+            if len(z) > 1:
+                value[i, c] = max(value[i, c], sum_surprise(z))
+        return value
+
 
 @dataclass
 class Corpus:
@@ -375,19 +409,24 @@ def train(posts: DataFrame, content_labels: DataFrame) -> tuple[Model, DataFrame
         return Model(vocabulary, one, keys, two, np.zeros(size), np.ones(size), np.zeros(size))
 
     fold = np.random.default_rng(SEED).permutation(len(docs)) % 2
-    best, lengths = np.zeros((len(docs), len(CATEGORIES))), np.zeros(len(docs), "int64")
+    best, lengths, unseen = np.zeros((len(docs), len(CATEGORIES))), np.zeros(len(docs), "int64"), []
     for side in (0, 1):
         rows = np.flatnonzero(fold == side)
         if len(rows) and (fold != side).any():
-            ids = np.array([w for i in rows for w in docs[i]], "int64")
-            real = ids >= 0
-            found, sizes = model(np.flatnonzero(fold != side)).best(ids[real], np.cumsum(real)[~real])
-            best[rows] = found.reshape(len(rows), 2, -1).max(axis=1)
-            lengths[rows] = sizes.reshape(len(rows), 2).sum(axis=1)
+            other = model(np.flatnonzero(fold != side))
+            cuts = [docs[i].index(-1) for i in rows]
+            titles, bodies = [docs[i][:at] for i, at in zip(rows, cuts, strict=True)], [docs[i][at + 1 : -1] for i, at in zip(rows, cuts, strict=True)]
+            parts = [other.scored(np.array([w for d in part for w in d], "int64"), np.cumsum([len(d) for d in part])) for part in (titles, bodies)]
+            best[rows] = np.maximum.reduce([other.best(*part) for part in parts])
+            lengths[rows] = sum(ends - starts for _, starts, ends in parts)
+            unseen.append((rows, other, parts))
     final = model(np.arange(len(docs)))
     for c in range(len(CATEGORIES)):
         final.location[c], final.scale[c] = gumbel(best[labels[:, c] == 0, c], lengths[labels[:, c] == 0])
-    surprise = final.surprise(best, lengths)
+    surprise = np.zeros(best.shape)
+    for rows, other, parts in unseen:
+        other.location, other.scale = final.location, final.scale
+        surprise[rows] = other.combined(parts)
     weight = max(1.0, corpus.rows * share / max(1, len(docs)))  # of all labelled posts, so it does not grow where MOST_LABELS binds
     for c in range(len(CATEGORIES)):
         final.threshold[c] = threshold(surprise[:, c], labels[:, c] == 1, weight)
@@ -395,14 +434,13 @@ def train(posts: DataFrame, content_labels: DataFrame) -> tuple[Model, DataFrame
 
 
 def scores(model: Model, texts: DataFrame) -> DataFrame:
-    """post_id, subreddit, and by category its score (surprise of the best passage) and whether it is a case. One row per row of posts."""
+    """post_id, subreddit, and by category its score (surprise of its significant passages) and whether it is a case. One row per row of posts."""
     held = texts.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_LABELS posts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
         for batch in batches:
-            (best, lengths), (other, more) = (own.best(*flat(batch.column(c))) for c in (2, 3))
-            value = own.surprise(np.maximum(best, other), lengths + more)
+            value = own.combined([own.scored(*flat(batch.column(c))) for c in (2, 3)])
             flags = (value >= own.threshold) & (value > 0)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(value[:, c]) for c in range(len(CATEGORIES))), *(pa.array(flags[:, c]) for c in range(len(CATEGORIES)))], ["post_id", "subreddit", *CATEGORIES, *(f"is_{c}" for c in CATEGORIES)])
 

@@ -128,6 +128,22 @@ def test_maximal_segments_against_brute_force():
     assert toxicity.maximal_segments(np.array([1.0, -5.0, 2.0])) == [(0, 1, 1.0), (2, 3, 2.0)]
 
 
+def test_significant_passages_add_up():
+    size = len(toxicity.CATEGORIES)
+    single = np.array([[0.0] * size, [-1.0] * size, [3.0, -2.0, -2.0]])  # word 2 tells for the first category
+    model = toxicity.Model({"": 0, "calm": 1, "bad": 2}, single, np.empty(0, "int64"), np.empty((0, size)), np.zeros(size), np.full(size, 0.5), np.zeros(size))
+    passage, gap = [2, 2], [1] * 6
+    once, twice = gap + passage + gap * 3 + [1, 1], gap + passage + gap + passage + gap
+    texts = [once, twice, gap + passage + gap, gap * 3]
+    ids, ends = np.array([w for d in texts for w in d], "int64"), np.cumsum([len(d) for d in texts])
+    none = (np.zeros((0, size)), np.zeros(len(texts), "int64"), np.zeros(len(texts), "int64"))
+    value = model.combined([model.scored(ids, ends), none])[:, 0]
+    assert value[1] > value[0] + 1 > 1 and value[3] == 0
+    title = model.scored(np.array(passage * 4, "int64"), np.arange(2, 9, 2))
+    both = model.combined([title, model.scored(ids, ends)])[:, 0]
+    assert both[2] > value[2] + 1 and both[1] > value[1]
+
+
 def test_token_spellings():
     assert [toxicity.normal(w) for w in toxicity.tokens("w.o.r.t.h.l.e.s.s v e r m i n f1l7hy vermiiiin іdiot idi​ot E110")] == ["worthles", "vermin", "filthy", "vermin", "idiot", "idiot", "e10"]
 
