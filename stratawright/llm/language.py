@@ -37,7 +37,7 @@ MARGIN, LEAST_LETTERS, LEAST_WORDS = 0.06, 12, 3
 SEARCH = {"window_log": 17, "chain_log": 16, "hash_log": 16, "search_log": 4, "min_match": 4, "target_length": 64, "strategy": zstandard.STRATEGY_DFAST}
 #: Rounds in which the dictionaries judge the declared sample anew, and the margin that it needs.
 ROUNDS, TEACHES = 3, 0.06
-#: Confidence and letters that a further language of a field needs: names alone can look foreign.
+#: Confidence and letters that a further language of a field needs, in one of its segments or over all: names alone can look foreign.
 SURE, SURE_LETTERS = 0.97, 18
 #: Segments whose languages a Python worker remembers; equal segments are encoded once.
 REMEMBERED = 200_000
@@ -253,13 +253,14 @@ def merge(found: Iterable[tuple[str, str, float]]) -> list[tuple[str, int, float
         return [(found[0][1], n, sum(len(s) * sure for s, _, sure in found) / n)] if found[0][1] else []
     letters: dict[str, int] = {}
     weight: dict[str, float] = {}
+    certain = {name for segment, name, sure in found if name and sure >= SURE and len(segment) >= SURE_LETTERS}
     for segment, name, sure in found:
         if name:
             n = len(segment)
             letters[name] = letters.get(name, 0) + n
             weight[name] = weight.get(name, 0.0) + n * sure
     most = max(letters.values(), default=0)
-    return [(name, n, weight[name] / n) for name, n in letters.items() if n == most or weight[name] >= SURE * n and n >= SURE_LETTERS]
+    return [(name, n, weight[name] / n) for name, n in letters.items() if n == most or name in certain or weight[name] >= SURE * n and n >= SURE_LETTERS]
 
 
 def field_languages(fields: DataFrame, texts: dict[str, bytes]) -> DataFrame:

@@ -103,6 +103,12 @@ def test_every_dictionary_is_tried(classifier):
     assert (name, margin >= language.MARGIN) == ("en", True) and classifier.segment(letters) == ("en", min(1.0, margin / (2 * language.MARGIN)))
 
 
+def test_a_certain_segment_stands_beside_a_doubtful_one():
+    first, certain, doubtful = ("e" * 300, "en", 1.0), ("d" * 100, "de", 1.0), ("d" * 20, "de", 0.5)
+    assert {name for name, _, _ in language.merge([first, certain, doubtful])} == {"en", "de"}
+    assert {name for name, _, _ in language.merge([first, doubtful])} == {"en"}
+
+
 def test_declared_codes(spark):
     values = ["en", "en_GB", "EN", " English ", "es-419", "deutsch", "ger", "pt-BR", "", "und", None, "klingon", "ja-JP"]
     got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "lang string").select(language.declared_code("lang")).collect()]
