@@ -59,6 +59,12 @@ def A3_W9_unique_titles(spark, d):
     return build.unique_titles(plain).select("post_id")
 
 
+@query()
+def A3_W9_unique_titles_whole(spark, d):
+    """Posts with a title of their own over all titles; no SQL, because the other engine cannot fold case beyond ASCII."""
+    return build.unique_titles(build.dedupe_paired(_raw(spark, d))).select("post_id")
+
+
 @query(f"WITH {_DEDUPED}, kept AS (SELECT count(*) AS n FROM (SELECT count(*) AS c FROM deduped GROUP BY lower(title)) WHERE c = 1) SELECT (SELECT count(*) FROM posts) AS rows_read, (SELECT count(*) FROM posts) - (SELECT count(*) FROM raw) AS rejected, (SELECT count(*) FROM raw) - (SELECT count(*) FROM deduped) AS collisions_and_copies, (SELECT count(*) FROM deduped) - (SELECT n FROM kept) AS duplicate_titles, (SELECT n FROM kept) AS kept")
 def A4_build_report(spark, d):
     raw = _raw(spark, d)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stratawright.functions.hashing import stable_uint_py
 from stratawright.operators import build, mining
+from stratawright.queries import build_queries
 from stratawright.plans import pipeline
 from stratawright.sources import files
 
@@ -130,3 +131,13 @@ def test_streaming_counts_once(spark, dataset, tmp_path):
     query = incremental.start(spark, f"{folder}/r4/predictions.jsonl", "live", str(tmp_path / "state"))
     query.awaitTermination(60)
     assert spark.table("live").filter("community_track = 'all'").agg(F.sum("examples")).first()[0] == 12
+
+
+def test_unique_titles_query_reads_every_title(spark, tmp_path):
+    titles = ["Straße", "STRASSE", "Привет мир", "ПРИВЕТ МИР", "Ёлка", "日本語の題", "Été à Paris", "ÉTÉ À PARIS", "“Quoted”", "ΣΊΣΥΦΟΣ", "σίσυφος", "plain"]
+    rows = [(f"p{i}", "s", t, "text", i) for i, t in enumerate(titles)]
+    spark.createDataFrame(rows, "post_id string, subreddit string, title string, selftext string, created_utc long").write.parquet(str(tmp_path / "posts.parquet"))
+    folded = [t.casefold() for t in titles]
+    want = {f"p{i}" for i, t in enumerate(folded) if folded.count(t) == 1}
+    got = {r.post_id for r in build_queries.QUERIES["A3_W9_unique_titles_whole"](spark, str(tmp_path)).collect()}
+    assert got == want == {"p4", "p5", "p8", "p11"}
