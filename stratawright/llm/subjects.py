@@ -305,6 +305,27 @@ def subject_scores(documents: DataFrame, model: Model) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, subject string, share double, probability double, is_case boolean")
 
 
+def subject_sums(documents: DataFrame, model: Model) -> DataFrame:
+    """subject, documents (cases), mass (sum of all shares, small ones too): partial sums, one row per task and subject."""
+    held = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, reader = held.value, Reader()
+        names = own.names[:-1]
+        cases, mass = np.zeros(len(names), "int64"), np.zeros(len(names))
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                share = own.shares(reader.read(part.column(0).to_pylist()), part.num_rows)[:, :-1]
+                cases += ((share >= 0.01) & (own.probability(share) >= own.threshold)).sum(axis=0)
+                mass += share.sum(axis=0)
+        some = np.flatnonzero(mass)
+        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.string()), pa.array(cases[some]), pa.array(mass[some])], ["subject", "documents", "mass"])
+
+    rows = spread(documents.filter("doc_id is not null and text is not null").select("text"))
+    return rows.mapInArrow(run, "subject string, documents bigint, mass double")
+
+
 def found(documents: DataFrame, subject_labels: DataFrame, subject_list: DataFrame) -> DataFrame:
     """doc_id, subject of every document outside the labelled sample."""
     cases = subject_scores(documents, fit(documents, subject_labels, subject_list)).filter("is_case").select("doc_id", "subject")
@@ -313,7 +334,7 @@ def found(documents: DataFrame, subject_labels: DataFrame, subject_list: DataFra
 
 def corpus_shares(documents: DataFrame, subject_labels: DataFrame, subject_list: DataFrame) -> DataFrame:
     """subject, documents, share_of_documents, expected_share (by words of each document, documents counting alike)."""
-    rows = subject_scores(documents, fit(documents, subject_labels, subject_list))
+    rows = subject_sums(documents, fit(documents, subject_labels, subject_list))
     total = documents.filter("doc_id is not null and text is not null").agg(F.count(F.lit(1)).alias("total"))
-    counted = rows.groupBy("subject").agg(F.sum(F.col("is_case").cast("bigint")).alias("documents"), F.sum("share").alias("mass"))
+    counted = rows.groupBy("subject").agg(F.sum("documents").alias("documents"), F.sum("mass").alias("mass"))
     return counted.join(F.broadcast(total)).select("subject", "documents", (F.col("documents") / F.col("total")).alias("share_of_documents"), (F.col("mass") / F.col("total")).alias("expected_share"))

@@ -221,6 +221,19 @@ def test_subjects(spark):
     assert subjects.found(documents, given.limit(0), listed).collect() == []
 
 
+def test_small_shares_count(spark):
+    texts = {"cars": "The gearbox and the clutch of my engine are worn.", "music": "The guitar and the violin play this melody."}
+    docs = [(i, texts["cars" if i % 2 else "music"]) for i in range(200)] + [(1000, "\n".join([texts["cars"]] * 400 + [texts["music"]]))]
+    documents = spark.createDataFrame(docs, "doc_id bigint, text string")
+    given = spark.createDataFrame([(i, "cars" if i % 2 else "music") for i in range(200)], "doc_id bigint, subject string")
+    listed = spark.createDataFrame([("cars", ""), ("music", "")], "subject string, about string")
+    want = subjects.fit(documents, given, listed)
+    share = want.shares(subjects.Reader().read([text for _, text in docs]), len(docs))[:, want.names.index("music")]
+    assert ((share > 0) & (share < 0.01)).any()
+    got = {r.subject: r.expected_share for r in subjects.corpus_shares(documents, given, listed).collect()}
+    assert got["music"] == pytest.approx(share.sum() / len(docs), rel=1e-9)
+
+
 def test_no_word_list_is_a_prefix():
     """Sentences are split at the same places whatever follows."""
     text = "First part here. Second part, here!\nThird"
