@@ -71,9 +71,10 @@ REQUESTS = {
 LETTER = re.compile(r"[^\W\d_]")
 WORD = re.compile(r"[一-鿿々]+|[゠-ヿ]+|[぀-ゟ]+|[^\W_぀-ヿ一-鿿]+")
 KANA = re.compile(r"^[぀-ゟ]+$")
-DIGIT = re.compile(r"\d")
 #: Where clauses end: signs that are not inside a word or number, and brackets.
 CLAUSE = re.compile(r"(?<!\w)[-–—/](?!\w)|[.:,?!…](?!\w)|[;()\[\]{}|。？！、：；（）「」]")
+#: Words and clause ends of a text in ASCII, as WORD and CLAUSE find them.
+ASCII = re.compile(r"[a-z0-9]+|[;()\[\]{}|]|[.:,?!](?![a-z0-9_])|(?<![a-z0-9_])[-/](?![a-z0-9_])")
 TAG = re.compile(r"\[[^\[\]\d]{1,40}\]")
 QUESTION = re.compile(r"[?？]$|か[。]?$")
 
@@ -98,8 +99,20 @@ _ASKERS, _REQUESTS = _table(*ASKERS.values()), _table(*REQUESTS.values())
 
 def clauses(title: str) -> list[tuple[list[str], bool]]:
     """Words of each clause of a title, and whether it is asking as far as its sign tells. Tags in square brackets are left out."""
-    text = TAG.sub(" ", plain(title))
-    out, at = [], 0
+    text = plain(title)
+    if "[" in text:
+        text = TAG.sub(" ", text)
+    out: list[tuple[list[str], bool]] = []
+    words: list[str] = []
+    if text.isascii():
+        for token in ASCII.findall(text.lower()):
+            if token.isalnum():
+                words.append(token)
+            elif words:
+                out.append((words, token == "?"))
+                words = []
+        return [*out, (words, False)] if words else out
+    at = 0
     for end in [*(m.end() for m in CLAUSE.finditer(text)), len(text)]:
         words = _words(text[at:end])
         if words:
@@ -111,7 +124,7 @@ def clauses(title: str) -> list[tuple[list[str], bool]]:
 def asking_clauses(parts: list[tuple[list[str], bool]]) -> list[bool]:
     """Which clauses are short questions: no code in them, and at most half of the title."""
     total = sum(len(words) for words, _ in parts)
-    return [question and 2 * len(words) <= total + 2 and not any(map(DIGIT.search, words)) for words, question in parts]
+    return [question and 2 * len(words) <= total + 2 and all(map(str.isalpha, words)) for words, question in parts]
 
 
 class Fillers:
@@ -155,13 +168,14 @@ def matter_of(title: str | None, fillers: Fillers) -> tuple[str, str] | None:
         return None
     parts = clauses(title)
     total = sum(len(words) for words, _ in parts)
-    codes, kept, asked = [], set(), set()
+    codes, kept, asked, known = [], set(), set(), fillers.words
     for (words, _), short in zip(parts, asking_clauses(parts), strict=True):
-        new = [w for w in words if w not in fillers.words]
-        request = 2 * len(words) <= total and 0 < len(new) <= 2 * sum(w in _REQUESTS for w in new) and not any(map(DIGIT.search, words))
-        asks = request or short and not _ASKERS.isdisjoint(words)
+        new = [w for w in words if w not in known]
+        asks = short and not _ASKERS.isdisjoint(words)
+        if not asks and new and 2 * len(words) <= total and not _REQUESTS.isdisjoint(new):
+            asks = len(new) <= 2 * sum(w in _REQUESTS for w in new) and all(map(str.isalpha, words))
         for word in new:
-            if DIGIT.search(word):
+            if not word.isalpha():
                 codes.append(word)
             else:
                 (asked if asks else kept).add(word)
