@@ -2,12 +2,12 @@
 
 Method: linear-chain conditional random field over word-shape features, trained from the small labelled table of
 ``personal_examples`` and decoded by Viterbi in numpy batches. A text is cut into lines, a line into tokens; a token's features are its shape, its ending,
-its beginning, its word if the table knows it, and those of three neighbours on either side. A token's share in the scores depends
-on its type alone, so it is computed once per type and worker and then gathered.
+its beginning, its word if the table knows it, the kind of word it is (CLASSES), and those of three neighbours on either side. A token's share in the
+scores depends on its type alone, so it is computed once per type and worker and then gathered.
 
 Lines that cannot hold an item are left out of the decoding by a bound that is exact: when, at every token, each label other than O
-loses more than any two transitions could win back, the best path is O throughout. Decoded items pass a check of
-their form (an address has a number, a phone at least seven digits, a name two parts and no title).
+loses more than any two transitions could win back, the best path is O throughout. What the field labels is an item; only a name that is none by
+definition (a single part, digits, or the end of a sentence in it) is dropped.
 
 Defined cases: null, empty and blank texts hold no items; long lines are decoded whole; positions are code points of the stored
 text; repeated rows give one item each; an empty table gives an empty result; further columns are ignored; a null id takes no part.
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -25,69 +26,132 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratawright.llm.personal_examples import GIVEN, KINDS, labelled_lines
+from stratawright.llm.personal_examples import GIVEN, KINDS, labelled_lines, template_words
 from stratawright.llm.scrub import unaccented
 from stratawright.session import spread
 
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 REACH = 3
 OFFSETS = 2 * REACH + 1
-#: Most features of a token, feature slots, token types remembered per worker.
-WIDTH, REMEMBERED = 8, 150_000
-EPOCHS, RATE, DECAY, BATCH = 9, 0.25, 2e-5, 40
-#: Fewest occurrences in the table of a word that is a feature.
-KNOWN = 3
-
+#: Most features of a token that ``features`` makes; token types remembered per worker.
+WIDTH, REMEMBERED = 12, 150_000
+EPOCHS, RATE, DECAY, BATCH = 8, 0.4, 5e-4, 40
+#: Epoch from which on the weights are averaged.
+AVERAGED = 3
+#: Fewest occurrences in the table of a feature; how often a word of the table is taken for an unknown one.
+KNOWN, KNOWN_WORD, FORGET = 5, 20, 0.2
+#: A word is often used in a corpus if it is in so many rows and such a share of all.
+USUAL_ROWS, USUAL_SHARE = 3, 2e-4
+#: How likely a corpus uses a word of each kind often as plain or as proper word, as drawn for the labelled table; else it is rare.
+USUAL = {"language": (0.9, 0.02), "brand": (0.02, 0.6), "given": (0.02, 0.7), "other": (0.02, 0.15)}
+
+#: A letter, digit or underscore of a script that divides words; Japanese runs are tokens of their own.
+_W = r"[^\W぀-ヿ㐀-鿿]"
 TOKEN = re.compile(
-    r"&#?\w+;"  # escaped characters
-    r"|[\w.+%-]+[@＠][\w-]+(?:\.[\w-]+)+"  # an address as such
-    r"|\d+(?:[-./,:]\d+)*(?!\w)"  # numbers with their separators
-    r"|\w+(?:[.+_'’-]\w+)*"  # words, also joined ones
+    r"https?://\S+|www\.\S+"  # links
+    r"|&#?\w+;"  # escaped characters
+    rf"|(?:{_W}|[.+%-])+[@＠](?:{_W}|-)+(?:\.(?:{_W}|-)+)+"  # an address as such
+    rf"|\d+(?:[-./,:]\d+)*(?!{_W})"  # numbers with their separators
+    rf"|{_W}+(?:[.+_'’-]{_W}+)*"  # words, also joined ones
+    r"|[぀-ヿ㐀-鿿]+"
     r"|[^\w\s]"
 )
 SHAPES = str.maketrans({**{c: "X" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "x" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "d" for c in "0123456789"}})
-LETTER_RUN = re.compile(r"X{2,}|x{2,}")
+LETTER_RUN = re.compile(r"X{2,}|x{2,}|j{2,}")
 DIGIT_RUN = re.compile(r"d+")
 GIVEN_NAMES = frozenset(unaccented(n.lower()) for n in GIVEN)
+#: Kinds of words, by which the field can tell words that its table does not hold.
+CLASSES = {
+    "road": "street st road rd avenue ave lane ln drive dr close court ct boulevard blvd way place pl square sq terrace crescent row parkway grove gardens mews walk alley highway hill rue chemin impasse via viale piazza corso vicolo rua avenida travessa largo calle plaza paseo ulica ul aleja plac sokak sokagi cadde caddesi bulvari улица ул проспект переулок",
+    "unit": "apt apartment flat unit suite floor fl apto app no nr д", "box": "box pob postfach apartado postbus bp", "title": "mr mrs ms miss dr prof professor sir herr frau señor señora signor signora monsieur madame mme pan pani",
+    "identity": "ssn ni nino insurance security passport licence license id identity tax dni nie nif pesel bsn ausweis steuer fiscale fiscal kimlik инн personal", "call": "phone tel telephone mobile cell fax call text ring dial whatsapp sms number telefon",
+    "mail": "mail email e-mail at dot", "day": "monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december",
+    "goods": "order invoice serial part model version ticket case tracking isbn page chapter room lane level", "farewell": "thanks cheers regards sincerely signed love yours hi hello dear greetings",
+}
+CLASS_OF = {word: f"k={name}" for name, words in CLASSES.items() for word in map(unaccented, words.split())}
+ROAD_END = re.compile(r"(?:strasse|str|weg|gasse|allee|platz|ring|damm|ufer|straat|laan|gracht|kade|plein|dijk)$")
+
+
+def folded(token: str) -> str:
+    return unaccented(unicodedata.normalize("NFKC", token).lower())
+
+
+JOIN = re.compile(r"[-'’.]")
+
 
+@dataclass(frozen=True)
+class Usage:
+    """Words that a corpus uses often: ``plain`` ones, and ``proper`` ones, which it writes with a capital for the most part."""
 
-def features(token: str) -> list[str]:
-    """Names of a token's features."""
+    plain: frozenset[str] = frozenset()
+    proper: frozenset[str] = frozenset()
+
+    def of(self, low: str, vocabulary: frozenset[str]) -> str:
+        if low in self.plain or low in vocabulary:
+            return "plain"
+        if low in self.proper:
+            return "proper"
+        if low.isalpha():
+            return "rare"
+        parts = [p for p in JOIN.split(low) if p]
+        return "plain" if all(p in self.plain or p in vocabulary for p in parts) else "rare"
+
+
+def features(token: str, vocabulary: frozenset[str], usage: str) -> list[str]:
+    """Names of a token's features. ``vocabulary`` are the words that count as such, ``usage`` tells how the corpus uses the word (Usage)."""
     text = unicodedata.normalize("NFKC", token)
     low = unaccented(text.lower())
-    shape = text.translate(SHAPES) if text.isascii() else "".join("X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c for c in text)
+    if text.startswith(("http://", "https://", "www.")):
+        return ["s=link", "b"]
+    if len(text) > 1 and ("@" in text or "＠" in text):
+        return ["s=mail", "b", f"h={low[low.find('@') + 1 :][-4:]}"]
+    shape = text.translate(SHAPES) if text.isascii() else "".join("j" if "\u3040" <= c <= "\u9fff" else "X" if c.isupper() else "x" if c.isalpha() else "d" if c.isdigit() else c for c in text)
     runs = LETTER_RUN.sub(lambda m: m[0][0] * 2, shape)
     short = DIGIT_RUN.sub(lambda m: f"d{min(len(m[0]), 12)}", runs)
-    if "@" in text or "＠" in text:
-        return ["s=@", "b", "w=@", "e=@", "f=@", f"h={low[low.find('@') + 1 :][-4:]}"]
-    out = [f"s={short[:24]}", "b", f"w={low}"]
+    out = [f"s={short}", "b"]
+    if low in vocabulary:
+        out.append(f"w={low}")
+    kind = CLASS_OF.get(low.rstrip("."))
+    if kind:
+        out.append(kind)
     if low.isalpha() or "-" in low or "'" in low:
-        out += [f"e={low[-3:]}", f"f={low[-4:]}"]
-        if low in GIVEN_NAMES:
-            out.append("given")
-        if runs[:2] == "Xx":
-            out.append("capital")
+        given = low in GIVEN_NAMES
+        if given:
+            out += ["given", f"given:{runs[:2]}"]
+        elif not kind and len(low) > 5 and ROAD_END.search(low):
+            out.append("k=road")
+        if "j" not in runs:
+            out.append(f"i={runs[:1]}{min(len(low), 3)}")
+            if not given and len(low) > 1:
+                out += [f"c={runs[:2]}:{usage}", f"c={usage}"]
     elif low[:1].isdigit():
-        out += [f"n={short[:12]}:{low[:2]}", f"r={short}", f"q={sum(c.isdigit() for c in low)}"]
+        out += [f"n={short}:{low[:1]}", f"n={short}:{low[:2]}", f"q={sum(c.isdigit() for c in low)}"]
     elif "d" in shape:
-        out.append(f"m={runs[:1]}{low[:1]}")
+        out += [f"q={sum(c.isdigit() for c in low)}", "mixed"]
     return out
 
 
 class Tagger:
-    """Weights of the field: ``weights`` (features, offsets, labels), ``moves`` (labels, labels), ``starts`` (labels)."""
+    """Weights of the field: ``weights`` (features, offsets, labels), ``moves`` (labels, labels), ``starts`` (labels).
 
-    def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray, starts: np.ndarray):
-        self.names, self.weights, self.moves, self.starts = names, weights, moves, starts
+    ``vocabulary`` are the words of the labelled table, ``usage`` how the corpus at hand uses its words.
+    """
+
+    def __init__(self, names: dict[str, int], weights: np.ndarray, moves: np.ndarray, starts: np.ndarray, vocabulary: frozenset[str], usage: Usage = Usage()):
+        self.names, self.weights, self.moves, self.starts, self.vocabulary, self.usage = names, weights, moves, starts, vocabulary, usage
         self._reset()
 
     def __getstate__(self) -> tuple:
-        return self.names, self.weights, self.moves, self.starts
+        return self.names, self.weights, self.moves, self.starts, self.vocabulary, self.usage
 
     def __setstate__(self, state: tuple) -> None:
-        self.names, self.weights, self.moves, self.starts = state
+        self.names, self.weights, self.moves, self.starts, self.vocabulary, self.usage = state
         self._reset()
 
+    def knowing(self, usage: Usage) -> Tagger:
+        """The same field for a corpus of that usage."""
+        return Tagger(self.names, self.weights, self.moves, self.starts, self.vocabulary, usage)
+
     def _reset(self) -> None:
         self.types: dict[str, int] = {"": 0}
         self.shares = np.zeros((1024, OFFSETS, len(LABELS)), "float32")  # by type: what it adds to the token at each offset
@@ -97,7 +161,8 @@ class Tagger:
         self.bonus = float(max(0.0, into) + max(0.0, out, other.max()) + max(0.0, (self.starts - self.starts[0]).max()))
 
     def slots(self, token: str) -> list[int]:
-        return [i for f in features(token) if (i := self.names.get(f)) is not None][:WIDTH]
+        low = folded(token)
+        return [i for f in features(token, self.vocabulary, self.usage.of(low, self.vocabulary)) if (i := self.names.get(f)) is not None]
 
     def type_of(self, token: str) -> int:
         at = self.types.get(token)
@@ -166,12 +231,15 @@ def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def train() -> Tagger:
-    """The tagger, by stochastic gradient of the log-likelihood (forward-backward), with a fixed seed."""
+    """The tagger, by stochastic gradient of the log-likelihood (forward-backward), averaged over the later steps, with a fixed seed."""
     from stratawright.llm.language import SEEDS
 
     plain_lines = [s.strip() for text in SEEDS.values() for s in re.split(r"(?<=[.?!])\s+", text)]
-    lines = labelled_lines(more_without=plain_lines)
+    lines, invented, given = labelled_lines(more_without=plain_lines)
+    vocabulary = frozenset(folded(t) for line in [*template_words(), *plain_lines] for t in TOKEN.findall(line) if len(t) > 1 and t.isalpha())
+    rng = np.random.default_rng(3)
     tokens, gold = [], []
+    counts: dict[str, int] = {}
     for text, items in lines:
         spans = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)]
         labels = np.zeros(len(spans), "int64")
@@ -179,14 +247,19 @@ def train() -> Tagger:
             inside = [i for i, (x, y, _) in enumerate(spans) if x < b and y > a]
             for k, i in enumerate(inside):
                 labels[i] = LABELS.index(("I-" if k else "B-") + kind)
-        tokens.append([t for *_, t in spans])
-        gold.append(labels)
-    counts: dict[str, int] = {}
-    for line in tokens:
-        for token in line:
-            for f in features(token):
+        found = []
+        for *_, token in spans:
+            low = folded(token)
+            # How a corpus will use a word is drawn: words of the language are mostly often, parts of names seldom.
+            plain, proper = USUAL["language"] if low in vocabulary else USUAL["brand"] if low in invented else USUAL["given"] if low in given or low in GIVEN_NAMES else USUAL["other"]
+            draw = rng.random()
+            usage = "plain" if draw < plain else "proper" if draw < plain + proper else "rare"
+            found.append(features(token, vocabulary if rng.random() > FORGET else frozenset(), usage))
+            for f in found[-1]:
                 counts[f] = counts.get(f, 0) + 1
-    names = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= (KNOWN if f[:2] != "s=" else 2)))}
+        tokens.append(found)
+        gold.append(labels)
+    names = {f: i for i, f in enumerate(sorted(f for f, n in counts.items() if n >= (KNOWN_WORD if f[:2] == "w=" else KNOWN)))}
     size, k = len(names) + 1, len(LABELS)
     weights = np.zeros((size, OFFSETS, k), "float32")  # the last row stays zero and pads
     moves, starts = np.zeros((k, k), "float32"), np.zeros(k, "float32")
@@ -198,9 +271,9 @@ def train() -> Tagger:
             starts[a] = -20.0
     fixed = moves < -10
     squares = [np.full_like(x, 1e-6) for x in (weights, moves, starts)]
-    slots = [[([names[f] for f in features(t) if f in names] + [size - 1] * WIDTH)[:WIDTH] for t in line] for line in tokens]
+    sums, steps = [np.zeros(x.shape) for x in (weights, moves, starts)], 0
+    slots = [[(at := [names[f] for f in found if f in names]) + [size - 1] * (WIDTH - len(at)) for found in line] for line in tokens]
     order = np.arange(len(lines))
-    rng = np.random.default_rng(3)
     for epoch in range(EPOCHS):
         rng.shuffle(order)
         chunks = sorted((order[i : i + BATCH * 8] for i in range(0, len(order), BATCH * 8)), key=lambda c: c[0])
@@ -240,57 +313,33 @@ def train() -> Tagger:
             grad = np.zeros((size * OFFSETS, k), "float32")
             at = np.concatenate([(feats[:, o : o + n] * OFFSETS + o)[mask].ravel() for o in range(OFFSETS)])
             pull = np.repeat(wrong[mask], WIDTH, axis=0)
-            used, place = np.unique(at, return_inverse=True)
+            pull = np.tile(pull, (OFFSETS, 1))
             for label in range(k):
-                grad[used, label] = np.bincount(place, weights=np.tile(pull[:, label], OFFSETS), minlength=len(used))
+                grad[:, label] = np.bincount(at, weights=pull[:, label], minlength=len(grad))
             grad = grad.reshape(weights.shape) / len(rows)
             grad[-1] = 0
             for value, square, slope in zip((weights, moves, starts), squares, (grad, pair / len(rows), first / len(rows)), strict=True):
                 square += slope * slope
                 value -= RATE * slope / np.sqrt(square + 1e-8)
-            touched = np.unique(used // OFFSETS)
-            weights[touched] *= 1 - DECAY
+            weights *= 1 - DECAY
             weights[-1] = 0
-    return Tagger(names, weights[:-1].copy(), moves, starts)
+            if epoch >= AVERAGED:
+                for value, mean in zip((weights, moves, starts), sums, strict=True):
+                    mean += value
+                steps += 1
+    weights, moves, starts = ((x / steps).astype("float32") for x in sums)
+    return Tagger(names, weights[:-1].copy(), moves, starts, vocabulary)
 
 
 # --- items -------------------------------------------------------------------------------------------------------------------
 
-#: Courtesy titles, and words of greeting that end a text before a name.
-TITLE = re.compile(r"^(?:(?:dr|mr|mrs|ms|prof|miss|sir|herr|frau|señor|señora|signor|signora|monsieur|madame|pan|pani|thanks|cheers|regards|best|signed|love|yours|hi|hello|dear)\b[.,]?\s*|[^\W\d_]{4,}[.!?:]\s+)+", re.IGNORECASE)
-HOUSE = re.compile(r"(?<![^\W_])\d+[a-z]?(?![^\W_])", re.IGNORECASE)
-#: Words of which an address has one, unless it has a postal code.
-ROADS = re.compile(
-    r"\b(?:street|st|road|rd|avenue|ave|lane|ln|drive|dr|close|court|ct|blvd|boulevard|way|place|pl|square|sq|terrace|crescent|row|hill|grove|gardens|mews|walk|alley|parkway|highway|box|apt|flat|unit|suite"
-    r"|via|viale|piazza|rue|place|chemin|rua|avenida|calle|plaza|paseo|ulica|ul|aleja|plein|kade|markt|platz|sokak|sokağı|cadde|caddesi|улица|ул|проспект|переулок)\b|c/|(?:straße|strasse|str\.|gasse|weg|allee|ring|damm|ufer|straat|laan|gracht|dijk)\b",
-    re.IGNORECASE,
-)
-POSTCODE = re.compile(r"\b\d{5}\b|\b[A-Z]{1,2}\d{1,2}[A-Z]? \d[A-Z]{2}\b|\b\d{2}-\d{3}\b")
-LONE = re.compile(r"^[^\W\d_]+\s+[^\W\d_]\.?$")
-
-
-def accept(kind: str, item: str) -> tuple[int, bool]:
-    """How many characters to leave off the front, and whether the rest has the form of its kind."""
-    digits = sum(c.isdigit() for c in item)
-    if kind == "name":
-        title = TITLE.match(item)
-        skip = title.end() if title else 0
-        rest = item[skip:]
-        parts = re.findall(r"[^\W\d_]+", rest)
-        if len(parts) < 2 or len(parts) > 5 or digits or LONE.match(rest) or max(map(len, parts)) < 3:
-            return skip, False
-        if len({"X" if p.isupper() and len(p) > 1 else "x" if p.islower() else "" for p in parts} - {""}) + any(p.istitle() for p in parts if len(p) > 1) > 1:
-            return skip, False  # one word in small letters beside one that begins with a capital
-        if rest.islower() and not GIVEN_NAMES & {unaccented(p) for p in parts}:
-            return skip, False  # small letters are no sign of a name
-        return skip, len(parts[0]) > 1 or parts[0].isupper() and rest[1:2] == "."
-    if kind == "email":
-        return 0, bool(re.search(r"[@＠]|[(\[]at[)\]]|\bat\b.*\bdot\b", item, re.IGNORECASE)) and len(item) >= 6
-    if kind == "phone":
-        return 0, 7 <= digits <= 17
-    if kind == "id_number":
-        return 0, digits >= 5 and len(item) >= 7
-    return 0, bool(HOUSE.search(item)) and sum(c.isalpha() for c in item) >= 3 and bool(ROADS.search(item) or POSTCODE.search(item))
+PART = re.compile(r"[^\W\d_]+")
+NO_NAME = re.compile(r"\d|[^\W\d_]{2}[.!?:]")
+
+
+def is_item(kind: str, item: str) -> bool:
+    """Whether what the field found can be an item at all: a name has two parts or more, no digit, and no sentence ends within it."""
+    return kind != "name" or len(PART.findall(item)) > 1 and not NO_NAME.search(item[:-1])
 
 
 def find_items(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:
@@ -340,9 +389,8 @@ def find_items(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[int,
             a, b = spans[k][0], spans[last][1]
             if label[2:] == "phone" and a and (line[a - 1] == "+" or line[a - 1] == "(" and ")" in line[a:b]):
                 a -= 1  # the sign or bracket that opens a number belongs to it
-            skip, good = accept(label[2:], line[a:b])
-            if good:
-                out[i].append((at + a + skip, at + b, label[2:]))
+            if is_item(label[2:], line[a:b]):
+                out[i].append((at + a, at + b, label[2:]))
             k = last + 1
     return out
 
@@ -358,9 +406,30 @@ def redact(text: str | None, items: list[tuple[int, int, str]]) -> str | None:
     return "".join([*parts, text[at:]])
 
 
+def usage_of(posts: DataFrame) -> Usage:
+    """How the corpus uses its words: those in at least USUAL_SHARE of all rows (and USUAL_ROWS rows), by how they are mostly written.
+
+    A word is proper if it mostly has a capital behind a small letter or comma, where no sentence begins. Counted in the JVM over all texts
+    with partial sums; the list has at most (words of a row) / USUAL_SHARE entries.
+    """
+    text = F.concat_ws(" \n", "title", "selftext")
+    words = F.array_distinct(F.filter(F.split(text, r"[^\p{L}]+"), lambda w: w != ""))
+    inner = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<=[\p{Ll},] )\p{L}+"), F.lit(0)))
+    rows = posts.filter("post_id is not null")
+    total = rows.count()
+    parts = F.explode(F.concat(F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(0).alias("inner"))), F.transform(inner, lambda w: F.struct(w.alias("word"), F.lit(1).alias("inner")))))
+    counted = rows.select(parts.alias("p")).groupBy("p.word").agg(F.sum(1 - F.col("p.inner")).alias("n"), F.sum("p.inner").alias("inner"))
+    low = F.lower("word")
+    joined = counted.groupBy(low.alias("low")).agg(F.sum("n").alias("n"), F.sum("inner").alias("inner"), F.sum(F.when(F.col("word") == low, 0).otherwise(F.col("inner"))).alias("capital"))
+    plain, proper = set(), set()
+    for row in joined.filter(F.col("n") >= max(USUAL_ROWS, USUAL_SHARE * total)).collect():
+        (proper if row.inner and 2 * row.capital > row.inner else plain).add(folded(row.low))
+    return Usage(frozenset(plain), frozenset(proper - plain))
+
+
 def personal_items(posts: DataFrame) -> DataFrame:
     """post_id, field, kind, start_pos, end_pos: one row per item of title and selftext."""
-    held = posts.sparkSession.sparkContext.broadcast(train())
+    held = posts.sparkSession.sparkContext.broadcast(train().knowing(usage_of(posts)))  # bounded by USUAL_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = held.value
@@ -381,7 +450,7 @@ def personal_items(posts: DataFrame) -> DataFrame:
 
 def redacted(posts: DataFrame) -> DataFrame:
     """post_id, title, selftext with typed placeholders, and n_items. One row per row of ``posts``."""
-    held = posts.sparkSession.sparkContext.broadcast(train())
+    held = posts.sparkSession.sparkContext.broadcast(train().knowing(usage_of(posts)))  # bounded by USUAL_SHARE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger = held.value

@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import personal_cases
 import pytest
 
 from stratawright.llm import language, personal, subjects, toxicity
@@ -37,9 +38,34 @@ def test_items(tagger, text, want):
     assert [(k, text[a:b]) for a, b, k in personal.find_items(tagger, [text])[0]] == want
 
 
+@pytest.mark.parametrize("kind", personal_cases.CASES)
+def test_hand_written_sentences(tagger, kind):
+    """Sentences that the table's rules cannot compose: at least 0.9 of the items of every kind are found, and few others."""
+    gold, got = set(), set()
+    for line in personal_cases.CASES[kind].split("\n"):
+        text, spans = personal_cases.read(line)
+        gold |= {(line, a, kind) for a, _ in spans}
+        got |= {(line, a, k) for a, _, k in personal.find_items(tagger, [text])[0]}
+    assert len(gold & got) >= 0.9 * len(gold) and len(gold & got) >= 0.9 * len(got)
+
+
+def test_sentences_without_items(tagger):
+    """No usage of a corpus is known here, so capitalised pairs may look like names; at most a quarter of these hard lines is touched."""
+    lines = personal_cases.NOTHING.split("\n")
+    assert sum(bool(found) for found in personal.find_items(tagger, lines)) <= len(lines) / 4
+
+
+def test_usage(spark):
+    rows = [(str(i), "x", "the Brelvik pump leaks", "The pump is old", 1) for i in range(4)] + [("9", "x", "Zorivic", None, 1), (None, "x", "zug zug", None, 1)]
+    usage = personal.usage_of(spark.createDataFrame(rows, POSTS))
+    assert {"the", "pump", "leaks", "is", "old"} == usage.plain and usage.proper == {"brelvik"}
+    assert usage.of("zorivic", frozenset()) == "rare" and usage.of("old-pump", frozenset()) == "plain"
+
+
 def test_held_out_lines(tagger):
+    """Lines of the same rules under another seed, with other made-up names."""
     right = wrong = missed = 0
-    lines = labelled_lines(600, seed=99)
+    lines = labelled_lines(600, seed=99)[0]
     for (text, items), found in zip(lines, personal.find_items(tagger, [t for t, _ in lines]), strict=True):
         gold, got = {(a, k) for a, _, k in items}, {(a, k) for a, _, k in found}
         right, wrong, missed = right + len(gold & got), wrong + len(got - gold), missed + len(gold - got)
@@ -47,7 +73,7 @@ def test_held_out_lines(tagger):
 
 
 def test_pruning_changes_nothing(tagger, monkeypatch):
-    texts = [t for t, _ in labelled_lines(200, seed=5)]
+    texts = [t for t, _ in labelled_lines(200, seed=5)[0]]
     found = personal.find_items(tagger, texts)
     monkeypatch.setattr(personal.Tagger, "inert", lambda self, scores, starts: np.zeros(len(starts), bool))
     assert personal.find_items(tagger, texts) == found
