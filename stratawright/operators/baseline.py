@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratawright.operators.metrics import MOST_RESAMPLED, file_order
+
 
 def _regression(max_iter: int, penalty: float):
     from pyspark.ml.classification import LogisticRegression
@@ -35,14 +37,25 @@ def best_candidate(candidates: Column, scores: Column) -> Column:
     return F.array_max(F.transform(candidates, lambda c, i: F.struct(F.element_at(scores, c).alias("s"), (-i).alias("i"), c.alias("c"))))["c"]
 
 
-def baseline_accuracy(rows: DataFrame, keys: list[str], samples: int, seed: int, tie: str = "post_id") -> DataFrame:
-    """Accuracy and bootstrap interval per slice, every slice with the same seed and one matrix of draws."""
+def resampled_means(values: np.ndarray, samples: int, seed: int, block: int = 1 << 22) -> np.ndarray:
+    """Means of ``samples`` resamples: the draws of one samples x n matrix, made in blocks of rows, so that memory does not grow with it."""
+    rng, means = np.random.default_rng(seed), []
+    while len(means) < samples:
+        rows = min(samples - len(means), max(1, block // len(values)))
+        means += list(values[rng.integers(0, len(values), (rows, len(values)))].mean(axis=1))
+    return np.array(means)
+
+
+def baseline_accuracy(rows: DataFrame, keys: list[str], samples: int, seed: int, tie: list[str] | None = None, most: int = MOST_RESAMPLED) -> DataFrame:
+    """Accuracy and bootstrap interval per slice in file order, every slice with the same seed; a slice of more than ``most`` rows is an error."""
+    tie = tie or file_order(rows)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        values = frame.sort_values(tie)["correct"].to_numpy(float)
-        means = np.random.default_rng(seed).choice(values, (samples, len(values))).mean(axis=1)
-        low, high = np.quantile(means, [0.025, 0.975])
+        if len(frame) > most:
+            raise ValueError(f"a slice of {len(frame)} rows is too long to be resampled in one task (at most {most})")
+        values = frame.sort_values(tie, kind="stable")["correct"].to_numpy(float)
+        low, high = np.quantile(resampled_means(values, samples, seed), [0.025, 0.975])
         return frame[keys].iloc[:1].assign(examples=len(values), accuracy=values.mean(), accuracy_ci95_low=low, accuracy_ci95_high=high)
 
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return rows.select(*keys, tie, "correct").groupBy(*keys).applyInPandas(run, f"{kinds}, examples bigint, accuracy double, accuracy_ci95_low double, accuracy_ci95_high double")
+    return rows.select(*keys, *[t for t in tie if t not in keys], "correct").groupBy(*keys).applyInPandas(run, f"{kinds}, examples bigint, accuracy double, accuracy_ci95_low double, accuracy_ci95_high double")

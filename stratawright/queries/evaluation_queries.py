@@ -39,36 +39,36 @@ _PRED = """pred AS (SELECT event_id, event_id::VARCHAR AS post_id, user_id::VARC
   event_type AS track, CASE event_id % 3 WHEN 0 THEN 'random' WHEN 1 THEN 'semantic' ELSE 'hard' END AS difficulty, CASE (event_id // 6) % 3 WHEN 0 THEN 4 WHEN 1 THEN 16 ELSE 64 END AS k,
   (event_id * 7919 % 1001) / 1000.0::DOUBLE AS conf, (event_id * 104729 % 1000 + 1) / 1001.0::DOUBLE AS p, (event_id * 31 % 100) < 100 * ((event_id * 7919 % 1001) / 1000.0::DOUBLE) AS correct, value,
   CASE WHEN event_id % 5 <> 0 THEN (event_id % 97)::DOUBLE END AS tin, CASE WHEN event_id % 7 <> 0 THEN (event_id % 89)::DOUBLE END AS tout, CASE WHEN event_id % 11 <> 0 THEN 1.0::DOUBLE / 3 END AS fwd, CASE WHEN event_id % 13 <> 0 THEN (event_id % 10) / 1000.0::DOUBLE END AS cost FROM events),
-  pooled AS (SELECT * EXCLUDE (track), track AS community_track FROM pred UNION ALL BY NAME SELECT * EXCLUDE (track), 'all' AS community_track FROM pred)"""
+  pooled AS (SELECT *, track AS community_track FROM pred UNION ALL BY NAME SELECT *, 'all' AS community_track FROM pred)"""
 _K = ["representation", "community_track", "difficulty", "k"]
 _KEYS = ", ".join(_K)
 
 
 @query(f"WITH {_PRED} SELECT {_KEYS}, count(*) AS examples, count(DISTINCT target) AS communities, round(avg(correct::INTEGER), 9) AS accuracy FROM pooled GROUP BY ALL")
 def A7_A8_A9_accuracy(spark, d):
-    m = metrics.slice_metrics(metrics.pooled(predictions(spark, d)))
+    m = metrics.slice_metrics(predictions(spark, d), pool=True)
     return m.select(*_K, "examples", "communities", F.round("accuracy", 9).alias("accuracy"))
 
 
 @query(f"WITH {_PRED}, t AS (SELECT {_KEYS}, target, avg(correct::INTEGER) AS a, count(*) AS n, sum(correct::INTEGER) AS r FROM pooled GROUP BY ALL) SELECT {_KEYS}, sum(n)::BIGINT AS examples, count(*) AS communities, round(sum(r) / sum(n), 9) AS accuracy, round(avg(a), 9) AS macro_community_accuracy FROM t GROUP BY {_KEYS}")
 def A7_A10_slice_metrics(spark, d):
     """Flagship: accuracy and mean over communities per slice, with the pooled track."""
-    m = metrics.slice_metrics(metrics.pooled(predictions(spark, d)))
+    m = metrics.slice_metrics(predictions(spark, d), pool=True)
     return m.select(*_K, "examples", "communities", F.round("accuracy", 9).alias("accuracy"), F.round("macro_community_accuracy", 9).alias("macro_community_accuracy"))
 
 
 @query(f"WITH {_PRED} SELECT {_KEYS}, round(avg(-ln(greatest(p, 1e-12))), 7) AS nll, round(avg(conf * conf - 2 * p + 1), 7) AS brier FROM pooled GROUP BY ALL")
 def A11_A12_nll_brier(spark, d):
-    m = metrics.slice_metrics(metrics.pooled(predictions(spark, d)))
+    m = metrics.slice_metrics(predictions(spark, d), pool=True)
     return m.select(*_K, F.round("nll", 7).alias("nll"), F.round("brier", 7).alias("brier"))
 
 
 @query(f"WITH {_PRED}, b AS (SELECT {_KEYS}, least(floor(conf * 15), 14) AS bin, count(*) AS n, avg(correct::INTEGER) AS a, avg(conf) AS c FROM pooled GROUP BY ALL) SELECT {_KEYS}, round(sum(n * abs(a - c)) / sum(n), 7) AS ece_15 FROM b GROUP BY {_KEYS}")
 def A13_ece_15(spark, d):
-    return metrics.ece(metrics.pooled(predictions(spark, d))).select(*_K, F.round("ece_15", 7).alias("ece_15"))
+    return metrics.ece(predictions(spark, d), pool=True).select(*_K, F.round("ece_15", 7).alias("ece_15"))
 
 
-@query(f"WITH {_PRED}, w AS (SELECT {_KEYS}, sum(1 - correct::INTEGER) OVER o / row_number() OVER o AS risk FROM pooled WINDOW o AS (PARTITION BY {_KEYS} ORDER BY conf DESC, target, post_id ROWS UNBOUNDED PRECEDING)) SELECT {_KEYS}, round(avg(risk), 7) AS aurc FROM w GROUP BY {_KEYS}")
+@query(f"WITH {_PRED}, w AS (SELECT {_KEYS}, sum(1 - correct::INTEGER) OVER o / row_number() OVER o AS risk FROM pooled WINDOW o AS (PARTITION BY {_KEYS} ORDER BY conf DESC, track, target, post_id ROWS UNBOUNDED PRECEDING)) SELECT {_KEYS}, round(avg(risk), 7) AS aurc FROM w GROUP BY {_KEYS}")
 def A14_W7_aurc(spark, d):
     return metrics.aurc(metrics.pooled(predictions(spark, d))).select(*_K, F.round("aurc", 7).alias("aurc"))
 
@@ -76,7 +76,7 @@ def A14_W7_aurc(spark, d):
 @query()
 def A15_bootstrap_ci(spark, d):
     """Rows only: the draws of PCG64 have no SQL; held against numpy in the tests."""
-    return metrics.bootstrap_intervals(metrics.pooled(predictions(spark, d)), 200, 42)
+    return metrics.bootstrap_intervals(metrics.pooled(predictions(spark, d)), 1000, 42)
 
 
 @query(f"WITH {_PRED} SELECT {_KEYS}, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM pooled GROUP BY ALL")
@@ -87,13 +87,13 @@ def A16_latency_quantiles(spark, d):
 
 @query(f"WITH {_PRED} SELECT {_KEYS}, round(avg(coalesce(tin, 0)), 7) AS mean_input_tokens, round(avg(coalesce(tout, 0)), 7) AS mean_output_tokens, round(avg(coalesce(fwd, 1)), 7) AS mean_forward_count, round(sum(coalesce(cost, 0)), 6) AS api_cost_usd FROM pooled GROUP BY ALL")
 def A17_usage_means_cost(spark, d):
-    m = metrics.slice_metrics(metrics.pooled(predictions(spark, d)))
+    m = metrics.slice_metrics(predictions(spark, d), pool=True)
     return m.select(*_K, *[F.round(c, 6 if c == "api_cost_usd" else 7).alias(c) for c in ("mean_input_tokens", "mean_output_tokens", "mean_forward_count", "api_cost_usd")])
 
 
 @query(f"WITH {_PRED} SELECT k, round(avg(correct::INTEGER), 9) AS accuracy FROM pooled WHERE community_track = 'all' AND difficulty = 'hard' AND representation = 'anonymous-id+description' AND k IN (16, 64) GROUP BY k")
 def A18_f_headline(spark, d):
-    return metrics.headline(metrics.slice_metrics(metrics.pooled(predictions(spark, d)))).select("k", F.round("accuracy", 9).alias("accuracy"))
+    return metrics.headline(metrics.slice_metrics(predictions(spark, d), pool=True)).select("k", F.round("accuracy", 9).alias("accuracy"))
 
 
 @query(f"WITH {_PRED} SELECT representation, round(avg(correct::INTEGER), 9) AS accuracy, avg(correct::INTEGER) >= 0.5 AS passed FROM pred GROUP BY 1")
@@ -123,21 +123,21 @@ def A23_W8_source_and_index(spark, d):
 
 @query(f"WITH {_PRED}, m AS (SELECT {_KEYS}, avg(correct::INTEGER) AS a FROM pooled GROUP BY ALL) SELECT n.community_track, n.difficulty, n.k, round(n.a, 9) AS names, round(x.a, 9) AS descriptions FROM m n JOIN m x ON n.community_track = x.community_track AND n.difficulty = x.difficulty AND n.k = x.k AND n.representation = 'name-only' AND x.representation <> 'name-only'")
 def J13_names_vs_descriptions(spark, d):
-    m = metrics.slice_metrics(metrics.pooled(predictions(spark, d)))
+    m = metrics.slice_metrics(predictions(spark, d), pool=True)
     gap = metrics.representation_gap(m).filter("names is not null and descriptions is not null")
     return gap.select("community_track", "difficulty", "k", F.round("names", 9).alias("names"), F.round("descriptions", 9).alias("descriptions"))
 
 
 @query(f"WITH {_PRED} SELECT {_KEYS}, least(floor(conf * 15), 14)::BIGINT AS bin, count(*) AS n, round(avg(correct::INTEGER), 9) AS accuracy FROM pooled WHERE conf <= 1 GROUP BY ALL")
 def A13_calibration_bins(spark, d):
-    b = metrics.calibration_bins(metrics.pooled(predictions(spark, d)))
+    b = metrics.calibration_bins(predictions(spark, d), pool=True)
     return b.select(*_K, F.col("bin").cast("bigint").alias("bin"), "n", F.round("accuracy", 9).alias("accuracy"))
 
 
 @query()
 def O4_metric_table(spark, d):
     """The whole metric table, in key order; the bootstrap columns make it rows-only."""
-    return metrics.all_metrics(predictions(spark, d), samples=100, seed=7)
+    return metrics.all_metrics(predictions(spark, d), seed=7)
 
 
 @query()
@@ -168,7 +168,7 @@ def A24_baseline_accuracy(spark, d):
     """Rows only: bootstrap with one seed for every slice; held against numpy in the tests."""
     from stratawright.operators.baseline import baseline_accuracy
 
-    return baseline_accuracy(predictions(spark, d), ["difficulty", "k"], 200, 7)
+    return baseline_accuracy(predictions(spark, d), ["difficulty", "k"], 1000, 7)
 
 
 @query()

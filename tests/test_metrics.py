@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stratawright.operators import metrics
-from stratawright.operators.baseline import baseline_accuracy, best_candidate
+from stratawright.operators.baseline import baseline_accuracy, best_candidate, resampled_means
 
 KEYS = ["k"]
 
@@ -68,8 +68,55 @@ def test_latency_quantiles(spark):
 def test_baseline(spark):
     df = frame(spark, [0.5] * 40, [i % 4 > 0 for i in range(40)])
     row = baseline_accuracy(df, KEYS, 1000, 5).first()
-    values = np.array([i % 4 > 0 for i in range(40)], float)
+    order = sorted(range(40), key=lambda i: (f"t{i % 3}", i))
+    values = np.array([i % 4 > 0 for i in order], float)
     means = np.random.default_rng(5).choice(values, (1000, 40)).mean(axis=1)
     assert row.accuracy == 0.75 and row.accuracy_ci95_low == np.quantile(means, 0.025)
     scores = F.create_map(F.lit("a"), F.lit(1.0), F.lit("b"), F.lit(1.0))
     assert spark.range(1).select(best_candidate(F.array(F.lit("b"), F.lit("a")), scores)).first()[0] == "b"
+
+
+def test_pooled_track_keeps_file_order(spark):
+    """Two tracks with interleaved targets and tied confidence: ``all`` is ordered by own track first, as the predictions are filed."""
+    rng = np.random.default_rng(8)
+    rows = [("m", "r", ("seen", "unseen")[i % 2], "hard", 4, f"t{i % 5}", f"p{i:03d}", float(rng.integers(0, 3)) / 3, bool(rng.random() < 0.4 + 0.3 * (i % 2)), f"source {i % 2}", float(i)) for i in range(200)]
+    df = spark.createDataFrame(rows, "text_mode string, representation string, community_track string, difficulty string, k int, target string, post_id string, confidence double, correct boolean, probability_source string, amortized_latency_ms double")
+    filed = sorted(rows, key=lambda r: (r[2], r[5], r[6]))
+    by_confidence = sorted(filed, key=lambda r: -r[7])
+    pool = metrics.pooled(df)
+    got = metrics.aurc(pool).filter("community_track = 'all'").first().aurc
+    assert got == pytest.approx(numpy_aurc(np.arange(200), [r[8] for r in by_confidence]), abs=1e-12)
+    row = metrics.bootstrap_intervals(pool, 100, 3).filter("community_track = 'all'").first()
+    values, generator = np.array([r[8] for r in filed], float), np.random.default_rng(3)
+    means = [values[generator.integers(0, 200, 200)].mean() for _ in range(100)]
+    assert (row.accuracy_ci95_low, row.accuracy_ci95_high) == tuple(np.quantile(means, [0.025, 0.975]))
+    assert metrics.probability_source(pool).filter("community_track = 'all'").first()[-1] == filed[0][9]
+
+
+def test_one_value_in_many_ranges(spark):
+    """A scorer with constant confidence does not put a slice into one range."""
+    df = frame(spark, [1.0] * 4000, [i % 3 > 0 for i in range(4000)])
+    assert metrics.in_ranges(df, KEYS, [F.col("confidence").desc(), F.col("target"), F.col("post_id")]).select("_r").distinct().count() > 1
+    order = sorted(range(4000), key=lambda i: (f"t{i % 3}", i))
+    assert metrics.aurc(df, KEYS).first().aurc == pytest.approx(numpy_aurc(order, [i % 3 > 0 for i in range(4000)]), abs=1e-12)
+
+
+def test_pooling_partial_sums_equals_pooling_rows(spark):
+    rows = [("m", "r", ("a", "b")[i % 2], "hard", 4, f"t{i % 3}", (i * 7 % 11) / 10, i % 4 > 0, 0.3 + i / 100, 0.5, float(i % 5), None, None, 0.1) for i in range(50)]
+    df = spark.createDataFrame(rows, "text_mode string, representation string, community_track string, difficulty string, k int, target string, confidence double, correct boolean, true_probability double, squared_probability_sum double, input_tokens double, output_tokens double, forward_count double, api_cost_usd double")
+    for operator in (metrics.slice_metrics, metrics.ece, metrics.calibration_bins):
+        one, two = operator(df, pool=True), operator(metrics.pooled(df))
+        keys = [c for c in one.columns if c in (*metrics.KEYS, "bin")]
+        for x, y in zip(one.orderBy(*keys).collect(), two.orderBy(*keys).collect(), strict=True):
+            assert all(a == pytest.approx(b, abs=1e-12) if isinstance(a, float) else a == b for a, b in zip(x, y, strict=True))
+
+
+def test_too_long_a_slice_is_refused(spark):
+    with pytest.raises(Exception, match="too long"):
+        metrics.bootstrap_intervals(frame(spark, [0.5] * 6, [True] * 6), 10, 1, KEYS, most=5).collect()
+
+
+def test_resampling_in_blocks_is_one_matrix():
+    values = np.random.default_rng(1).random(37)
+    whole = np.random.default_rng(9).choice(values, (50, 37)).mean(axis=1)
+    assert (resampled_means(values, 50, 9, block=100) == whole).all()
