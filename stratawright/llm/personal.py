@@ -5,8 +5,8 @@ Method: linear-chain conditional random field over word-shape features, trained
 its beginning, its word if the table knows it, the kind of word it is (CLASSES), and those of three neighbours on either side. A token's share in the
 scores depends on its type alone, so it is computed once per type and worker and then gathered.
 
-Lines that cannot hold an item are left out of the decoding by a bound that is exact: when, at every token, each label other than O
-loses more than any two transitions could win back, the best path is O throughout. What the field labels is an item; only a name that is none by
+Tokens that cannot belong to an item are left out of the decoding by a bound that is exact: where the best run of labels other than O through a
+token loses against O even with the largest moves, the best path has O there, and what lies between is decoded by itself. What the field labels is an item; only a name that is none by
 definition (a single part, digits, or the end of a sentence in it) is dropped.
 
 Defined cases: null, empty and blank texts hold no items; long lines are decoded whole; positions are code points of the stored
@@ -31,6 +31,7 @@ from stratawright.llm.scrub import unaccented
 from stratawright.session import spread
 
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
+INNER = np.array([name[0] == "I" for name in LABELS])
 REACH = 3
 OFFSETS = 2 * REACH + 1
 #: Most features of a token that ``features`` makes; token types remembered per worker.
@@ -40,7 +41,9 @@ EPOCHS, RATE, DECAY, BATCH = 8, 0.4, 5e-4, 40
 AVERAGED = 3
 #: Fewest occurrences in the table of a feature; how often a word of the table is taken for an unknown one.
 KNOWN, KNOWN_WORD, FORGET = 5, 20, 0.2
-#: A word is often used in a corpus if it is in so many rows and such a share of all.
+#: Signs that stand between words or cling to them.
+SIGNS = "\n\r\t.,;:!?()[]{}<>\"“”„«»…/|*_#-–—'’。、（）！？"
+#: A word is often used in a corpus if it is so many times and in such a share of all rows.
 USUAL_ROWS, USUAL_SHARE = 3, 2e-4
 #: How likely a corpus uses a word of each kind often as plain or as proper word, as drawn for the labelled table; else it is rare.
 USUAL = {"language": (0.9, 0.02), "brand": (0.02, 0.6), "given": (0.02, 0.7), "other": (0.02, 0.15)}
@@ -56,6 +59,14 @@ TOKEN = re.compile(
     r"|[぀-ヿ㐀-鿿]+"
     r"|[^\w\s]"
 )
+#: TOKEN for lines in ASCII without a sign that links, mail addresses or escaped characters have.
+ASCII_TOKEN = re.compile(r"\d+(?:[-./,:]\d+)*(?!\w)|\w+(?:[.+_'-]\w+)*|[^\w\s]")
+
+
+def pattern_for(line: str) -> re.Pattern[str]:
+    return ASCII_TOKEN if line.isascii() and "@" not in line and "&" not in line and "://" not in line and "www." not in line else TOKEN
+
+
 SHAPES = str.maketrans({**{c: "X" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "x" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "d" for c in "0123456789"}})
 LETTER_RUN = re.compile(r"X{2,}|x{2,}|j{2,}")
 DIGIT_RUN = re.compile(r"d+")
@@ -155,10 +166,9 @@ class Tagger:
     def _reset(self) -> None:
         self.types: dict[str, int] = {"": 0}
         self.shares = np.zeros((1024, OFFSETS, len(LABELS)), "float32")  # by type: what it adds to the token at each offset
-        other = self.moves.max(axis=1) - self.moves[0, 0]
-        into = (self.moves - self.moves[0, 0])[:, 1:].max()
-        out = (self.moves - self.moves[0, 0])[1:, :].max()
-        self.bonus = float(max(0.0, into) + max(0.0, out, other.max()) + max(0.0, (self.starts - self.starts[0]).max()))
+        gain = self.moves - self.moves[0, 0]
+        self.step = float(max(gain[:, 1:].max(), (self.starts[1:] - self.starts[0]).max()))  # most that a label other than O wins by the move into it
+        self.out = float(max(gain[1:, 0].max(), 0.0))  # and by the move out of it
 
     def slots(self, token: str) -> list[int]:
         low = folded(token)
@@ -181,44 +191,51 @@ class Tagger:
             out += self.shares[:, o][types[o : o + n]]
         return out
 
-    def inert(self, scores: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Which lines are O throughout, by the bound. The gaps between lines belong to the line before."""
-        gain = (scores[:, 1:] - scores[:, :1]).max(axis=1)
-        return np.maximum.reduceat(gain, starts) + self.bonus < 0
-
-    def decode(self, lines: list[np.ndarray]) -> list[np.ndarray]:
-        """Best labels of every line, which is given by the scores of its tokens."""
-        out: list[np.ndarray] = [np.empty(0, "int64")] * len(lines)
-        order = sorted(range(len(lines)), key=lambda i: len(lines[i]))
-        at = 0
-        while at < len(order):
-            longest = len(lines[order[at]])
-            some = []
-            while at < len(order) and len(lines[order[at]]) <= max(12, longest * 1.3) and (len(some) + 1) * max(12, len(lines[order[at]])) <= 60_000 or not some:
-                some.append(order[at])
-                at += 1
-            lengths = np.array([len(lines[i]) for i in some])
-            scores = np.zeros((len(some), int(lengths.max()), len(LABELS)), "float32")
-            for row, i in enumerate(some):
-                scores[row, : len(lines[i])] = lines[i]
-            best = self.starts + scores[:, 0]
-            back = np.zeros(scores.shape, "int8")
-            paths = np.zeros((len(some), scores.shape[1]), "int64")
-            last = np.where(lengths == 1, best.argmax(axis=1), 0)
-            for t in range(1, scores.shape[1]):
-                through = best[:, :, None] + self.moves
-                back[:, t] = through.argmax(axis=1)
-                best = through.max(axis=1) + scores[:, t]
-                ends = lengths == t + 1
-                last[ends] = best[ends].argmax(axis=1)
-            label = last.copy()
-            for t in range(scores.shape[1] - 1, -1, -1):
-                on = t < lengths
-                paths[on, t] = label[on]
-                label[on] = back[on, t][np.arange(on.sum()), label[on]] if t else label[on]
-            for row, i in enumerate(some):
-                out[i] = paths[row, : lengths[row]]
-        return out
+    def live(self, scores: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Which tokens may have a label other than O in a best path.
+
+        A run of such labels wins no more over O than its tokens' largest gains and the largest moves; the best run through a token is the token with
+        the best runs that end before and begin behind it. Where even that loses, the token is O. Lines begin at ``starts``.
+        """
+        gain = (scores[:, 1:] - scores[:, :1]).max(axis=1).astype(float) + self.step
+        first, last = np.zeros(len(gain), bool), np.zeros(len(gain), bool)
+        first[starts], last[np.append(starts[1:], len(gain)) - 1] = True, True
+        return best_ending(gain, first) + best_ending(gain[::-1], last[::-1])[::-1] - gain + self.out >= 0
+
+    def decode(self, scores: np.ndarray, heads: np.ndarray, tails: np.ndarray, opens: np.ndarray, closes: np.ndarray) -> np.ndarray:
+        """Labels of all tokens, by Viterbi over the parts [head, tail) and O elsewhere.
+
+        ``opens`` and ``closes`` tell which parts begin and end their line; an O stands on the other sides. Parts of one length are decoded together.
+        """
+        labels = np.zeros(len(scores), "int8")
+        sizes = tails - heads
+        order = np.argsort(sizes, kind="stable")
+        for same in np.split(order, np.flatnonzero(np.diff(sizes[order])) + 1) if len(order) else []:
+            n = int(sizes[same[0]])
+            for some in np.array_split(same, -(-len(same) * n // 60_000)):
+                at = heads[some]
+                best = np.where(opens[some, None], self.starts, self.moves[0]) + scores[at]
+                back = []
+                for t in range(1, n):
+                    through = best[:, :, None] + self.moves
+                    back.append(through.argmax(axis=1))
+                    best = through.max(axis=1) + scores[at + t]
+                label = (best + np.where(closes[some, None], 0, self.moves[:, 0])).argmax(axis=1)
+                rows = np.arange(len(some))
+                for t in range(n - 1, -1, -1):
+                    labels[at + t] = label
+                    if t:
+                        label = back[t - 1][rows, label]
+        return labels
+
+
+def best_ending(gain: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Largest sum of a run that ends at each place and begins in the same line; ``first`` marks where lines begin."""
+    total = np.cumsum(gain)
+    before = np.concatenate([[0.0], total[:-1]])
+    # A drop larger than all sums before each line keeps the least prefix within the line.
+    drop = np.cumsum(first) * (np.abs(gain).sum() + 1.0)
+    return total - drop - np.minimum.accumulate(before - drop)
 
 
 # --- training ----------------------------------------------------------------------------------------------------------------
@@ -347,7 +364,7 @@ def find_items(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[int,
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
     if len(tagger.types) > REMEMBERED:
         tagger._reset()
-    find, get, new = TOKEN.findall, tagger.types.get, tagger.type_of
+    get, new = tagger.types.get, tagger.type_of
     lines: list[tuple[int, int, str]] = []
     flat: list[int] = [0] * REACH
     ends: list[int] = []
@@ -357,7 +374,7 @@ def find_items(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[int,
             continue
         at = 0
         for line in text.split("\n"):
-            words = find(line)
+            words = pattern_for(line).findall(line)
             if words:
                 flat += [get(w) or new(w) for w in words]
                 flat += gap
@@ -366,32 +383,38 @@ def find_items(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[int,
             at += len(line) + 1
     if not lines:
         return out
-    types = np.array(flat, "int64")
     stops = np.array(ends, "int64")
-    scores = tagger.emissions(types)
+    scores = tagger.emissions(np.array(flat, "int64"))
     begins = np.concatenate([[0], stops[:-1]])  # in scores, which have no zeros in front
-    alive = np.flatnonzero(~tagger.inert(scores, begins))
-    paths = tagger.decode([scores[begins[j] : stops[j] - REACH] for j in alive])
-    for j, path in zip(alive, paths, strict=True):
-        if not path.any():
-            continue
+    real = np.ones(len(scores), bool)
+    real[(stops[:-1, None] - 1 - np.arange(REACH)).ravel()] = False  # the gap behind each line but the last
+    scores, sizes = scores[real], stops - begins - REACH
+    begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    live = tagger.live(scores, begins)
+    first, last = np.zeros(len(live), bool), np.zeros(len(live), bool)
+    first[begins], last[begins + sizes - 1] = True, True
+    heads = np.flatnonzero(live & (first | ~np.concatenate([[False], live[:-1]])))
+    tails = np.flatnonzero(live & (last | ~np.concatenate([live[1:], [False]]))) + 1
+    labels = tagger.decode(scores, heads, tails, first[heads], last[tails - 1])
+    found = np.flatnonzero(labels)
+    if not len(found):
+        return out
+    inner = INNER[labels[found]]  # I-: belongs to the item before, which is of its kind and next to it
+    owner = np.searchsorted(begins, found, side="right") - 1
+    spans: list[tuple[int, int]] = []
+    seen = -1
+    ends_at = np.append(np.flatnonzero(~inner)[1:], len(found)) - 1
+    for k, end in zip(np.flatnonzero(~inner).tolist(), ends_at.tolist(), strict=True):
+        j = int(owner[k])
         i, at, line = lines[j]
-        spans = [m.span() for m in TOKEN.finditer(line)]
-        k = 0
-        while k < len(path):
-            label = LABELS[path[k]]
-            if label == "O":
-                k += 1
-                continue
-            last = k
-            while last + 1 < len(path) and LABELS[path[last + 1]] == f"I-{label[2:]}":
-                last += 1
-            a, b = spans[k][0], spans[last][1]
-            if label[2:] == "phone" and a and (line[a - 1] == "+" or line[a - 1] == "(" and ")" in line[a:b]):
-                a -= 1  # the sign or bracket that opens a number belongs to it
-            if is_item(label[2:], line[a:b]):
-                out[i].append((at + a, at + b, label[2:]))
-            k = last + 1
+        if j != seen:
+            spans, seen = [m.span() for m in pattern_for(line).finditer(line)], j
+        kind = LABELS[labels[found[k]]][2:]
+        a, b = spans[found[k] - begins[j]][0], spans[found[end] - begins[j]][1]
+        if kind == "phone" and a and (line[a - 1] == "+" or line[a - 1] == "(" and ")" in line[a:b]):
+            a -= 1  # the sign or bracket that opens a number belongs to it
+        if is_item(kind, line[a:b]):
+            out[i].append((at + a, at + b, kind))
     return out
 
 
@@ -407,23 +430,20 @@ def redact(text: str | None, items: list[tuple[int, int, str]]) -> str | None:
 
 
 def usage_of(posts: DataFrame) -> Usage:
-    """How the corpus uses its words: those in at least USUAL_SHARE of all rows (and USUAL_ROWS rows), by how they are mostly written.
+    """How the corpus uses its words: those that make up USUAL_SHARE or more of a word per row (and USUAL_ROWS), by how they are mostly written.
 
-    A word is proper if it mostly has a capital behind a small letter or comma, where no sentence begins. Counted in the JVM over all texts
-    with partial sums; the list has at most (words of a row) / USUAL_SHARE entries.
+    Counted in the JVM over all texts with partial sums; signs are blanked and words split at blanks, which needs no regular expression.
+    The list has at most (words of a row) / USUAL_SHARE entries.
     """
-    text = F.concat_ws(" \n", "title", "selftext")
-    words = F.array_distinct(F.filter(F.split(text, r"[^\p{L}]+"), lambda w: w != ""))
-    inner = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?<=[\p{Ll},] )\p{L}+"), F.lit(0)))
     rows = posts.filter("post_id is not null")
     total = rows.count()
-    parts = F.explode(F.concat(F.transform(words, lambda w: F.struct(w.alias("word"), F.lit(0).alias("inner"))), F.transform(inner, lambda w: F.struct(w.alias("word"), F.lit(1).alias("inner")))))
-    counted = rows.select(parts.alias("p")).groupBy("p.word").agg(F.sum(1 - F.col("p.inner")).alias("n"), F.sum("p.inner").alias("inner"))
+    text = F.translate(F.concat_ws(" ", "title", "selftext"), SIGNS, " " * len(SIGNS))
+    counted = rows.select(F.explode(F.split(text, " ")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(r"word rlike '^\\p{L}+$'")
     low = F.lower("word")
-    joined = counted.groupBy(low.alias("low")).agg(F.sum("n").alias("n"), F.sum("inner").alias("inner"), F.sum(F.when(F.col("word") == low, 0).otherwise(F.col("inner"))).alias("capital"))
+    joined = counted.groupBy(low.alias("low")).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("word") == low, F.col("n")).otherwise(0)).alias("plain"))
     plain, proper = set(), set()
     for row in joined.filter(F.col("n") >= max(USUAL_ROWS, USUAL_SHARE * total)).collect():
-        (proper if row.inner and 2 * row.capital > row.inner else plain).add(folded(row.low))
+        (plain if 2 * row.plain >= row.n else proper).add(folded(row.low))
     return Usage(frozenset(plain), frozenset(proper - plain))
 
 
