@@ -25,12 +25,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stratawright.llm.scrub import plain, romanised, unaccented
-from stratawright.session import cut, wide
+from stratawright.session import cut, spread
 
 LANGUAGES = ("en", "de", "fr", "es", "pt", "it", "nl", "pl", "tr", "ru", "ja")
-#: Declared records taken per language to complete its dictionary (up to 1,000 Spark keeps the smallest hashes within each task, so the declarations
-#: of a frequent language never meet in one), and the most bytes of a dictionary.
-SAMPLE, DICTIONARY_BYTES = 1000, 60_000
+#: Declared records taken per language to complete its dictionary, the groups in which they are ranked, and the most bytes of a dictionary.
+SAMPLE, GROUPS, DICTIONARY_BYTES = 1000, 64, 60_000
 #: Least share by which the smallest encoding must undercut the next, and least letters of a segment.
 MARGIN, LEAST_LETTERS, LEAST_WORDS = 0.06, 12, 3
 #: Short matches must count, or short segments are stored as they are and all encodings have one size.
@@ -155,17 +154,14 @@ def segments(text: str | None) -> list[str]:
 
 
 def record_fields(posts: DataFrame, communities: DataFrame) -> DataFrame:
-    """record_kind, record_id, field, text: the longest text of each field over the rows of a record."""
+    """record_kind, record_id, field, text: one row per field of every row; copies of a record stay, so that all their texts are read."""
 
-    def longest(df: DataFrame, kind: str, key: str, names: list[str]) -> DataFrame:
+    def fields(df: DataFrame, kind: str, key: str, names: list[str]) -> DataFrame:
         rows = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("record_id"), *names)
-        if kind == "post":
-            rows = rows.repartition(wide(df.sparkSession), "record_id")
-        rows = rows.groupBy("record_id").agg(*[F.max_by(n, F.struct(F.length(n), F.col(n))).alias(n) for n in names])
-        fields = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("text")) for n in names]))
-        return rows.select(F.lit(kind).alias("record_kind"), "record_id", fields.alias("f")).select("record_kind", "record_id", "f.field", "f.text")
+        each = F.explode(F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).alias("text")) for n in names]))
+        return spread(rows).select(F.lit(kind).alias("record_kind"), "record_id", each.alias("f")).select("record_kind", "record_id", "f.field", "f.text")
 
-    return longest(posts, "post", "post_id", ["title", "selftext"]).unionByName(longest(communities, "community", "community_id", ["public_description"]))
+    return fields(posts, "post", "post_id", ["title", "selftext"]).unionByName(fields(communities, "community", "community_id", ["public_description"]))
 
 
 def declared_code(column: str) -> Column:
@@ -198,20 +194,35 @@ def train(spark: SparkSession, posts: DataFrame, declared_langs: DataFrame, samp
     """
     declared = declared_langs.filter(F.lower(F.trim("record_kind")) == "post").select("record_id", declared_code("lang").alias("code")).filter(F.col("code").isin(*LANGUAGES[:-1]))
     ranked = declared.distinct().withColumn("order", F.xxhash64("record_id"))
-    few = ranked.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("order", "record_id"))).filter(F.col("n") <= sample).select("record_id", "code")
-    rows = posts.select(F.col("post_id").alias("record_id"), "title", "selftext").join(F.broadcast(few), "record_id").groupBy("record_id", "code").agg(F.max("title").alias("title"), F.max("selftext").alias("selftext")).collect()
+    # Smallest hashes in groups first, so the declarations of a frequent language never meet in one task, whatever ``sample`` is.
+    part = Window.partitionBy("code", F.pmod("order", F.lit(GROUPS))).orderBy("order", "record_id")
+    few = ranked.withColumn("n", F.row_number().over(part)).filter(F.col("n") <= sample)
+    few = few.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("order", "record_id"))).filter(F.col("n") <= sample).select("record_id", "code", "order")
+    rows = posts.select(F.col("post_id").alias("record_id"), "title", "selftext").join(F.broadcast(few), "record_id").groupBy("record_id", "code", "order").agg(F.max("title").alias("title"), F.max("selftext").alias("selftext")).collect()
     told: dict[str, list[list[str]]] = {name: [] for name in SEEDS}
-    for row in sorted(rows, key=lambda r: (r.code, r.record_id)):
+    for row in sorted(rows, key=lambda r: (r.code, r.order, r.record_id)):
         letters = [x for text in (row.title, row.selftext) for x in map(folded, segments(text)) if x.count(" ") >= 3]
         if letters:
             told[row.code].append(letters)
     return grow(told)
 
 
+def within(parts: Iterable[str], most: int) -> bytes:
+    """The first of the parts, whole and divided by blanks, that fit into so many bytes."""
+    kept, size = [], 0
+    for part in parts:
+        data = part.encode()
+        if size + len(data) <= most:
+            kept.append(data)
+            size += len(data) + 1
+    return b" ".join(kept)
+
+
 def grow(told: dict[str, list[list[str]]]) -> dict[str, bytes]:
     """Dictionaries from the paragraphs and, in ROUNDS rounds, from the declared records that they agree with.
 
-    ``told`` has the folded segments of each record by declared language. A record teaches when most of its letters are in its
+    ``told`` has the folded segments of each record by declared language, in order of the hash of its id, so what fits into a dictionary is a sample
+    of what was taken, too. A record teaches when most of its letters are in its
     declared language, and then those of its segments that are; a wrong declaration or a foreign passage teaches nothing.
     """
     seeds = seed_texts()
@@ -227,7 +238,7 @@ def grow(told: dict[str, list[list[str]]]) -> dict[str, bytes]:
                 other = sum(len(x) for x, found, margin in scored if found != name and margin >= TEACHES)
                 if sum(map(len, mine)) > other:
                     taken.update(dict.fromkeys(mine))
-            content[name] = " ".join(taken).encode()[: DICTIONARY_BYTES - len(seeds[name]) - 1]
+            content[name] = within(taken, DICTIONARY_BYTES - len(seeds[name]) - 1)
         texts = {name: content.get(name, b"") + b" " + seed for name, seed in seeds.items()}
     return texts
 
@@ -264,7 +275,7 @@ def merge(found: Iterable[tuple[str, str, float]]) -> list[tuple[str, int, float
 
 
 def field_languages(fields: DataFrame, texts: dict[str, bytes]) -> DataFrame:
-    """record_kind, record_id, field, langs: array of (lang, n_chars, confidence), empty if the field has no language."""
+    """record_kind, record_id, field, langs: array of (lang, n_chars, confidence), empty if the field has no language. One row per row of ``fields``."""
     held = fields.sparkSession.sparkContext.broadcast(texts)  # at most 11 * DICTIONARY_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -285,7 +296,7 @@ def field_languages(fields: DataFrame, texts: dict[str, bytes]) -> DataFrame:
 
 
 def language_segments(fields: DataFrame, texts: dict[str, bytes]) -> DataFrame:
-    """record_kind, record_id, field, part, segment, lang (null if rejected), confidence: one row per part of a field."""
+    """record_kind, record_id, field, part, segment, lang (null if rejected), confidence: one row per part of a field and copy of it."""
     held = fields.sparkSession.sparkContext.broadcast(texts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,9 +319,9 @@ def language_segments(fields: DataFrame, texts: dict[str, bytes]) -> DataFrame:
 def wrong_labels(posts: DataFrame, communities: DataFrame, declared_langs: DataFrame) -> DataFrame:
     """record_kind, record_id, field, lang, confidence of every record whose declaration is missing, wrong or too narrow."""
     texts = train(posts.sparkSession, posts, declared_langs)
-    found = cut(field_languages(record_fields(posts, communities), texts))
-    rows = found.filter(F.size("langs") > 0)
-    told = rows.groupBy("record_kind", "record_id").agg(F.array_distinct(F.flatten(F.collect_list("langs.lang"))).alias("langs"), F.collect_list(F.struct("field", "langs")).alias("fields"))
+    found = field_languages(record_fields(posts, communities), texts).select("record_kind", "record_id", "field", F.explode("langs").alias("l"))
+    # A language counts once per field, however many copies the record has; only then a record's few rows meet.
+    rows = cut(found.groupBy("record_kind", "record_id", "field", F.col("l.lang").alias("lang")).agg(F.max("l.confidence").alias("confidence")))
+    told = rows.groupBy("record_kind", "record_id").agg(F.collect_set("lang").alias("langs"), F.collect_list(F.struct("field", "lang", "confidence")).alias("fields"))
     cases = told.join(declarations(declared_langs), ["record_kind", "record_id"], "left").filter("declared is null or size(langs) > 1 or not arrays_overlap(langs, declared)")
-    flat = cases.select("record_kind", "record_id", F.explode("fields").alias("f")).select("record_kind", "record_id", "f.field", F.explode("f.langs").alias("l"))
-    return flat.select("record_kind", "record_id", "field", "l.lang", "l.confidence")
+    return cases.select("record_kind", "record_id", F.explode("fields").alias("f")).select("record_kind", "record_id", "f.field", "f.lang", "f.confidence")
