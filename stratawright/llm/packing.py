@@ -128,13 +128,8 @@ def reduce_instance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[i
                             top = max(top, a + b)
                 if best < top:
                     break
-                # One copy at a time: the best pair may change with the histogram.
-                fixed.append((1, pair))
-                for s, k in pair.items():
-                    left[s] -= k
-                    if not left[s]:
-                        del left[s]
-                        sizes.pop(bisect_left(sizes, s))
+                # For all copies at once: removing them leaves the largest partner the same and the best pair no better.
+                take(pair)
             else:
                 break
     return fixed, left
@@ -191,3 +186,24 @@ def pack(sizes: DataFrame, id_col: str, size_col: str = "size", capacity: int =
 
     placed = ranked.withColumn("container", container("piece_size", "rank"))
     return placed.select(F.col("key").alias(id_col), "piece", "pieces", "piece_size", "container")
+
+
+def split_items(packed: DataFrame, id_col: str) -> DataFrame:
+    """``id_col`` of the items whose pieces lie in more than one container."""
+    return packed.filter("pieces > 1").groupBy(id_col).agg(F.countDistinct("container").alias("n")).filter("n > 1").select(id_col)
+
+
+def summary(packed: DataFrame, id_col: str, capacity: int = CAPACITY) -> DataFrame:
+    """One row: items, split, pieces, tokens, containers, fullest, least_containers and overfull.
+
+    ``least_containers`` is the fewest that any filling needs: all tokens in full containers, or one for every piece of more than half a container.
+    ``overfull`` counts containers above the capacity, which must be 0.
+    """
+    placed = packed.filter("container is not null")
+    load = placed.groupBy("container").agg(F.sum("piece_size").alias("used"), F.count(F.lit(1)).alias("pieces"), F.sum((F.col("piece_size") * 2 > capacity).cast("bigint")).alias("large"), F.sum((F.col("piece") == 0).cast("bigint")).alias("items"), F.sum(((F.col("piece") == 0) & (F.col("pieces") > 1)).cast("bigint")).alias("split"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    least = F.greatest(F.ceil(total("used") / capacity), total("large"))
+    return load.agg(
+        total("items").alias("items"), total("split").alias("split"), total("pieces").alias("pieces"), total("used").alias("tokens"), F.count(F.lit(1)).alias("containers"),
+        F.coalesce(F.max("used"), F.lit(0)).alias("fullest"), least.alias("least_containers"), total((F.col("used") > capacity).cast("bigint")).alias("overfull"),
+    )

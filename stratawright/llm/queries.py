@@ -55,6 +55,10 @@ def p4_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.long_form(toxicity.scores(*toxicity.train(read_table(spark, sf_dir, "posts"), read_table(spark, sf_dir, "content_labels"))))
 
 
+def p4_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.passages(*toxicity.train(read_table(spark, sf_dir, "posts"), read_table(spark, sf_dir, "content_labels")))
+
+
 def p4_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rates(read_table(spark, sf_dir, "posts"), read_table(spark, sf_dir, "content_labels"))
 
@@ -74,8 +78,8 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that the packing has split."""
-    return p7_packing(spark, sf_dir).filter("pieces > 1 and piece = 0").select("doc_id")
+    """Documents whose pieces the packing has placed in several containers."""
+    return packing.split_items(p7_packing(spark, sf_dir), "doc_id")
 
 
 def p7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +93,11 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filled.withColumn("unused", F.lit(packing.CAPACITY).cast("bigint") - F.col("used"))
 
 
+def p7_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many containers the packing needs beside the fewest that any could, and that none is overfull."""
+    return packing.summary(p7_packing(spark, sf_dir), "doc_id")
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subjects.found(*(read_table(spark, sf_dir, t) for t in ("documents", "subject_labels", "subject_list")))
 
@@ -100,8 +109,8 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_counts, p2_found, p2_redacted, p3_found, p3_confidence, p3_segments, p4_found, p4_scores, p4_rates,
-        p5_instances, p5_posts, p6_ids, p7_found, p7_packing, p7_containers, p8_found, p8_shares,
+        p1_found, p1_counts, p2_found, p2_redacted, p3_found, p3_confidence, p3_segments, p4_found, p4_scores, p4_passages, p4_rates,
+        p5_instances, p5_posts, p6_ids, p7_found, p7_packing, p7_containers, p7_summary, p8_found, p8_shares,
     )
 }
 

@@ -4,10 +4,11 @@ Method: complement naive Bayes from the labelled documents, refined with expecta
 calibrated independent subject posteriors. The unit is the sentence, because a document may be about several subjects: each
 sentence has a posterior over the subjects and "none" (small talk); the share of a document that is about a subject is the mean of its
 sentences' posteriors by words. The first model takes a labelled document's sentences for all its subjects; every further round gives each
-sentence of *all* documents its posterior, within the labels where there are any, and counts words by these weights. Words are hashed
-into a fixed number of features, so the counts have a bounded size; each task sums its own before they meet. At last one logistic curve
-maps shares to probabilities, fitted on labelled documents by models that have not seen them (two folds); a subject is
-given where the probability reaches the threshold with the best balance of precision and recall there.
+sentence of *all* documents its posterior, within the labels where there are any, and counts words by these weights. Texts are read
+once, into a table of hashed words; a fixed number of features bounds the counts, and sentences weigh in whole units, so sums
+do not depend on the order in which tasks meet. At last a logistic curve of its own maps each subject's shares to probabilities, fitted on labelled
+documents by models that have not seen them (two folds) and drawn towards the curve of all subjects while labels are few; a subject is
+given where its probability reaches the threshold with the best balance of precision and recall there.
 
 The labels are fitted on at most MOST_LABELS labelled documents (a bounded sample by hash of the id); word counts cover all documents.
 Labels are read without case and blanks and counted once; "none" beside a subject is ignored.
@@ -25,11 +26,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratawright.llm.scrub import plain, romanised, unaccented
-from stratawright.session import spread
+from stratawright.session import cut, spread
 
 #: Hashed features, rounds over all documents, most labelled documents.
 FEATURES, ROUNDS, MOST_LABELS = 1 << 17, 2, 16_000
@@ -39,6 +40,10 @@ SEED, REMEMBERED = 5, 300_000
 NEIGHBOUR = 0.15
 #: What a word of an unlabelled document counts, beside one of a labelled.
 UNLABELLED = 0.1
+#: Whole units of a sentence's weight, and the weight of the curve of all subjects in the fit of each one's, in documents.
+UNITS, PULL = 1024, 2.0
+#: Most bytes of the labelled texts.
+MOST_BYTES = 256_000_000
 NONE = "none"
 
 ENDS = re.compile(r"(?<=[.!?…])\s+|[\r\n]+|(?<=[。！？])")
@@ -108,8 +113,8 @@ class Model:
 
     names: list[str]  # the last is NONE
     weights: np.ndarray
-    slope: float = 1.0
-    offset: float = 0.0
+    slope: np.ndarray | float = 1.0  # of each subject
+    offset: np.ndarray | float = 0.0
     threshold: float = 0.25
 
     def posterior(self, ids: np.ndarray, ends: np.ndarray, owner: np.ndarray, allowed: np.ndarray | None = None) -> np.ndarray:
@@ -138,9 +143,13 @@ class Model:
         return out
 
     def probability(self, share: np.ndarray) -> np.ndarray:
-        """Calibrated probability that a text with this share of a subject is about it."""
-        odds = np.log(np.clip(share, 1e-4, 1 - 1e-4) / (1 - np.clip(share, 1e-4, 1 - 1e-4)))
-        return 1 / (1 + np.exp(-np.clip(self.slope * odds + self.offset, -40, 40)))
+        """Calibrated probabilities (texts, subjects) that texts with these shares of each subject are about it."""
+        return 1 / (1 + np.exp(-np.clip(self.slope * odds_of(share) + self.offset, -40, 40)))
+
+
+def odds_of(share: np.ndarray) -> np.ndarray:
+    clipped = np.clip(share, 1e-4, 1 - 1e-4)
+    return np.log(clipped / (1 - clipped))
 
 
 def complement_weights(counts: np.ndarray) -> np.ndarray:
@@ -163,7 +172,7 @@ def complement_weights(counts: np.ndarray) -> np.ndarray:
 
 
 def count_words(model: Model | None, read: Read, allowed: np.ndarray, out: np.ndarray) -> None:
-    """Add to ``out`` (features, classes) the words of texts (as read) by their sentences' posteriors."""
+    """Add to ``out`` (features, classes) the words of texts (as read) by their sentences' posteriors, in UNITS."""
     ids, ends, owner = read
     if not len(ends):
         return
@@ -171,13 +180,13 @@ def count_words(model: Model | None, read: Read, allowed: np.ndarray, out: np.nd
         weight = allowed[owner] / np.maximum(allowed[owner].sum(axis=1, keepdims=True), 1)
     else:
         weight = model.posterior(ids, ends, owner, allowed)
-    size = np.diff(ends, prepend=0)
-    each = np.repeat(np.arange(len(ends)), size)
-    for c in range(out.shape[1]):
-        some = weight[:, c] > 1e-3
-        if some.any():
-            keep = some[each]
-            out[:, c] += np.bincount(ids[keep], weight[each[keep], c], len(out))
+    units = np.rint(weight * UNITS).astype("int64")  # whole units: their sums are exact in any order
+    size, starts = np.diff(ends, prepend=0), np.concatenate([[0], ends[:-1]])
+    sentence, c = np.nonzero(units)
+    number = size[sentence]
+    words = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number) + np.repeat(starts[sentence], number)
+    at = ids[words] * out.shape[1] + np.repeat(c, number)
+    out += np.bincount(at, np.repeat(units[sentence, c], number), out.size).reshape(out.shape)
 
 
 def labelled(documents: DataFrame, subject_labels: DataFrame, names: list[str], most: int = MOST_LABELS) -> pd.DataFrame:
@@ -186,45 +195,72 @@ def labelled(documents: DataFrame, subject_labels: DataFrame, names: list[str],
     rows = subject_labels.filter("doc_id is not null").select("doc_id", name.alias("subject")).filter(F.col("subject").isin(*names, NONE))
     sets = rows.groupBy("doc_id").agg(F.collect_set("subject").alias("subjects")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     texts = documents.select("doc_id", "text").filter("text is not null").join(F.broadcast(sets), "doc_id")  # at most ``most`` rows
-    return texts.toPandas().sort_values("doc_id", ignore_index=True)
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id")  # over at most ``most`` rows
+    few = texts.withColumn("so_far", F.sum(F.octet_length("text")).over(order)).filter(F.col("so_far") <= MOST_BYTES).drop("so_far")
+    return few.toPandas().sort_values("doc_id", ignore_index=True)
+
+
+def encoded(documents: DataFrame) -> DataFrame:
+    """doc_id, words (hashed), ends (of sentences) of every document with a text, stored: texts are read and split once for all rounds."""
+    kind = documents.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader()
+        for batch in batches:
+            ids, ends, owner = reader.read(batch.column(1).to_pylist())
+            number = np.bincount(owner, minlength=batch.num_rows) if len(owner) else np.zeros(batch.num_rows, "int64")
+            last = np.cumsum(number)  # sentences up to each document
+            stops = np.concatenate([[0], ends])[last]
+            first = np.repeat(np.concatenate([[0], stops[:-1]]), number)
+            lists = [pa.ListArray.from_arrays(pa.array(np.concatenate([[0], o]), pa.int32()), pa.array(v, pa.int32())) for o, v in ((stops, ids), (last, ends - first))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], ["doc_id", "words", "ends"])
+
+    rows = spread(documents.filter("doc_id is not null and text is not null").select("doc_id", "text"))
+    return cut(rows.mapInArrow(run, f"doc_id {kind}, words array<int>, ends array<int>"))
 
 
-def fit(documents: DataFrame, subject_labels: DataFrame, subject_list: DataFrame) -> Model:
+def stored(words: pa.ListArray, ends: pa.ListArray) -> Read:
+    """What ``Reader.read`` gave for the documents of a batch of ``encoded``."""
+    word_at, end_at = words.offsets.to_numpy().astype("int64"), ends.offsets.to_numpy().astype("int64")
+    number = np.diff(end_at)
+    ids = words.values.to_numpy()[word_at[0] : word_at[-1]].astype("int64")
+    stops = ends.values.to_numpy()[end_at[0] : end_at[-1]].astype("int64") + np.repeat(word_at[:-1] - word_at[0], number)
+    return ids, stops, np.repeat(np.arange(len(number)), number)
+
+
+def fit(documents: DataFrame, texts: DataFrame, subject_labels: DataFrame, subject_list: DataFrame) -> Model:
+    """The model; ``texts`` are the documents as ``encoded``."""
     names = sorted({r.subject.strip().lower() for r in subject_list.select("subject").dropna().collect()})
     classes = [*names, NONE]
     frame = labelled(documents, subject_labels, names)
     truth = np.array([[n in s for n in names] + [not set(s) & set(names)] for s in frame["subjects"]], bool).reshape(len(frame), len(classes))
-    texts = list(frame["text"])
     if not len(frame):
         return Model(classes, np.zeros((FEATURES, len(classes)), "float32"), threshold=2.0)
     fold = np.random.default_rng(SEED).permutation(len(frame)) % 2
-
     reader = Reader()
-    chunks = [(rows, reader.read([texts[i] for i in rows])) for side in (0, 1) for rows in np.array_split(np.flatnonzero(fold == side), max(1, len(texts) // 1000))]
-    del texts
+    chunks = [(rows, reader.read([frame["text"].iloc[i] for i in rows])) for side in (0, 1) for rows in np.array_split(np.flatnonzero(fold == side), max(1, len(frame) // 1000))]
 
-    def local(sides: tuple[int, ...], background: np.ndarray | None) -> Model:
-        """Model of the labelled documents of some folds, over the counts of all documents if there are any."""
-        model = None
-        for step in range(4):
+    def local(sides: tuple[int, ...], background: np.ndarray | None, model: Model | None = None, steps: int = 4) -> Model:
+        """Model of the labelled documents of some folds, from ``model`` on if there is one, over the counts of all documents if there are any."""
+        for step in range(steps):
             counts = np.zeros((FEATURES, len(classes)))
             for rows, read in chunks:
                 if len(rows) and fold[rows[0]] in sides:
                     allowed = truth[rows].copy()
-                    if step:
+                    if model is not None:
                         allowed[:, -1] = True  # small talk occurs in every document
                     count_words(model, read, allowed, counts)
-            if background is not None and step:
+            if background is not None and model is not None:
                 counts += UNLABELLED * background
-            model = Model(classes, complement_weights(counts))
+            model = Model(classes, complement_weights(counts / UNITS))
         return model
 
     model = local((0, 1), None)
     background = None
     labelled_ids = set(frame["doc_id"])
     for _ in range(ROUNDS):
-        background = expected_counts(documents, model, labelled_ids)
-        model = local((0, 1), background)
+        background = expected_counts(texts, model, labelled_ids)
+        model = local((0, 1), background, model, 2)
     share = np.zeros((len(frame), len(classes)))
     for side in (0, 1):
         if (fold == side).any() and (fold != side).any():
@@ -232,109 +268,116 @@ def fit(documents: DataFrame, subject_labels: DataFrame, subject_list: DataFrame
             for rows, read in chunks:
                 if len(rows) and fold[rows[0]] == side:
                     share[rows] = other.shares(read, len(rows))
-    calibrate(model, share[:, :-1].ravel(), truth[:, :-1].ravel())
+    calibrate(model, share[:, :-1], truth[:, :-1])
     return model
 
 
-def expected_counts(documents: DataFrame, model: Model, labelled_ids: set) -> np.ndarray:
-    """Word counts by class over all documents that are not labelled: one E-step. Partial sums by task, FEATURES rows at most."""
+def expected_counts(texts: DataFrame, model: Model, labelled_ids: set) -> np.ndarray:
+    """Word counts by class, in UNITS, over all documents that are not labelled: one E-step. Partial sums by task, FEATURES rows at most."""
     classes = len(model.names)
-    held = documents.sparkSession.sparkContext.broadcast((model, labelled_ids))
+    held = texts.sparkSession.sparkContext.broadcast((model, labelled_ids))  # FEATURES weights by class, MOST_LABELS ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, skip = held.value
-        reader, counts = Reader(), np.zeros((FEATURES, classes))
+        counts = np.zeros((FEATURES, classes))
         for batch in batches:
-            texts = [t for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if i not in skip]
-            for at in range(0, len(texts), 500):
-                some = texts[at : at + 500]
-                count_words(own, reader.read(some), np.ones((len(some), classes), bool), counts)
+            keep = pa.array([i not in skip for i in batch.column(0).to_pylist()], pa.bool_())
+            rows = batch.filter(keep)
+            for at in range(0, rows.num_rows, 500):
+                part = rows.slice(at, 500)
+                count_words(own, stored(part.column(1), part.column(2)), np.ones((part.num_rows, classes), bool), counts)
         at = np.flatnonzero(counts.sum(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(counts[at, c].astype("float32")) for c in range(classes))], ["feature", *(f"c{c}" for c in range(classes))])
+        yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(counts[at, c].astype("int64")) for c in range(classes))], ["feature", *(f"c{c}" for c in range(classes))])
 
-    kinds = "feature bigint, " + ", ".join(f"c{c} float" for c in range(classes))
-    rows = spread(documents.select("doc_id", "text").filter("text is not null")).mapInArrow(run, kinds)
-    summed = rows.groupBy("feature").agg(*[F.sum(f"c{c}").cast("float").alias(f"c{c}") for c in range(classes)]).toPandas()
+    kinds = "feature bigint, " + ", ".join(f"c{c} bigint" for c in range(classes))
+    summed = texts.mapInArrow(run, kinds).groupBy("feature").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(classes)]).toPandas()
     out = np.zeros((FEATURES, classes))
     if len(summed):
         out[summed["feature"].to_numpy("int64")] = summed[[f"c{c}" for c in range(classes)]].to_numpy()
     return out
 
 
-def calibrate(model: Model, share: np.ndarray, truth: np.ndarray) -> None:
-    """Fit slope, offset (logistic regression by Newton steps) and threshold (best F1) on shares of documents that the model had not seen."""
-    x = np.log(np.clip(share, 1e-4, 1 - 1e-4) / (1 - np.clip(share, 1e-4, 1 - 1e-4)))
-    a, b = 1.0, 0.0
-    truth = truth.astype(float)
+def logistic(x: np.ndarray, truth: np.ndarray, towards: tuple[float, float], pull: float) -> tuple[float, float]:
+    """Slope and offset of a logistic curve by Newton steps, with a quadratic penalty on the distance from ``towards``."""
+    a, b = towards
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(a * x + b, -40, 40)))
         w = np.maximum(p * (1 - p), 1e-6)
-        g = np.array([((truth - p) * x).sum() - 0.01 * a, (truth - p).sum()])
-        h = np.array([[(w * x * x).sum() + 0.01, (w * x).sum()], [(w * x).sum(), w.sum()]])
+        g = np.array([((truth - p) * x).sum() - pull * (a - towards[0]), (truth - p).sum() - pull * (b - towards[1])])
+        h = np.array([[(w * x * x).sum() + pull, (w * x).sum()], [(w * x).sum(), w.sum() + pull]])
         step = np.clip(np.linalg.solve(h, g), -0.5, 0.5)  # short steps, so that it does not overshoot
         a, b = a + step[0], b + step[1]
-    model.slope, model.offset = float(max(a, 0.1)), float(b)
-    order = np.argsort(-share, kind="stable")
-    right = np.cumsum(truth[order])
+    return float(max(a, 0.1)), float(b)
+
+
+def calibrate(model: Model, share: np.ndarray, truth: np.ndarray) -> None:
+    """Fit each subject's curve and the threshold (best F1) on shares (documents, subjects) of documents that the model had not seen."""
+    x, truth = odds_of(share), truth.astype(float)
+    every = logistic(x.ravel(), truth.ravel(), (1.0, 0.0), 0.01)
+    curves = [logistic(x[:, c], truth[:, c], every, PULL) for c in range(share.shape[1])]
+    model.slope, model.offset = np.array([a for a, _ in curves]), np.array([b for _, b in curves])
+    chance = model.probability(share).ravel()
+    order = np.argsort(-chance, kind="stable")
+    right = np.cumsum(truth.ravel()[order])
     f1 = 2 * right / (np.arange(1, len(order) + 1) + max(truth.sum(), 1))
-    value = share[order]
+    value = chance[order]
     f1[:-1][value[:-1] == value[1:]] = 0
     at = int(np.argmax(f1))
     under = value[at + 1] if at + 1 < len(value) else 0.0
-    model.threshold = float(model.probability(np.array([(value[at] + under) / 2]))[0])
+    model.threshold = float((value[at] + under) / 2)
 
 
-def subject_scores(documents: DataFrame, model: Model) -> DataFrame:
-    """doc_id, subject, share, probability, is_case: one row per document and subject with a share of 1 % or more."""
-    held = documents.sparkSession.sparkContext.broadcast(model)
-    kind = documents.schema["doc_id"].dataType.simpleString()
+def subject_scores(texts: DataFrame, model: Model) -> DataFrame:
+    """doc_id, subject, share, probability, is_case: one row per document (of ``encoded``) and subject with a share of 1 % or more."""
+    held = texts.sparkSession.sparkContext.broadcast(model)
+    kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, reader = held.value, Reader()
+        own = held.value
         names = pa.array(own.names[:-1])
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                share = own.shares(reader.read(part.column(1).to_pylist()), part.num_rows)[:, :-1]
+                share = own.shares(stored(part.column(1), part.column(2)), part.num_rows)[:, :-1]
                 chance = own.probability(share)
                 doc, subject = np.nonzero(share >= 0.01)
                 flag = chance[doc, subject] >= own.threshold
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc)), names.take(pa.array(subject)), pa.array(share[doc, subject]), pa.array(chance[doc, subject]), pa.array(flag)], ["doc_id", "subject", "share", "probability", "is_case"])
 
-    rows = spread(documents.select("doc_id", "text").filter("doc_id is not null and text is not null"))
-    return rows.mapInArrow(run, f"doc_id {kind}, subject string, share double, probability double, is_case boolean")
+    return texts.mapInArrow(run, f"doc_id {kind}, subject string, share double, probability double, is_case boolean")
 
 
-def subject_sums(documents: DataFrame, model: Model) -> DataFrame:
+def subject_sums(texts: DataFrame, model: Model) -> DataFrame:
     """subject, documents (cases), mass (sum of all shares, small ones too): partial sums, one row per task and subject."""
-    held = documents.sparkSession.sparkContext.broadcast(model)
+    held = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, reader = held.value, Reader()
+        own = held.value
         names = own.names[:-1]
         cases, mass = np.zeros(len(names), "int64"), np.zeros(len(names))
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                share = own.shares(reader.read(part.column(0).to_pylist()), part.num_rows)[:, :-1]
+                share = own.shares(stored(part.column(1), part.column(2)), part.num_rows)[:, :-1]
                 cases += ((share >= 0.01) & (own.probability(share) >= own.threshold)).sum(axis=0)
                 mass += share.sum(axis=0)
         some = np.flatnonzero(mass)
         yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in some], pa.string()), pa.array(cases[some]), pa.array(mass[some])], ["subject", "documents", "mass"])
 
-    rows = spread(documents.filter("doc_id is not null and text is not null").select("text"))
-    return rows.mapInArrow(run, "subject string, documents bigint, mass double")
+    return texts.mapInArrow(run, "subject string, documents bigint, mass double")
 
 
 def found(documents: DataFrame, subject_labels: DataFrame, subject_list: DataFrame) -> DataFrame:
     """doc_id, subject of every document outside the labelled sample."""
-    cases = subject_scores(documents, fit(documents, subject_labels, subject_list)).filter("is_case").select("doc_id", "subject")
+    texts = encoded(documents)
+    cases = subject_scores(texts, fit(documents, texts, subject_labels, subject_list)).filter("is_case").select("doc_id", "subject")
     return cases.join(subject_labels.select("doc_id").dropna().distinct(), "doc_id", "left_anti").distinct()
 
 
 def corpus_shares(documents: DataFrame, subject_labels: DataFrame, subject_list: DataFrame) -> DataFrame:
     """subject, documents, share_of_documents, expected_share (by words of each document, documents counting alike)."""
-    rows = subject_sums(documents, fit(documents, subject_labels, subject_list))
-    total = documents.filter("doc_id is not null and text is not null").agg(F.count(F.lit(1)).alias("total"))
+    texts = encoded(documents)
+    rows = subject_sums(texts, fit(documents, texts, subject_labels, subject_list))
+    total = texts.agg(F.count(F.lit(1)).alias("total"))
     counted = rows.groupBy("subject").agg(F.sum("documents").alias("documents"), F.sum("mass").alias("mass"))
     return counted.join(F.broadcast(total)).select("subject", "documents", (F.col("documents") / F.col("total")).alias("share_of_documents"), (F.col("mass") / F.col("total")).alias("expected_share"))

@@ -26,15 +26,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratawright.llm.scrub import plain, romanised, unaccented
 from stratawright.session import cut, spread
 
 CATEGORIES = ("abusive", "hateful", "sexual")
-#: Most labelled posts that the classifier is fitted on.
-MOST_LABELS = 40_000
+#: Most labelled posts that the classifier is fitted on, and most bytes of their texts.
+MOST_LABELS, MOST_BYTES = 40_000, 128_000_000
 #: Strength of the Dirichlet prior, and what a token costs in a passage.
 PRIOR, DRIFT = 30.0, 0.5
 #: Rounds of fitting; all but the first learn from the best passages only.
@@ -113,6 +113,10 @@ def sum_surprise(z: list[float]) -> float:
     return best
 
 
+#: Token scores of texts one behind the other, and where each text begins and ends.
+Part = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
 @dataclass
 class Model:
     words: dict[str, int]  # 0 is any other word
@@ -165,17 +169,29 @@ class Model:
         value = np.where(z > 30, z / np.log(10), -np.log10(np.maximum(tail, 1e-300)))
         return np.where(best > 0, np.maximum(value, 0.0), 0.0)
 
-    def combined(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
-        """Surprise of all significant passages of every post, whose texts are ``parts``. Where the best passage is not significant, none is."""
+    def significant(self, parts: list[Part], value: np.ndarray) -> Iterator[tuple[int, int, list[tuple[float, int, int, int, float]]]]:
+        """(post, category, passages): all significant passages, best first, of every post and category that has one.
+
+        A passage is (surprise in units of the law, part, first token, token behind its last, score). ``value`` is the surprise of the best passage
+        of each post; where it is not significant, none is, so only the others are searched.
+        """
         lengths = sum(ends - starts for _, starts, ends in parts)
-        value = self.surprise(np.maximum.reduce([self.best(*part) for part in parts]), lengths)
         least = -math.log(-math.log1p(-(10**-SIGNIFICANT)))
         for i, c in zip(*np.nonzero(value >= SIGNIFICANT), strict=True):
             usual = self.location[c] + self.scale[c] * math.log(max(lengths[i], 1))
-            z = [(v - usual) / self.scale[c] for scores, starts, ends in parts for *_, v in maximal_segments(scores[starts[i] : ends[i], c])]
-            z = sorted((x for x in z if x >= least), reverse=True)
-            if len(z) > 1:
-                value[i, c] = max(value[i, c], sum_surprise(z))
+            found = [((v - usual) / self.scale[c], n, a, b, v) for n, (scores, starts, ends) in enumerate(parts) for a, b, v in maximal_segments(scores[starts[i] : ends[i], c])]
+            if found := sorted((x for x in found if x[0] >= least), reverse=True):
+                yield int(i), int(c), found
+
+    def best_surprise(self, parts: list[Part]) -> np.ndarray:
+        return self.surprise(np.maximum.reduce([self.best(*part) for part in parts]), sum(ends - starts for _, starts, ends in parts))
+
+    def combined(self, parts: list[Part]) -> np.ndarray:
+        """Surprise of all significant passages of every post, whose texts are ``parts``."""
+        value = self.best_surprise(parts)
+        for i, c, found in self.significant(parts, value.copy()):
+            if len(found) > 1:
+                value[i, c] = max(value[i, c], sum_surprise([z for z, *_ in found]))
         return value
 
 
@@ -274,7 +290,11 @@ def labelled(posts: DataFrame, content_labels: DataFrame, most: int = MOST_LABEL
     few = rows.orderBy(F.xxhash64("post_id"), "post_id").limit(most)
     texts = posts.select(F.col("post_id").cast("string").alias("post_id"), "title", "selftext").join(F.broadcast(few), "post_id")  # at most ``most`` ids
     found = texts.groupBy("post_id", *CATEGORIES).agg(F.max("title").alias("title"), F.max_by("selftext", F.length("selftext")).alias("selftext"))
-    return found.toPandas().sort_values("post_id", ignore_index=True), share
+    size = F.coalesce(F.octet_length("title"), F.lit(0)) + F.coalesce(F.octet_length("selftext"), F.lit(0))
+    order = Window.orderBy(F.xxhash64("post_id"), "post_id")  # over at most ``most`` rows
+    found = found.withColumn("so_far", F.sum(size).over(order)).withColumn("with_text", F.count(F.lit(1)).over(Window.partitionBy())).filter(F.col("so_far") <= MOST_BYTES)
+    frame = found.toPandas().sort_values("post_id", ignore_index=True)
+    return frame.drop(columns=["so_far", "with_text"]), share * (len(frame) / frame["with_text"].iloc[0] if len(frame) else 1.0)
 
 
 def word_ids(texts: list[str | None], known: dict[str, int], memory: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -448,6 +468,22 @@ def scores(model: Model, texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, kinds)
 
 
+def passages(model: Model, texts: DataFrame) -> DataFrame:
+    """post_id, field, category, first_token, tokens, score, surprise: every significant passage of every post, in tokens of its field."""
+    held = texts.sparkSession.sparkContext.broadcast(model)  # bounded by MOST_LABELS posts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held.value
+        for batch in batches:
+            parts = [own.scored(*flat(batch.column(c))) for c in (2, 3)]
+            rows = [(i, ("title", "selftext")[n], CATEGORIES[c], a, b - a, v, z / math.log(10)) for i, c, found in own.significant(parts, own.best_surprise(parts)) for z, n, a, b, v in found]
+            take, *columns = zip(*rows, strict=True) if rows else [[]] * 7
+            kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(take, pa.int64())), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["post_id", "field", "category", "first_token", "tokens", "score", "surprise"])
+
+    return texts.mapInArrow(run, "post_id string, field string, category string, first_token bigint, tokens bigint, score double, surprise double").distinct()
+
+
 def long_form(scored: DataFrame) -> DataFrame:
     """post_id, subreddit, category, score, is_case: one row per post and category."""
     wide = scored.groupBy("post_id").agg(F.min(F.lower(F.trim("subreddit"))).alias("subreddit"), *[F.max(c).alias(c) for c in CATEGORIES], *[F.max(f"is_{c}").alias(f"is_{c}") for c in CATEGORIES])

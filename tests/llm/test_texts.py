@@ -219,6 +219,55 @@ def test_toxic_posts(spark):
     assert toxicity.found(posts, labels.limit(0)).collect() == []
 
 
+def test_passages(spark):
+    """Every significant passage is told with its place, and a post is a case only by its passages."""
+    posts, labels, bad = content(spark)
+    model, texts = toxicity.train(posts, labels)
+    rows = toxicity.passages(model, texts).collect()
+    told = {r.post_id: r for r in posts.collect() if r.post_id}
+    assert rows and all(r.tokens > 0 and r.first_token + r.tokens <= len(toxicity.tokens(told[r.post_id].title if r.field == "title" else told[r.post_id].selftext)) for r in rows)
+    cases = {(r.post_id, r.category) for r in toxicity.long_form(toxicity.scores(model, texts)).collect() if r.is_case and r.score >= toxicity.SIGNIFICANT}
+    assert cases and cases <= {(r.post_id, r.category) for r in rows}
+
+
+def test_several_passages_are_all_found():
+    size = len(toxicity.CATEGORIES)
+    single = np.zeros((3, size))
+    single[1], single[2, 0] = -2.0, 4.0
+    model = toxicity.Model({"": 0, "calm": 1, "bad": 2}, single, np.empty(0, "int64"), np.empty((0, size)), np.zeros(size), np.full(size, 0.5), np.zeros(size))
+    ids = np.array([2, 1, 1, 1, 2, 2, 1, 1, 1, 1, 2])
+    part = model.scored(ids, np.array([len(ids)]))
+    ((post, category, found),) = model.significant([part], model.best_surprise([part]))
+    assert (post, category) == (0, 0) and {(a, b) for _, _, a, b, _ in found} == {(0, 1), (4, 6), (10, 11)}
+
+
+def test_counts_do_not_depend_on_partitions(spark):
+    rng = np.random.default_rng(6)
+    docs = [(i, " ".join(rng.choice("gearbox clutch guitar chord hello thanks".split(), 30)) + ".") for i in range(400)]
+    texts = subjects.encoded(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    model = subjects.Model(["a", "b", "none"], np.random.default_rng(7).normal(size=(subjects.FEATURES, 3)).astype("float32"))
+    one, two = subjects.expected_counts(texts.coalesce(1), model, set()), subjects.expected_counts(texts.repartition(7), model, set())
+    assert one.sum() > 0 and (one == two).all()
+
+
+def test_stored_words_are_those_read(spark):
+    texts = ["One two. Three!\n\nFour five six.", "", "🙂", "Seven eight nine. Ten"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string").coalesce(1)
+    table = subjects.encoded(df).orderBy("doc_id").toArrow().combine_chunks().to_batches()[0]
+    for got, want in zip(subjects.stored(table.column(1), table.column(2)), subjects.Reader().read(texts), strict=True):
+        assert (got == want).all()
+
+
+def test_each_subject_has_its_curve():
+    rng = np.random.default_rng(3)
+    truth = rng.random((2000, 2)) < 0.3
+    share = np.clip(np.where(truth, [0.6, 0.25], [0.1, 0.02]) + rng.normal(0, 0.05, truth.shape), 0, 1)
+    model = subjects.Model(["a", "b", "none"], np.zeros((1, 3), "float32"))
+    subjects.calibrate(model, share, truth)
+    chance = model.probability(share)
+    assert model.slope.shape == (2,) and all(((chance[:, c] >= model.threshold) == truth[:, c]).mean() > 0.97 for c in (0, 1))
+
+
 def test_subjects(spark):
     rng = np.random.default_rng(2)
     words = {"cars": "gearbox clutch piston tyre exhaust brake", "music": "guitar chord melody drum verse violin", "none": "hello thanks anyway reply weekend friend"}
@@ -253,7 +302,7 @@ def test_small_shares_count(spark):
     documents = spark.createDataFrame(docs, "doc_id bigint, text string")
     given = spark.createDataFrame([(i, "cars" if i % 2 else "music") for i in range(200)], "doc_id bigint, subject string")
     listed = spark.createDataFrame([("cars", ""), ("music", "")], "subject string, about string")
-    want = subjects.fit(documents, given, listed)
+    want = subjects.fit(documents, subjects.encoded(documents), given, listed)
     share = want.shares(subjects.Reader().read([text for _, text in docs]), len(docs))[:, want.names.index("music")]
     assert ((share > 0) & (share < 0.01)).any()
     got = {r.subject: r.expected_share for r in subjects.corpus_shares(documents, given, listed).collect()}

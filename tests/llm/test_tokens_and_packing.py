@@ -106,6 +106,19 @@ def test_pack_splits_only_large_items(spark):
     assert packing.pack(df.limit(0), "doc_id").collect() == []
 
 
+def test_summary_and_split_items_come_from_the_placement(spark):
+    rng = random.Random(3)
+    sizes = [rng.choice([rng.randint(1, 300), rng.randint(300, 2048), rng.randint(2049, 9000)]) for _ in range(800)] + [0, None]
+    df = spark.createDataFrame(list(enumerate(sizes)), "doc_id bigint, size bigint")
+    packed = packing.pack(df, "doc_id")
+    assert {r.doc_id for r in packing.split_items(packed, "doc_id").collect()} == {i for i, s in enumerate(sizes) if (s or 0) > 2048}
+    assert packing.split_items(packed.withColumn("container", F.lit(1)), "doc_id").collect() == []
+    row = packing.summary(packed, "doc_id").first()
+    assert (row.items, row.tokens, row.overfull) == (800, sum(s or 0 for s in sizes), 0) and row.fullest <= 2048
+    assert row.least_containers <= row.containers <= 1.03 * row.least_containers + 1
+    assert packing.summary(packed.limit(0), "doc_id").first().containers == 0
+
+
 def test_hot_size_is_ranked_in_groups(spark):
     df = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit(1024).cast("bigint").alias("size"))
     load = Counter(r.container for r in packing.pack(df, "doc_id").collect())
