@@ -33,7 +33,7 @@ SAMPLE, GROUPS, DICTIONARY_BYTES = 1000, 64, 60_000
 #: Least share by which the smallest encoding must undercut the next, and least letters of a segment.
 MARGIN, LEAST_LETTERS, LEAST_WORDS = 0.06, 12, 3
 #: Short matches must count, or short segments are stored as they are and all encodings have one size.
-SEARCH = {"window_log": 17, "chain_log": 16, "hash_log": 16, "search_log": 4, "min_match": 4, "target_length": 64, "strategy": zstandard.STRATEGY_DFAST}
+SEARCH = {"window_log": 17, "chain_log": 14, "hash_log": 14, "search_log": 4, "min_match": 4, "target_length": 64, "strategy": zstandard.STRATEGY_DFAST}
 #: Rounds in which the dictionaries judge the declared sample anew, and the margin that it needs.
 ROUNDS, TEACHES = 3, 0.06
 #: Confidence and letters that a further language of a field needs, in one of its segments or over all: names alone can look foreign.
