@@ -73,10 +73,13 @@ ENDS = re.compile(r"(?<=[.!?…])[\"'»”)\]]*\s+|\s*[\r\n]+\s*|\s+[|/]\s+|(?<=
 WORDS = re.compile(r"[^\W\d_]+")
 QUOTED = re.compile(r"[\"“„«][^\"“”„«»]{1,40}[\"”“»]")
 NOT_LETTERS = re.compile(r"[\W\d_]+")
+NOT_ASCII_LETTERS = re.compile(r"[^a-z]+")
 
 
 def folded(segment: str) -> str:
     """Letters of a segment in one spelling, words divided by one blank."""
+    if segment.isascii():
+        return NOT_ASCII_LETTERS.sub(" ", segment.lower()).strip()
     return NOT_LETTERS.sub(" ", unaccented(romanised(segment.casefold()))).strip()
 
 
@@ -91,14 +94,19 @@ class Classifier:
             content = zstandard.ZstdCompressionDict(texts[name][-DICTIONARY_BYTES:], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             content.precompute_compress(compression_params=settings)
             self.coders.append(zstandard.ZstdCompressor(dict_data=content, compression_params=settings).compress)
-        self.memory: dict[str, tuple[str | None, float]] = {}
+        self.memory: dict[str, tuple[str, float]] = {}
 
     def score(self, letters: str) -> tuple[str, float]:
-        """Language and margin of a folded segment."""
-        data = letters.encode()
-        sizes = [len(coder(data)) for coder in self.coders]
-        best, second = sorted(sizes)[:2]
-        return self.languages[sizes.index(best)], (second - best) / max(1, second)
+        """Language and margin of a folded segment; equal ones are encoded once."""
+        known = self.memory.get(letters)
+        if known is None:
+            data = letters.encode()
+            sizes = [len(coder(data)) for coder in self.coders]
+            best, second = sorted(sizes)[:2]
+            if len(self.memory) >= REMEMBERED:
+                self.memory.clear()
+            known = self.memory[letters] = self.languages[sizes.index(best)], (second - best) / max(1, second)
+        return known
 
     def segment(self, segment: str) -> tuple[str | None, float]:
         """Language or None, and a confidence in [0, 1]."""
@@ -113,17 +121,10 @@ class Classifier:
             if cyrillic >= LEAST_LETTERS and cyrillic * 2 > sum(map(len, WORDS.findall(segment))) and len(WORDS.findall(segment)) >= LEAST_WORDS:
                 return "ru", 1.0
         letters = folded(segment)
-        if (known := self.memory.get(letters)) is not None:
-            return known
         if letters.count(" ") + 1 < LEAST_WORDS or len(letters) - letters.count(" ") < LEAST_LETTERS:
-            answer: tuple[str | None, float] = (None, 0.0)
-        else:
-            name, margin = self.score(letters)
-            answer = (name if margin >= MARGIN else None, min(1.0, margin / (2 * MARGIN)))
-        if len(self.memory) >= REMEMBERED:
-            self.memory.clear()
-        self.memory[letters] = answer
-        return answer
+            return None, 0.0
+        name, margin = self.score(letters)
+        return (name if margin >= MARGIN else None), min(1.0, margin / (2 * MARGIN))
 
     def field(self, text: str | None) -> list[tuple[str, str, float]]:
         """(segment, language or "", confidence) of every segment of a field."""
