@@ -65,8 +65,8 @@ def train_text(title: str | Column, body: str | Column) -> Column:
 
 def extract_post_id(explicit: Column, permalink: Column, subreddit: Column, title: Column, created: Column) -> Column:
     """Id given as such, else that of the permalink, else a digest of community, title and time."""
-    bare = F.lower(F.regexp_replace(F.coalesce(explicit, F.lit("")), "(?i)^t3_", ""))
-    linked = F.lower(F.regexp_extract(F.coalesce(permalink, F.lit("")), r"(?i)/comments/([a-z0-9]+)(?:/|$)", 1))
+    bare = F.lower(F.regexp_replace(F.coalesce(explicit, F.lit("")), "^t3_", ""))
+    linked = F.lower(F.regexp_extract(F.coalesce(permalink, F.lit("")), r"(?i)/comments/([a-z0-9]+)/", 1))
     digest = F.sha2(F.concat_ws("\0", casefold(subreddit), casefold(title), created.cast("string")), 256)
     return F.coalesce(F.when(bare.rlike("^[a-z0-9]+$"), bare), F.nullif(linked, F.lit("")), digest)
 

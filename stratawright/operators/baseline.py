@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stratawright.functions.hashing import Hash, blake2b63
 from stratawright.operators.metrics import MOST_RESAMPLED, file_order
 
 
@@ -32,6 +33,37 @@ def supervised_baseline(rows: DataFrame, key: str, c: float = 10.0, max_iter: in
     return scored.select(key, "label", F.element_at(names, best.cast("int")).alias("prediction"))
 
 
+def training_posts(posts: DataFrame, evaluated: DataFrame, communities: DataFrame) -> DataFrame:
+    """Train posts without the evaluated ones, of known communities (``subreddit`` is an id of these)."""
+    train = posts.filter("split = 'train'").join(evaluated.select("post_id"), "post_id", "left_anti")
+    return train.join(communities.select(F.col("community_id").alias("subreddit")), "subreddit", "left_semi")
+
+
+def sample_per_community(posts: DataFrame, number: int, seed: int | str, hash_fn: Hash = blake2b63) -> DataFrame:
+    """At most ``number`` posts of each community, those with the smallest hash. Spark keeps only so many per task, so a large community does not meet."""
+    order = Window.partitionBy("subreddit").orderBy(hash_fn(seed, F.col("post_id")), "post_id")
+    return posts.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= number).drop("_n")
+
+
+def train_classifier(train: DataFrame, label: str, c: float = 10.0, max_iter: int = 300):
+    """(model, labels in class order) of a multinomial regression over ``vector``. The penalty is 1 / (C n)."""
+    from pyspark.ml.feature import StringIndexer
+    from pyspark.ml.functions import array_to_vector
+
+    data = train.select(F.col(label).alias("label"), array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("features"))
+    index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(data)
+    return _regression(max_iter, 1.0 / (c * max(data.count(), 1))).fit(index.transform(data)), list(index.labels)
+
+
+def class_scores(rows: DataFrame, model, labels: list[str]) -> DataFrame:
+    """Adds scores, a map from label to log-probability, for rows with ``vector``."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    data = rows.withColumn("features", array_to_vector(F.transform("vector", lambda x: x.cast("double"))))
+    chances = F.transform(vector_to_array("probability"), lambda p: F.ln(F.greatest(p, F.lit(1e-300))))
+    return model.transform(data).withColumn("scores", F.map_from_arrays(F.array(*map(F.lit, labels)), chances)).drop("features", "rawPrediction", "probability", "prediction")
+
+
 def best_candidate(candidates: Column, scores: Column) -> Column:
     """Candidate with the largest score in a map; of equals the first in display order."""
     return F.array_max(F.transform(candidates, lambda c, i: F.struct(F.element_at(scores, c).alias("s"), (-i).alias("i"), c.alias("c"))))["c"]

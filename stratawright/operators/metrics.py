@@ -179,6 +179,16 @@ def compare_pivot(metrics: DataFrame, counts: tuple[int, ...] = (16, 64)) -> Dat
     return wide.select("system", *[F.when(F.col(f"`{k}`").isNull(), "unsupported").otherwise(F.format_string("%.3f", F.col(f"`{k}`"))).alias(f"k{k}") for k in counts])
 
 
+def accuracy_gate(rows: DataFrame, keys: list[str], least: float) -> DataFrame:
+    """accuracy, and whether it is at least ``least``."""
+    return rows.groupBy(*keys).agg(F.avg(F.col("correct").cast("int")).alias("accuracy")).withColumn("passed", F.col("accuracy") >= least)
+
+
+def slice_sets(rows: DataFrame, keys: list[str], ids: str, value: Column) -> DataFrame:
+    """How many ids each slice has, and the set of a value in it, sorted."""
+    return rows.groupBy(*keys).agg(F.count_distinct(ids).alias("ids"), F.array_sort(F.collect_set(value)).alias("values"))
+
+
 def representation_gap(metrics: DataFrame) -> DataFrame:
     """Accuracy with names beside accuracy with descriptions, per slice."""
     rest = [k for k in KEYS if k != "representation"]

@@ -2,19 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratawright.functions.hashing import Hash, blake2b63
 from stratawright.functions.vectors import dot, l2_normalize
 
+#: Most bytes of vectors that every task may hold.
+HELD_BYTES = 64_000_000
 DIFFICULTIES = ("random", "semantic", "hard")
 
 
 def mean_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """Mean vector per key: partial sums per dimension are combined before the exchange."""
-    parts = rows.select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("vector"))
+    """Mean vector per key, by a vector aggregate: each task sums whole vectors, one partial sum per key is exchanged."""
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    vectors = rows.select(key, array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("_v"))
+    return vectors.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("_v"))).alias("vector"))
 
 
 def community_vectors(train_vectors: DataFrame, description_vectors: DataFrame) -> DataFrame:
@@ -27,13 +36,43 @@ def missing_vectors(communities: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def similar_pairs(vectors: DataFrame) -> DataFrame:
-    """track, target, candidate, similarity of all ordered pairs of a track. Communities are thousands, so this is a bounded square."""
+    """track, target, candidate, similarity of all ordered pairs of a track: its square, because each target's pool is all of its track.
+
+    While the vectors take at most HELD_BYTES, each task multiplies batches of them with all that it holds; beyond, tracks meet in a join.
+    """
+    number, width = vectors.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("vector")), F.lit(0))).first()
+    if number * (8 * width + 64) <= HELD_BYTES:
+        return _multiplied(vectors)
     unit = vectors.select("track", "community_id", l2_normalize(F.col("vector")).alias("v"))
     left = unit.toDF("track", "target", "a")
     right = unit.toDF("track", "candidate", "b")
     return left.join(right, "track").filter("target <> candidate").select("track", "target", "candidate", dot(F.col("a"), F.col("b")).alias("similarity"))
 
 
+def _multiplied(vectors: DataFrame) -> DataFrame:
+    rows = vectors.select("track", "community_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    held = vectors.sparkSession.sparkContext.broadcast(rows.toPandas())  # at most HELD_BYTES
+
+    def unit(frame: pd.DataFrame) -> np.ndarray:
+        matrix = np.stack(frame["vector"].to_numpy())
+        return matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tracks = {track: (part["community_id"].to_numpy(), unit(part)) for track, part in held.value.groupby("track")}
+        for frame in frames:
+            for track, part in frame.groupby("track"):
+                names, matrix = tracks[track]
+                for at in range(0, len(part), 64):
+                    some = part.iloc[at : at + 64]
+                    target = np.repeat(some["community_id"].to_numpy(), len(names))
+                    candidate = np.tile(names, len(some))
+                    other = target != candidate
+                    yield pd.DataFrame({"track": track, "target": target[other], "candidate": candidate[other], "similarity": (unit(some) @ matrix.T).ravel()[other]})
+
+    kind = vectors.schema["community_id"].dataType.simpleString()
+    return rows.repartition(vectors.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, f"track string, target {kind}, candidate {kind}, similarity double")
+
+
 def hard_ranks(pairs: DataFrame, digits: int | None = None) -> DataFrame:
     """Adds rank: most similar first, of equals the lower id. ``digits`` rounds similarities first."""
     value = F.round("similarity", digits) if digits is not None else F.col("similarity")
@@ -77,6 +116,9 @@ def select_posts(rows: DataFrame, seed: int, per_community: int, hash_fn: Hash =
     return wanted.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= per_community).select("post_id", "target", "community_track")
 
 
+REPRESENTATIONS = ("name-only", "anonymous-id+description")
+
+
 def candidates_for_k(target: Column, pool: Column, k: Column) -> Column:
     """Target and the first k - 1 negatives of the pool; k < 2 or a short pool is an error."""
     bad = (k < 2) | (F.size(pool) < k - 1)
@@ -93,7 +135,10 @@ def questions(selected: DataFrame, rows: DataFrame, pools: DataFrame, communitie
     ks = F.explode(F.array(*[F.lit(k) for k in counts]))
     expanded = base.withColumn("k", ks).withColumn("candidate", F.explode(candidates_for_k(F.col("target"), F.col("negative_pool"), F.col("k")))).drop("negative_pool")
     placed = expanded.withColumn("h", hash_fn(F.col("shuffle_seed"), F.col("k"), "candidate", F.col("candidate")))
-    named = placed.join(communities.select(F.col("community_id").alias("candidate"), "name", "public_description"), "candidate", "left")
+    if unknown := sorted(set(representations) - set(REPRESENTATIONS)):
+        raise ValueError(f"unknown representations: {unknown}")
+    known = communities.select(F.col("community_id").alias("candidate"), "name", "public_description", F.lit(True).alias("known"))
+    named = placed.join(known, "candidate", "left").withColumn("candidate", F.when(F.col("known"), F.col("candidate")).otherwise(F.raise_error(F.concat(F.lit("no such community: "), "candidate"))))
     item = F.struct("h", "candidate", "name", "public_description")
     listed = named.groupBy("post_id", "target", "community_track", "difficulty", "k").agg(F.array_sort(F.collect_list(item)).alias("items"))
     matrix = F.explode(F.array(*[F.struct(F.lit(r).alias("representation"), F.lit(t).alias("text_mode")) for r in representations for t in text_modes]))

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
+import platform
 from collections.abc import Callable
-from pathlib import Path
 from typing import Any
 
 import numpy as np
@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stratawright.functions import text
-from stratawright.operators import build, metrics, mining
+from stratawright.operators import baseline, build, metrics, mining
 from stratawright.scoring import scorer as scoring
 from stratawright.session import cut
-from stratawright.sources import files
+from stratawright.sources import files, storage
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -65,9 +65,10 @@ def build_dataset(spark: SparkSession, posts: list[str], communities: str, out:
     return files.write_report(build.build_report(raw, usable, deduped, unique), f"{out}/build.json", communities=number, available_text_modes=modes, seed=seed)
 
 
-def evaluate(spark: SparkSession, dataset: str, out: str, scorer: scoring.Scorer, *, model: str, revision: str | None = None, counts: list[int], representations: list[str], text_modes: list[str], per_community: int, seed: int, samples: int = 1000) -> DataFrame:
+def evaluate(spark: SparkSession, dataset: str, out: str, scorer: scoring.Scorer, *, model: str, revision: str | None = None, counts: list[int], representations: list[str], text_modes: list[str] | None = None, per_community: int, seed: int, samples: int = 1000, instruction: str = scoring.INSTRUCTION, adapter: str | None = None, registry: dict[str, Any] | None = None) -> DataFrame:
     """Score a deterministic sample of a built dataset, resuming what ``out`` holds, and write its metrics."""
-    report = json.loads(Path(dataset, "build.json").read_text())
+    report = json.loads(storage.read_text(f"{dataset}/build.json"))
+    text_modes = text_modes or report["available_text_modes"]
     if missing := sorted(set(text_modes) - set(report["available_text_modes"])):
         raise ValueError(f"text modes not available: {missing}")
     run_counts, skipped = scoring.limited_counts(counts, scorer.max_options)
@@ -76,18 +77,44 @@ def evaluate(spark: SparkSession, dataset: str, out: str, scorer: scoring.Scorer
     communities = spark.read.parquet(f"{dataset}/communities.parquet")
     selected = cut(mining.select_posts(rows, seed, per_community))
     files.guard_run(out, {
-        "model": model, "revision": revision, "dataset_build": report, "text_modes": text_modes, "representations": representations, "difficulties": list(mining.DIFFICULTIES),
+        "model": model, "runtime_model": (registry or {}).get("runtime_model") or model, "revision": revision, "adapter": adapter, "registry": registry, "instruction": instruction,
+        "probabilities": scorer.probabilities, "runtime": {"python": platform.python_version(), "spark": spark.version, "platform": platform.platform()}, "dataset_build": report, "text_modes": text_modes, "representations": representations, "difficulties": list(mining.DIFFICULTIES),
         "candidate_counts": run_counts, "skipped_candidate_counts": skipped, "selected_posts": selected.count(), "seed": seed,
     })
     asked = mining.questions(selected, rows, pools, communities, run_counts, representations, text_modes)
     posts = spark.read.parquet(f"{dataset}/posts.parquet").join(selected.select("post_id"), "post_id", "left_semi")
     state = asked.join(posts.select("post_id", "title", "selftext"), "post_id").withColumn("state", text.post_text("title", "selftext", F.col("text_mode"))).drop("title", "selftext")
-    done = scoring.predictions_for(spark, state, scorer, f"{out}/predictions.jsonl")
+    done = scoring.predictions_for(spark, state, scorer, f"{out}/predictions.jsonl", instruction)
     table = metrics.all_metrics(done, samples, seed)
     files.write_metrics(table, out)
     return table
 
 
+def supervised(spark: SparkSession, dataset: str, out: str, encoder: Encoder, *, counts: list[int], per_community: int, seed: int, train_per_community: int = 200, samples: int = 1000) -> dict[str, Any]:
+    """Logistic regression over title vectors, on the seen track: trained on a sample per community, asked for the best candidate of each question.
+
+    Writes and returns accuracy and interval per difficulty and K. A candidate that is no class has no score and is never the best.
+    """
+    rows = spark.read.parquet(f"{dataset}/manifests/instances.parquet").filter("community_track = 'seen'")
+    pools = spark.read.parquet(f"{dataset}/manifests/negative_pools.parquet")
+    communities = spark.read.parquet(f"{dataset}/communities.parquet")
+    posts = spark.read.parquet(f"{dataset}/posts.parquet").select("post_id", "subreddit", "title", "split")
+    selected = cut(mining.select_posts(rows, seed, per_community))
+    seen = communities.filter("split_group = 'seen'")
+    sample = baseline.sample_per_community(baseline.training_posts(posts, selected, seen), train_per_community, seed)
+    train = cut(encode(sample, F.col("title"), encoder))
+    model, labels = baseline.train_classifier(train, "subreddit")
+    test = posts.join(selected.select("post_id"), "post_id", "left_semi").dropDuplicates(["post_id"])
+    scored = baseline.class_scores(encode(test.select("post_id", "title"), F.col("title"), encoder), model, labels).select("post_id", "scores")
+    asked = mining.questions(selected, rows, pools, communities, counts, ["name-only"], ["title"])
+    known = F.filter("candidates", lambda c: F.array_contains(F.map_keys("scores"), c))
+    answered = asked.join(scored, "post_id").withColumn("correct", baseline.best_candidate(known, F.col("scores")) == F.col("target"))
+    table = baseline.baseline_accuracy(answered.select("community_track", "target", "post_id", "difficulty", "k", F.coalesce("correct", F.lit(False)).alias("correct")), ["community_track", "difficulty", "k"], samples, seed)
+    result = {"baseline": "logistic regression over title vectors (supervised, seen track only)", "train_posts": train.count(), "train_per_community": train_per_community, "seen_communities": seen.count(), "seed": seed, "metrics": [r.asDict() for r in table.orderBy("difficulty", "k").collect()]}
+    storage.write_text(out, json.dumps(result, indent=2) + "\n")
+    return result
+
+
 COMPATIBLE = ("dataset_build", "text_modes", "representations", "difficulties", "selected_posts")
 
 
@@ -98,7 +125,7 @@ def compare_runs(spark: SparkSession, folders: list[str]) -> DataFrame:
     runs = []
     for folder in folders:
         try:
-            runs.append((folder, json.loads(Path(folder, "run.json").read_text()), json.loads(Path(folder, "metrics.json").read_text())))
+            runs.append((folder, json.loads(storage.read_text(f"{folder}/run.json")), json.loads(storage.read_text(f"{folder}/metrics.json"))))
         except FileNotFoundError as error:
             raise ValueError(f"{folder} is no complete result") from error
     first_folder, first, first_metrics = runs[0]
@@ -139,7 +166,7 @@ def sanity(scorer: scoring.Scorer, config: dict[str, Any]) -> list[dict[str, Any
             for example in config["examples"]:
                 names = example["candidates"]
                 criteria = names if representation == "name-only" else {f"option_{i:02d}": config["communities"][n] for i, n in enumerate(names, 1)}
-                question = {"q": {"type": "choice", "instructions": "Select the community of this post.", "criteria": criteria}}
+                question = {"q": {"type": "choice", "instructions": config.get("instruction", scoring.INSTRUCTION), "criteria": criteria}}
                 scoring.check_limits(scorer, question)
                 result, _ = scorer.predict(example["title"], question)
                 choice = scoring.normalize_answers(result, question)["q"]["choice"]

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratawright.functions.hashing import blake2b63, sha256_60
-from stratawright.functions.text import casefold
-from stratawright.operators import build, mining
-from stratawright.session import read_table
+from stratawright.operators import baseline, build, mining
+from stratawright.session import ensure_checkpoint_dir, read_table
+from stratawright.sources import files
 
 QUERIES, SQL = {}, {}
 SEED = 7
@@ -53,15 +55,8 @@ def A2_dedupe_first(spark, d):
 _FOLD = "replace(lower(title), 'ß', 'ss')"
 
 
-@query(f"WITH {_DEDUPED} SELECT post_id FROM (SELECT post_id, count(*) OVER (PARTITION BY {_FOLD}) AS n FROM deduped WHERE regexp_full_match(title, '[ -~ß]*')) WHERE n = 1")
+@query(f"WITH {_DEDUPED} SELECT post_id FROM (SELECT post_id, count(*) OVER (PARTITION BY {_FOLD}) AS n FROM deduped) WHERE n = 1")
 def A3_W9_unique_titles(spark, d):
-    plain = build.dedupe_paired(_raw(spark, d)).filter(F.col("title").rlike("^[ -~ß]*$"))
-    return build.unique_titles(plain).select("post_id")
-
-
-@query()
-def A3_W9_unique_titles_whole(spark, d):
-    """Posts with a title of their own over all titles; no SQL, because the other engine cannot fold case beyond ASCII."""
     return build.unique_titles(build.dedupe_paired(_raw(spark, d))).select("post_id")
 
 
@@ -81,9 +76,26 @@ def A5_community_counts(spark, d):
 @query("""SELECT lower(community_id) AS key, arg_max(community_id, s) AS community_id, 'r/' || arg_max(community_id, s) AS name, arg_max(public_description, s) AS public_description FROM (
   SELECT *, sha256(community_id || public_description) AS s FROM communities WHERE trim(coalesce(community_id, '')) <> '' AND trim(coalesce(public_description, '')) <> '') GROUP BY 1""")
 def src_csv_communities(spark, d):
-    """Last row wins per folded id, rows without id or description left out."""
-    raw = read_table(spark, d, "communities").withColumn("seq", F.sha2(F.concat("community_id", "public_description"), 256))
-    return build.load_communities(raw)
+    """Written as CSV in a known order and read back by alias; last row wins per folded id, rows without id or description left out."""
+    order = F.sha2(F.concat("community_id", "public_description"), 256)
+    folder = written_csv(read_table(spark, d, "communities").select(F.col("community_id").alias("subreddit_name"), F.col("public_description").alias("description"), "split_group").coalesce(1).sortWithinPartitions(order))
+    return build.load_communities(files.read_communities(spark, folder)).select("key", "community_id", "name", "public_description")
+
+
+@query("""SELECT post_id, lower(trim(subreddit)) AS subreddit, coalesce(created_utc, 0) AS created_utc FROM posts WHERE trim(coalesce(subreddit, '')) <> '' AND trim(coalesce(title, '')) <> ''
+  AND lower(trim(coalesce(selftext, ''))) NOT IN ('[deleted]', '[removed]') AND regexp_matches(regexp_replace(coalesce(selftext, ''), '(?i)https?://\\S+|www\\.\\S+', '', 'g'), '[\\p{L}\\p{N}]')""")
+def src_csv_posts(spark, d):
+    """Written as CSV under other names of the columns and read back by alias: the usable posts."""
+    rows = read_table(spark, d, "posts").select(F.concat(F.lit("t3_"), "post_id").alias("reddit_id"), F.col("subreddit").alias("label"), F.col("title").alias("Title"), F.col("selftext").alias("body"), F.col("created_utc").cast("string").alias("created_at"))
+    usable = files.read_posts(spark, [written_csv(rows)])[1]
+    return usable.select("post_id", F.lower("subreddit").alias("subreddit"), "created_utc")
+
+
+def written_csv(df: DataFrame) -> str:
+    """The folder, below the shared checkpoint folder, into which the rows were written as CSV."""
+    folder = f"{ensure_checkpoint_dir(df.sparkSession).rstrip('/')}/stratawright-{df.sparkSession.sparkContext.applicationId}/csv-{uuid.uuid4().hex}"
+    df.write.csv(folder, header=True, escape='"', quoteAll=True, emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return folder
 
 
 _COMMUNITIES = "comm AS (SELECT lower(community_id) AS key, min(community_id) AS community_id, min(name) AS name, coalesce(max(public_description), '') AS public_description, min(split_group) AS split_group FROM communities GROUP BY 1)"
@@ -131,10 +143,15 @@ _VECTORS = "vec AS (SELECT 'c' || label AS id, CASE WHEN label < 7 THEN 'seen' E
 _RANKED = f"{_VECTORS}, pairs AS (SELECT a.track, a.id AS target, b.id AS candidate, round(list_cosine_similarity(a.v, b.v), 9) AS s FROM vec a JOIN vec b ON a.track = b.track AND a.id <> b.id), ranked AS (SELECT *, row_number() OVER (PARTITION BY track, target ORDER BY s DESC, candidate) AS rank FROM pairs)"
 
 
-@query(f"WITH {_VECTORS} SELECT id AS community_id, track, len(v)::BIGINT AS d, round(v[1], 6) AS first, round(v[64], 6) AS last FROM vec")
+@query("""WITH one AS (SELECT label, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label), mean AS (SELECT label, list(m ORDER BY i) AS v FROM (SELECT label, i, avg(x) AS m FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE label < 7) GROUP BY 1, 2) GROUP BY label),
+  every AS (SELECT label, v FROM mean UNION ALL SELECT label, list_transform(v, lambda x: x::DOUBLE) FROM one WHERE label >= 7) SELECT 'c' || label AS community_id, len(v)::BIGINT AS d, round(v[1], 6) AS first, round(v[64], 6) AS last FROM every""")
 def A6_U7_community_vectors(spark, d):
+    """Some communities by the mean of their vectors, the others by one vector of their own."""
+    e = read_table(spark, d, "embeddings").withColumn("community_id", F.concat(F.lit("c"), F.col("label").cast("string"))).withColumn("vector", F.transform("embedding", lambda x: x.cast("double")))
+    own = e.filter("label >= 7").groupBy("community_id").agg(F.min_by("vector", "vec_id").alias("vector"))
     v = F.col("vector")
-    return _vectors(spark, d).select("community_id", "track", F.size(v).cast("bigint").alias("d"), F.round(v[0], 6).alias("first"), F.round(v[63], 6).alias("last"))
+    both = mining.community_vectors(e.filter("label < 7"), own)
+    return both.select("community_id", F.size(v).cast("bigint").alias("d"), F.round(v[0], 6).alias("first"), F.round(v[63], 6).alias("last"))
 
 
 @query(f"WITH {_RANKED} SELECT track, target, candidate, round(s, 6) AS similarity, rank::BIGINT AS rank FROM ranked")
@@ -210,18 +227,23 @@ def J5_src_parquet_filtered(spark, d):
 _NAMED = """names AS (SELECT community_id, min(name) AS name FROM communities GROUP BY 1)"""
 
 
-@query(f"""WITH {_INST}, {_POOL1}, {_NAMED}, c AS (SELECT post_id, target, community_track, difficulty, shuffle_seed, unnest(list_prepend(target, pool[1:3])) AS candidate FROM inst JOIN pools ON pools.pool_id = inst.pool_id WHERE len(pool) >= 3 AND difficulty = 'hard'),
-  h AS (SELECT c.*, names.name, ('0x' || substr(sha256(shuffle_seed::VARCHAR || chr(0) || '4' || chr(0) || 'candidate' || chr(0) || candidate), 1, 15))::BIGINT AS h FROM c LEFT JOIN names ON names.community_id = candidate)
-  SELECT post_id || '|title|name-only|' || community_track || '|' || difficulty || '|4' AS prediction_id, string_agg(candidate, '|' ORDER BY h, candidate) AS candidates, string_agg(coalesce(name, '?'), '|' ORDER BY h, candidate) AS labels FROM h GROUP BY post_id, target, community_track, difficulty""")
+@query(f"""WITH {_INST}, {_POOL1}, {_NAMED}, c AS (SELECT post_id, target, community_track, difficulty, shuffle_seed, k, unnest(list_prepend(target, pool[1:k - 1])) AS candidate FROM inst JOIN pools ON pools.pool_id = inst.pool_id CROSS JOIN (SELECT unnest([4, 16]) AS k)),
+  h AS (SELECT c.*, names.name, ('0x' || substr(sha256(shuffle_seed::VARCHAR || chr(0) || k::VARCHAR || chr(0) || 'candidate' || chr(0) || candidate), 1, 15))::BIGINT AS h FROM c LEFT JOIN names ON names.community_id = candidate),
+  placed AS (SELECT *, row_number() OVER (PARTITION BY post_id, target, community_track, difficulty, k ORDER BY h, candidate) AS place FROM h),
+  listed AS (SELECT post_id, community_track, difficulty, k, string_agg(candidate, '|' ORDER BY place) AS candidates, string_agg(coalesce(name, '?'), '|' ORDER BY place) AS names, string_agg(printf('option_%02d', place), '|' ORDER BY place) AS options FROM placed GROUP BY post_id, target, community_track, difficulty, k)
+  SELECT post_id || '|' || t || '|' || r || '|' || community_track || '|' || difficulty || '|' || k AS prediction_id, candidates, CASE WHEN r = 'name-only' THEN names ELSE options END AS labels
+  FROM listed, (SELECT unnest(['title', 'title+selftext']) AS t), (SELECT unnest(['name-only', 'anonymous-id+description']) AS r)""")
 def J6_J9_questions(spark, d):
-    """Question matrix of the hard instances at K = 4: candidates in display order with their names."""
-    rows = _instances(spark, d).filter("difficulty = 'hard'")
-    pools = _pools(spark, d).filter(F.size("negative_pool") >= 3)
-    named = read_table(spark, d, "communities").groupBy("community_id").agg(F.min("name").alias("name"), F.max("public_description").alias("public_description"))
-    asked = mining.questions(rows.select("post_id").distinct(), rows, pools, named, [4], ["name-only"], ["title"], sha256_60)
+    """Question matrix of all instances, two candidate counts, both representations and both text modes: candidates in display order with their labels."""
+    rows, pools, named = _instances(spark, d), _pools(spark, d), _named(spark, d)
+    asked = mining.questions(rows.select("post_id").distinct(), rows, pools, named, [4, 16], ["name-only", "anonymous-id+description"], ["title", "title+selftext"], sha256_60)
     return asked.select("prediction_id", F.array_join("candidates", "|").alias("candidates"), F.array_join("labels", "|", "?").alias("labels"))
 
 
+def _named(spark: SparkSession, d: str) -> DataFrame:
+    return read_table(spark, d, "communities").groupBy("community_id").agg(F.min("name").alias("name"), F.max("public_description").alias("public_description"))
+
+
 @query(f"""WITH {_INST} SELECT post_id || '|' || t || '|' || r || '|' || community_track || '|' || difficulty || '|' || k AS prediction_id FROM inst, (SELECT unnest(['title', 'title+selftext']) AS t), (SELECT unnest(['name-only', 'anonymous-id+description']) AS r), (SELECT unnest([4, 16]) AS k)
   WHERE hash(0) = hash(0) AND ('0x' || substr(sha256(post_id), 1, 2))::INTEGER >= 128""")
 def J7_J9_remaining(spark, d):
@@ -234,34 +256,35 @@ def J7_J9_remaining(spark, d):
 
 @query(f"WITH {_INST} SELECT post_id, count(*) AS size, string_agg(difficulty, ',' ORDER BY difficulty) AS difficulties FROM inst GROUP BY post_id")
 def A22_batch_group(spark, d):
-    return _instances(spark, d).groupBy("post_id").agg(F.count(F.lit(1)).alias("size"), F.array_join(F.array_sort(F.collect_list("difficulty")), ",").alias("difficulties"))
+    asked = _instances(spark, d).select("post_id", F.lit("title").alias("text_mode"), F.lit("name-only").alias("representation"), F.lit(4).alias("k"), F.col("difficulty").alias("qid"))
+    return mining.batches(asked).select("post_id", "size", F.array_join("qids", ",").alias("difficulties"))
 
 
 @query("SELECT DISTINCT post_id FROM posts WHERE lower(trim(split)) = 'train' AND post_id NOT IN (SELECT post_id FROM instances) AND lower(trim(subreddit)) IN (SELECT lower(community_id) FROM communities)")
 def J11_training_posts(spark, d):
     """Train posts without the evaluated ones, of known communities."""
-    train = read_table(spark, d, "posts").filter("lower(trim(split)) = 'train'").select("post_id", F.lower(F.trim("subreddit")).alias("key"))
-    known = read_table(spark, d, "communities").select(F.lower("community_id").alias("key"))
-    return train.join(read_table(spark, d, "instances").select("post_id"), "post_id", "left_anti").join(known, "key", "left_semi").select("post_id").distinct()
+    posts = read_table(spark, d, "posts").select("post_id", F.lower(F.trim("subreddit")).alias("subreddit"), F.lower(F.trim("split")).alias("split"))
+    known = read_table(spark, d, "communities").select(F.lower("community_id").alias("community_id"))
+    return baseline.training_posts(posts, read_table(spark, d, "instances"), known).select("post_id").distinct()
 
 
-@query("SELECT subreddit, post_id FROM (SELECT DISTINCT lower(trim(subreddit)) AS subreddit, post_id FROM posts WHERE lower(trim(split)) = 'train' AND subreddit IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY subreddit ORDER BY ('0x' || substr(sha256('baseline' || chr(0) || post_id), 1, 15))::BIGINT, post_id) <= 20")
+@query("SELECT subreddit, post_id FROM (SELECT DISTINCT lower(trim(subreddit)) AS subreddit, post_id FROM posts WHERE lower(trim(split)) = 'train' AND subreddit IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY subreddit ORDER BY ('0x' || substr(sha256('baseline' || chr(0) || post_id), 1, 15))::BIGINT, post_id) <= 200")
 def W10_baseline_sample(spark, d):
-    """At most 20 train posts per community by stable hash (the sampling operator of the baseline)."""
-    from pyspark.sql import Window
-
+    """At most 200 train posts per community by stable hash."""
     rows = read_table(spark, d, "posts").filter("lower(trim(split)) = 'train' and subreddit is not null").select(F.lower(F.trim("subreddit")).alias("subreddit"), "post_id").distinct()
-    order = Window.partitionBy("subreddit").orderBy(sha256_60("baseline", F.col("post_id")), "post_id")
-    return rows.withColumn("n", F.row_number().over(order)).filter("n <= 20").select("subreddit", "post_id")
+    return baseline.sample_per_community(rows, 200, "baseline", sha256_60).select("subreddit", "post_id")
 
 
-@query()
+@query(f"""WITH {_DEDUPED}, {_COMMUNITIES}, uniq AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY {_FOLD}) AS titles FROM deduped) WHERE titles = 1), big AS (SELECT lower(subreddit) AS key FROM uniq GROUP BY 1 HAVING count(*) >= 8),
+  eligible AS (SELECT comm.key, comm.community_id FROM comm JOIN big ON big.key = comm.key),
+  groups AS (SELECT key, community_id, CASE WHEN r <= least(greatest(round_even(n * 0.2, 0), 8), n - 8) THEN 'unseen' ELSE 'seen' END AS split_group FROM (SELECT *, row_number() OVER (ORDER BY ('0x' || substr(sha256('{SEED}' || chr(0) || 'community' || chr(0) || community_id), 1, 15))::BIGINT, community_id) AS r, count(*) OVER () AS n FROM eligible)),
+  ranked AS (SELECT post_id, community_id AS subreddit, split_group, row_number() OVER (PARTITION BY community_id ORDER BY ('0x' || substr(sha256('{SEED}' || chr(0) || 'post' || chr(0) || post_id), 1, 15))::BIGINT, post_id) AS r, count(*) OVER (PARTITION BY community_id) AS n FROM uniq JOIN groups ON groups.key = lower(uniq.subreddit)),
+  parts AS (SELECT *, least(greatest(round_even(n * 0.8, 0), 1), n - 2) AS t FROM ranked)
+  SELECT post_id, subreddit, split_group, CASE WHEN split_group = 'unseen' THEN 'test' WHEN r <= t THEN 'train' WHEN r <= t + least(greatest(round_even(n * 0.1, 0), 1), n - t - 1) THEN 'dev' ELSE 'test' END AS split FROM parts""")
 def M6_build_dataset(spark, d):
-    """The whole build with the contract's hash: eligible posts with their split."""
-    raw = _raw(spark, d).withColumn("_key", casefold("subreddit")).drop("_key")
-    deduped = build.dedupe_paired(raw)
-    unique = build.unique_titles(deduped)
+    """The whole chain of the build, from copies to splits, with the hash that both engines have."""
+    unique = build.unique_titles(build.dedupe_paired(_raw(spark, d)))
     posts, communities = build.select_eligible(unique, _communities(spark, d).drop("split_group"), 8)
-    groups = build.split_communities(communities, SEED, 0.2, 8, blake2b63)
+    groups = build.split_communities(communities, SEED, 0.2, 8, sha256_60)
     joined = posts.join(groups.select(F.col("community_id").alias("subreddit"), "split_group"), "subreddit")
-    return build.assign_splits(joined, SEED, 0.8, 0.1).select("post_id", "subreddit", "split_group", "split")
+    return build.assign_splits(joined, SEED, 0.8, 0.1, hash_fn=sha256_60).select("post_id", "subreddit", "split_group", "split")

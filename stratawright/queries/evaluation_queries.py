@@ -98,8 +98,8 @@ def A18_f_headline(spark, d):
 
 @query(f"WITH {_PRED} SELECT representation, round(avg(correct::INTEGER), 9) AS accuracy, avg(correct::INTEGER) >= 0.5 AS passed FROM pred GROUP BY 1")
 def A19_sanity_accuracy(spark, d):
-    acc = predictions(spark, d).groupBy("representation").agg(F.avg(F.col("correct").cast("int")).alias("a"))
-    return acc.select("representation", F.round("a", 9).alias("accuracy"), (F.col("a") >= 0.5).alias("passed"))
+    rows = metrics.accuracy_gate(predictions(spark, d), ["representation"], 0.5)
+    return rows.select("representation", F.round("accuracy", 9).alias("accuracy"), "passed")
 
 
 @query(f"""WITH {_PRED}, s AS (SELECT 'system' || (event_id % 3)::VARCHAR AS system, k, avg(correct::INTEGER) AS a FROM pred WHERE NOT (event_id % 3 = 2 AND k = 64) GROUP BY 1, 2)
@@ -142,14 +142,13 @@ def O4_metric_table(spark, d):
 
 @query()
 def M7_evaluate_local(spark, d):
-    """Questions of the instance table scored by the local first-option scorer, one prediction row each."""
-    from stratawright.queries.build_queries import _instances, _pools
+    """Questions of the instance table, at two candidate counts, scored by the local first-option scorer, one prediction row each."""
     from stratawright.operators import mining
+    from stratawright.queries.build_queries import _instances, _named, _pools
     from stratawright.scoring.scorer import FirstOption, score
 
-    rows, pools = _instances(spark, d), _pools(spark, d).filter(F.size("negative_pool") >= 3)
-    named = read_table(spark, d, "communities").groupBy("community_id").agg(F.min("name").alias("name"), F.max("public_description").alias("public_description"))
-    asked = mining.questions(rows.select("post_id").distinct(), rows, pools, named, [4], ["name-only"], ["title"])
+    rows = _instances(spark, d)
+    asked = mining.questions(rows.select("post_id").distinct(), rows, _pools(spark, d), _named(spark, d), [4, 16], ["name-only"], ["title"])
     titles = read_table(spark, d, "posts").groupBy("post_id").agg(F.max("title").alias("state"))
     return score(asked.join(titles, "post_id"), FirstOption()).select("prediction_id", "prediction", "correct", "k", "confidence", "candidate_fingerprint")
 
@@ -163,8 +162,16 @@ def M1_supervised_baseline(spark, d):
     return supervised_baseline(e.select("vec_id", F.col("embedding").alias("vector"), F.col("label").cast("string").alias("label")), "vec_id", max_iter=30)
 
 
-@query()
+@query(f"WITH {_PRED} SELECT difficulty, k, count(*) AS examples, round(avg(correct::INTEGER), 9) AS accuracy FROM pred GROUP BY ALL")
 def A24_baseline_accuracy(spark, d):
+    """Accuracy per slice; its bootstrap interval, which has no SQL, is a query of its own."""
+    from stratawright.operators.baseline import baseline_accuracy
+
+    return baseline_accuracy(predictions(spark, d), ["difficulty", "k"], 1000, 7).select("difficulty", "k", "examples", F.round("accuracy", 9).alias("accuracy"))
+
+
+@query()
+def A24_baseline_interval(spark, d):
     """Rows only: bootstrap with one seed for every slice; held against numpy in the tests."""
     from stratawright.operators.baseline import baseline_accuracy
 

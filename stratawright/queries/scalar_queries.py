@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratawright.functions import answers, text
 from stratawright.functions.hashing import sha256_60
 from stratawright.functions.vectors import cosine, dot, l2_normalize
+from stratawright.operators import metrics
 from stratawright.operators.mining import candidates_for_k
 from stratawright.session import read_table
 
@@ -158,10 +159,10 @@ def f_eval_split(spark, d):
 @query("SELECT n AS max_options, array_to_string(list_filter([4, 16, 64], lambda k: k <= n), ',') AS run, array_to_string(list_filter([4, 16, 64], lambda k: k > n), ',') AS skipped FROM (SELECT unnest([4, 20, 100]) AS n)")
 def f_k_limit(spark, d):
     """Candidate counts that a worker can take, and those that are skipped."""
-    ks = F.array(F.lit(4), F.lit(16), F.lit(64))
-    limits = spark.createDataFrame([(4,), (20,), (100,)], "max_options int")
-    text_of = lambda a: F.array_join(a.cast("array<string>"), ",")
-    return limits.select("max_options", text_of(F.filter(ks, lambda k: k <= F.col("max_options"))).alias("run"), text_of(F.filter(ks, lambda k: k > F.col("max_options"))).alias("skipped"))
+    from stratawright.scoring.scorer import limited_counts
+
+    rows = [(n, *(",".join(map(str, part)) for part in limited_counts([4, 16, 64], n))) for n in (4, 20, 100)]
+    return spark.createDataFrame(rows, "max_options int, run string, skipped string")
 
 
 @query("SELECT post_id, subreddit, title FROM posts UNION ALL BY NAME SELECT community_id AS post_id, name AS subreddit, public_description AS title FROM communities")
@@ -220,7 +221,8 @@ def O5_pool_prefix(spark, d):
 @query("SELECT community_track, difficulty, count(DISTINCT post_id) AS ids, string_agg(DISTINCT lower(trim(split)), ',' ORDER BY lower(trim(split))) AS splits FROM instances WHERE difficulty IS NOT NULL GROUP BY 1, 2")
 def A21_id_and_slice_sets(spark, d):
     rows = read_table(spark, d, "instances").filter("difficulty is not null")
-    return rows.groupBy("community_track", "difficulty").agg(F.count_distinct("post_id").alias("ids"), F.array_join(F.array_sort(F.collect_set(F.lower(F.trim("split")))), ",").alias("splits"))
+    sets = metrics.slice_sets(rows, ["community_track", "difficulty"], "post_id", F.lower(F.trim("split")))
+    return sets.select("community_track", "difficulty", "ids", F.array_join("values", ",").alias("splits"))
 
 
 @query("SELECT subreddit, title FROM posts WHERE lower(trim(split)) = 'train'")

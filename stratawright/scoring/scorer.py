@@ -11,13 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratawright.session import cut
+
 Questions = dict[str, dict[str, Any]]
 
 #: Schema of a prediction row.
 PREDICTION = (
     "prediction_id string, post_id string, target string, prediction string, correct boolean, text_mode string, representation string, community_track string, difficulty string, k int, target_position int, "
     "candidates array<string>, candidate_fingerprint string, choice string, probabilities array<double>, true_probability double, confidence double, squared_probability_sum double, public_probability_sum double, "
-    "probability_source string, batch_questions int, batch_latency_ms double, amortized_latency_ms double, input_tokens double, output_tokens double, forward_count double, api_cost_usd double, answer_extra string, response string, batch_usage string"
+    "probability_source string, batch_questions int, batch_latency_ms double, amortized_latency_ms double, input_tokens double, output_tokens double, forward_count double, api_cost_usd double, answer_extra string, response string, served_model string, batch_usage string"
 )
 
 
@@ -72,7 +74,7 @@ class WordOverlap(LocalScorer):
 
 def options(question: dict[str, Any]) -> tuple[list[str], list[str]]:
     """Labels and texts of a question's criteria: a list of names, label -> text, or yes and no if there are none."""
-    criteria = question.get("criteria") or ["no", "yes"]
+    criteria = question.get("criteria") or {"no": "No", "yes": "Yes"}
     if isinstance(criteria, dict):
         return [str(x) for x in criteria], [str(x) for x in criteria.values()]
     return [str(x) for x in criteria], [str(x) for x in criteria]
@@ -108,7 +110,10 @@ def check_limits(scorer: Scorer, questions: Questions) -> None:
             raise ValueError(f"at most {scorer.max_options} options, {qid} has {n}")
 
 
-def score_batch(scorer: Scorer, rows: pd.DataFrame) -> list[dict[str, Any]]:
+INSTRUCTION = "Select the community of this post."
+
+
+def score_batch(scorer: Scorer, rows: pd.DataFrame, instruction: str = INSTRUCTION) -> list[dict[str, Any]]:
     """Prediction rows of the questions of one post, text mode, representation and K, sent together."""
     import hashlib
 
@@ -116,9 +121,11 @@ def score_batch(scorer: Scorer, rows: pd.DataFrame) -> list[dict[str, Any]]:
     for row in rows.itertuples():
         labels, texts = list(row.labels), list(row.texts)
         criteria = labels if row.representation == "name-only" else dict(zip(labels, texts, strict=True))
-        questions[row.qid] = {"type": "choice", "instructions": "Select the community of this post.", "criteria": criteria}
+        questions[row.qid] = {"type": "choice", "instructions": instruction, "criteria": criteria}
     check_limits(scorer, questions)
     result, latency = scorer.predict(rows["state"].iloc[0] or "", questions)
+    # Whatever else an enveloped answer says is kept, so that nothing needs a rerun for it.
+    besides = {k: v for k, v in result.items() if k not in ("answers", "usage", "probability_source", "served_model")} if "answers" in result else {}
     answers, usage, n, out = normalize_answers(result, questions), dict(result.get("usage") or {}), len(questions), []
     for row in rows.itertuples():
         answer, labels, candidates = answers[row.qid], list(row.labels), list(row.candidates)
@@ -138,13 +145,13 @@ def score_batch(scorer: Scorer, rows: pd.DataFrame) -> list[dict[str, Any]]:
                 "true_probability": shares and shares[place], "confidence": shares and max(shares), "squared_probability_sum": shares and sum(x * x for x in shares), "public_probability_sum": public,
                 "probability_source": result.get("probability_source", scorer.probabilities), "batch_questions": n, "batch_latency_ms": latency, "amortized_latency_ms": latency / n,
                 "input_tokens": usage.get("input_tokens", 0) / n, "output_tokens": usage.get("output_tokens", 0) / n, "forward_count": usage.get("forward_count", 1) / n,
-                "api_cost_usd": usage.get("api_cost_usd", usage.get("cost", 0)) / n, "answer_extra": json.dumps(answer["extra"]), "response": None, "batch_usage": json.dumps(usage),
+                "api_cost_usd": usage.get("api_cost_usd", usage.get("cost", 0)) / n, "answer_extra": json.dumps(answer["extra"]), "response": json.dumps(besides) if besides else None, "served_model": result.get("served_model"), "batch_usage": json.dumps(usage),
             }
         )
     return out
 
 
-def score(asked: DataFrame, scorer: Scorer, partitions: int | None = None) -> DataFrame:
+def score(asked: DataFrame, scorer: Scorer, partitions: int | None = None, instruction: str = INSTRUCTION) -> DataFrame:
     """Predictions of all questions (with the post's text in ``state``).
 
     Questions of one batch are brought together and sorted, so a task streams through its batches and holds one at a time. A retried
@@ -162,14 +169,14 @@ def score(asked: DataFrame, scorer: Scorer, partitions: int | None = None) -> Da
                 out = []
                 for this, part in frame.groupby(batch, sort=False):
                     if held and this != key:
-                        out += score_batch(scorer, pd.concat(held))
+                        out += score_batch(scorer, pd.concat(held), instruction)
                         held = []
                     held.append(part)
                     key = this
                 if out:
                     yield pd.DataFrame(out)
             if held:
-                yield pd.DataFrame(score_batch(scorer, pd.concat(held)))
+                yield pd.DataFrame(score_batch(scorer, pd.concat(held), instruction))
         finally:
             scorer.close()
 
@@ -197,8 +204,19 @@ def limited_counts(counts: list[int], max_options: int | None) -> tuple[list[int
     return run, [k for k in counts if k not in run]
 
 
-def predictions_for(spark, asked: DataFrame, scorer: Scorer, path: str) -> DataFrame:
-    """Score what ``path`` does not hold yet, append it, and return all predictions there. A rerun adds nothing."""
-    left = asked.join(read_predictions(spark, path).select("prediction_id"), "prediction_id", "left_anti")
-    append_predictions(score(left, scorer), path)
+#: Questions between two commits.
+COMMIT_EVERY = 20_000
+
+
+def predictions_for(spark, asked: DataFrame, scorer: Scorer, path: str, instruction: str = INSTRUCTION, every: int = COMMIT_EVERY) -> DataFrame:
+    """Score what ``path`` does not hold yet, append it, and return all predictions there. A rerun adds nothing.
+
+    Posts are scored in chunks of about ``every`` questions, each committed by itself, so a run that dies keeps all chunks before; a chunk holds whole
+    batches, because it takes whole posts.
+    """
+    left = cut(asked.join(read_predictions(spark, path).select("prediction_id"), "prediction_id", "left_anti"))
+    chunks = -(-left.count() // every)
+    for n in range(chunks):
+        part = left if chunks == 1 else left.filter(F.pmod(F.xxhash64("post_id"), F.lit(chunks)) == n)
+        append_predictions(score(part, scorer, instruction=instruction), path)
     return read_predictions(spark, path).filter(F.col("prediction_id").isNotNull())

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -32,7 +34,10 @@ def build_session(app: str = "stratawright", master: str | None = None, **extra:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the one named in spark.checkpoint.dir, else one of our own (tests)."""
+    """The shared checkpoint folder: the one named in spark.checkpoint.dir, else, on a local master only, one of our own (tests).
+
+    A folder of one machine would lose what the executors of a cluster write, so there the setting is required.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if named:
@@ -41,11 +46,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return named
     current = context._jsc.sc().getCheckpointDir()
     if current.isEmpty():
+        if not LOCAL.fullmatch(context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="stratawright-checkpoint-"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get()
 
 
+LOCAL = re.compile(r"local(\[.*\])?")
 _TABLES: set[tuple[str, str]] = set()
 
 
@@ -107,7 +115,9 @@ def ship_package(spark: SparkSession) -> None:
                     path = os.path.join(folder, name)
                     archive.write(path, os.path.join("stratawright", os.path.relpath(path, here)))
     # The driver serves the file to the executors; nothing on a worker's disk is relied on.
-    path = os.path.join(tempfile.mkdtemp(prefix="stratawright-"), "stratawright.zip")
+    folder = tempfile.mkdtemp(prefix="stratawright-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, "stratawright.zip")
     with open(path, "wb") as file:
         file.write(content.getvalue())
     context.addPyFile(path)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import csv
+import io
 import json
-import os
 from collections.abc import Iterable
 from pathlib import Path
 from typing import Any
@@ -13,29 +13,28 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratawright.functions import text
+from stratawright.sources import settings, storage
 
 #: Headers that mean the same field, in small letters.
 POST_ALIASES = {
-    "id": ["id", "post_id"], "permalink": ["permalink", "url"], "subreddit": ["subreddit_name", "subreddit", "label"], "title": ["title", "title__2"],
-    "selftext": ["text", "selftext", "body"], "created": ["create_time", "created_utc", "created"],
+    "id": ["post_id", "id", "reddit_id", "name"], "permalink": ["permalink", "perm_link", "url"], "subreddit": ["subreddit", "subreddit_name", "label"], "title": ["title", "title__2"],
+    "selftext": ["selftext", "body", "text"], "created": ["created_utc", "create_time", "created_at"],
 }
 COMMUNITY_ALIASES = {"community_id": ["community_id", "subreddit_name", "subreddit", "name"], "public_description": ["public_description", "description"]}
-REGISTRY = "model string, adapter string, revision string, probabilities string, max_questions int, max_options int, endpoint string"
+REGISTRY = "model string, adapter string, runtime_model string, revision string, probabilities string, max_questions int, max_options int, endpoint string, suffix string, token_variable string, command string"
 
 
 def discover_csvs(paths: Iterable[str]) -> list[str]:
-    """Sorted distinct CSV files of files and folders (searched through); another file or none at all is an error."""
-    found: set[str] = set()
-    for path in map(Path, paths):
-        if path.is_dir():
-            found |= {str(p) for p in path.rglob("*.csv")}
-        elif path.suffix.casefold() == ".csv":
-            found.add(str(path))
-        else:
-            raise ValueError(f"{path} is no CSV file")
+    """Sorted distinct CSV files of files and folders (searched through), on any file system; another file or none at all is an error."""
+    paths = [str(p) for p in paths]
+    folders = [p for p in paths if storage.is_folder(p)]
+    named = [p for p in paths if p not in folders]
+    if other := [p for p in named if not p.casefold().endswith(".csv")]:
+        raise ValueError(f"no CSV files: {other}")
+    found = sorted({*named, *(f for folder in folders for f in storage.files_under(folder) if f.endswith(".csv"))})
     if not found:
         raise ValueError("no CSV file found")
-    return sorted(found)
+    return found
 
 
 def column_names(header: list[str]) -> list[str]:
@@ -58,8 +57,8 @@ def read_csvs(spark: SparkSession, files: list[str]) -> DataFrame:
     """
     parts = []
     for number, file in enumerate(files):
-        with open(file, encoding="utf-8-sig", newline="") as head:
-            names = column_names(next(csv.reader(head), []))
+        head = spark.read.csv(file, multiLine=True, escape='"', encoding="UTF-8").limit(1).collect()
+        names = column_names([(n or "").removeprefix("\ufeff") for n in head[0]] if head else [])
         schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
         rows = spark.read.schema(schema).csv(file, header=True, multiLine=True, escape='"', enforceSchema=True, encoding="UTF-8")
         parts.append(rows.withColumn("seq", F.lit(number).cast("bigint") * F.lit(1 << 40) + F.monotonically_increasing_id()))
@@ -93,15 +92,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def load_config(path: str) -> dict[str, Any]:
-    """A JSON file, or YAML where a parser for it is installed."""
-    content = Path(path).read_text()
-    if path.casefold().endswith((".yaml", ".yml")):
-        try:
-            import yaml
-        except ImportError as error:
-            raise RuntimeError("YAML needs a parser; write the configuration as JSON") from error
-        return yaml.safe_load(content)
-    return json.loads(content)
+    """A JSON or YAML file on the driver's machine."""
+    return settings.parse(path, Path(path).read_text(encoding="utf-8"))
 
 
 def registry(spark: SparkSession, path: str | None = None) -> DataFrame:
@@ -123,29 +115,28 @@ def write_parquet(df: DataFrame, path: str) -> None:
 def write_report(report: DataFrame, path: str, **more: Any) -> dict[str, Any]:
     """build.json: the one row of counters and what else is given."""
     row = {**report.first().asDict(), **more}
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(row, indent=2, sort_keys=True) + "\n")
+    storage.write_text(path, json.dumps(row, indent=2, sort_keys=True) + "\n")
     return row
 
 
 def guard_run(folder: str, run: dict[str, Any]) -> None:
     """Write run.json; fail if the folder has another run."""
-    path = Path(folder) / "run.json"
-    text_now = json.dumps(run, indent=2, sort_keys=True) + "\n"
-    if path.exists() and json.loads(path.read_text()) != json.loads(text_now):
+    path = f"{folder}/run.json"
+    now = json.dumps(run, indent=2, sort_keys=True) + "\n"
+    loose = {"runtime": None}  # a run may go on elsewhere
+    if storage.exists(path) and json.loads(storage.read_text(path)) | loose != json.loads(now) | loose:
         raise ValueError(f"{folder} holds another run")
-    path.parent.mkdir(parents=True, exist_ok=True)
-    path.write_text(text_now)
+    storage.write_text(path, now)
 
 
 def write_metrics(metrics: DataFrame, folder: str) -> list[dict[str, Any]]:
     """metrics.json, and metrics.csv if there are rows. A few hundred rows: slices, not predictions."""
     rows = [r.asDict() for r in metrics.collect()]
-    os.makedirs(folder, exist_ok=True)
-    Path(folder, "metrics.json").write_text(json.dumps(rows, indent=2) + "\n")
+    storage.write_text(f"{folder}/metrics.json", json.dumps(rows, indent=2) + "\n")
     if rows:
-        with open(Path(folder, "metrics.csv"), "w", newline="") as file:
-            out = csv.DictWriter(file, rows[0].keys(), lineterminator="\n")
-            out.writeheader()
-            out.writerows(rows)
+        content = io.StringIO(newline="")
+        out = csv.DictWriter(content, rows[0].keys(), lineterminator="\n")
+        out.writeheader()
+        out.writerows(rows)
+        storage.write_text(f"{folder}/metrics.csv", content.getvalue())
     return rows

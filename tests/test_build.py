@@ -9,7 +9,7 @@ from stratawright.functions.hashing import stable_uint_py
 from stratawright.operators import build, mining
 from stratawright.queries import build_queries
 from stratawright.plans import pipeline
-from stratawright.sources import files
+from stratawright.sources import files, storage
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])  # the encoder below, which workers cannot import
 SCHEMA = "post_id string, subreddit string, title string, selftext string, created_utc bigint, seq bigint"
@@ -77,6 +77,57 @@ def test_sources(spark, tmp_path):
         files.guard_run(str(tmp_path / "run"), {"a": 2})
 
 
+def test_aliases_and_ids(spark, tmp_path):
+    """Every alias of the contract, its order where several are filled, and which links hold an id."""
+    (tmp_path / "a.csv").write_text("reddit_id,perm_link,label,Title,selftext,body,text,created_utc,create_time,created_at\nt3_aa1,,x,One,from selftext,from body,from text,5,6,7\n,/r/x/comments/bb2/,x,Two,,from body,from text,,6,7\n,/r/x/comments/cc3,x,Three,,,from text,,,2024-01-01T00:00:00Z\nT3_dd4,/comments/EE5/z,x,Four,,,from text,,,\n")
+    (tmp_path / "b.csv").write_text("name,subreddit,subreddit_name,title,body\nff6,first,second,Five,text\n")
+    got = {r.title: r for r in files.read_posts(spark, [str(tmp_path)])[1].collect()}
+    assert {t: (r.selftext, r.created_utc) for t, r in got.items() if t != "Five"} == {"One": ("from selftext", 5), "Two": ("from body", 6), "Three": ("from text", 1704067200), "Four": ("from text", 0)}
+    assert (got["One"].post_id, got["Two"].post_id, got["Four"].post_id) == ("aa1", "bb2", "ee5") and len(got["Three"].post_id) == 64
+    assert (got["Five"].post_id, got["Five"].subreddit) == ("ff6", "first")
+
+
+def test_json_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
+    assert sorted(r.a for r in files.read_jsonl(spark, str(tmp_path / "a.jsonl"), "a int").collect()) == [1, 2]
+    (tmp_path / "b.jsonl").write_text('{"a": 1\n')
+    with pytest.raises(Exception, match="FAILFAST|MALFORMED|arsing|malformed"):
+        files.read_jsonl(spark, str(tmp_path / "b.jsonl"), "a int").collect()
+
+
+def test_storage(spark, tmp_path):
+    path = f"file://{tmp_path}/deep/er/x.json"
+    storage.write_text(path, "ä\n")
+    storage.write_text(path, "ö\n")
+    assert storage.read_text(path) == "ö\n" and storage.exists(path) and storage.is_folder(str(tmp_path / "deep"))
+    assert storage.files_under(str(tmp_path)) and not [f for f in storage.files_under(str(tmp_path)) if f.endswith(".writing")]
+    with pytest.raises(FileNotFoundError):
+        storage.read_text(str(tmp_path / "none"))
+    with pytest.raises(ValueError, match="no CSV"):
+        files.discover_csvs([str(tmp_path)])
+
+
+def test_missing_communities_and_unknown_representations_are_errors(spark):
+    rows = spark.createDataFrame([("p", "a", "seen", "hard", "seen:a:hard", 5)], "post_id string, target string, community_track string, difficulty string, pool_id string, shuffle_seed long")
+    pools = spark.createDataFrame([("seen:a:hard", ["b"])], "pool_id string, negative_pool array<string>")
+    known = spark.createDataFrame([("a", "r/a", "about a"), ("b", "r/b", "about b")], "community_id string, name string, public_description string")
+    assert mining.questions(rows, rows, pools, known, [2], ["name-only"], ["title"]).count() == 1
+    with pytest.raises(Exception, match="no such community: b"):
+        mining.questions(rows, rows, pools, known.filter("community_id = 'a'"), [2], ["name-only"], ["title"]).collect()
+    with pytest.raises(ValueError, match="unknown representations"):
+        mining.questions(rows, rows, pools, known, [2], ["names"], ["title"])
+
+
+def test_similar_pairs_either_way(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(f"c{i}", ("seen", "unseen")[i % 2], rng.normal(size=8).tolist()) for i in range(9)]
+    vectors = spark.createDataFrame(rows, "community_id string, track string, vector array<double>")
+    held = {tuple(r)[:3]: r.similarity for r in mining.similar_pairs(vectors).collect()}
+    monkeypatch.setattr(mining, "HELD_BYTES", 0)
+    joined = {tuple(r)[:3]: r.similarity for r in mining.similar_pairs(vectors).collect()}
+    assert held.keys() == joined.keys() and len(held) == 5 * 4 + 4 * 3 and all(held[k] == pytest.approx(v, abs=1e-12) for k, v in joined.items())
+
+
 def encoder(texts):
     return np.array([[1.0, sum(map(ord, t)) % 17 + 1] for t in texts], "float32")
 
@@ -122,6 +173,27 @@ def test_evaluate_resume_and_compare(spark, dataset):
         pipeline.compare_runs(spark, [f"{folder}/r1", f"{folder}/r3"])
 
 
+def test_supervised_job(spark, dataset):
+    folder, _ = dataset
+    result = pipeline.supervised(spark, f"{folder}/out", f"{folder}/baseline.json", encoder, counts=[2], per_community=1, seed=7, train_per_community=2, samples=20)
+    assert storage.read_text(f"{folder}/baseline.json").startswith("{") and result["seen_communities"] == 2
+    assert {(m["community_track"], m["k"]) for m in result["metrics"]} == {("seen", 2)} and all(m["examples"] == 2 and 0 <= m["accuracy"] <= 1 for m in result["metrics"])
+
+
+def test_run_keeps_what_it_was_told(spark, dataset):
+    import json
+
+    from stratawright.scoring.scorer import FirstOption
+
+    folder, _ = dataset
+    settings = {"counts": [2], "representations": ["name-only"], "per_community": 1, "seed": 7, "samples": 5, "instruction": "Pick one.", "adapter": "local", "registry": {"model": "first-option", "runtime_model": "first"}}
+    pipeline.evaluate(spark, f"{folder}/out", f"{folder}/r9", FirstOption(), model="first-option", **settings)
+    run = json.loads(storage.read_text(f"{folder}/r9/run.json"))
+    assert run["instruction"] == "Pick one." and run["adapter"] == "local" and run["runtime_model"] == "first" and run["text_modes"] == ["title", "title+selftext"] and "spark" in run["runtime"]
+    with pytest.raises(ValueError, match="another run"):
+        pipeline.evaluate(spark, f"{folder}/out", f"{folder}/r9", FirstOption(), model="first-option", **{**settings, "instruction": "Pick another."})
+
+
 def test_streaming_counts_once(spark, dataset, tmp_path):
     from stratawright.scoring.scorer import FirstOption
     from stratawright.streaming import incremental
@@ -139,5 +211,5 @@ def test_unique_titles_query_reads_every_title(spark, tmp_path):
     spark.createDataFrame(rows, "post_id string, subreddit string, title string, selftext string, created_utc long").write.parquet(str(tmp_path / "posts.parquet"))
     folded = [t.casefold() for t in titles]
     want = {f"p{i}" for i, t in enumerate(folded) if folded.count(t) == 1}
-    got = {r.post_id for r in build_queries.QUERIES["A3_W9_unique_titles_whole"](spark, str(tmp_path)).collect()}
+    got = {r.post_id for r in build_queries.QUERIES["A3_W9_unique_titles"](spark, str(tmp_path)).collect()}
     assert got == want == {"p4", "p5", "p8", "p11"}

@@ -1,8 +1,10 @@
 import os
+import sys
 
 import pytest
 
 import __spark_entry__ as entry
+from stratawright import session
 
 DATA = "/root/testdata/sf0.001"
 
@@ -12,6 +14,31 @@ def test_registry_is_consistent():
     assert set(sql) <= set(queries) and len(queries) > 50
 
 
+def test_core_without_the_subpackage(monkeypatch):
+    """A subpackage that cannot be imported, or is gone but for its cache, leaves the core queries."""
+    for name in [n for n in sys.modules if n.startswith("stratawright.llm")]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "stratawright.llm", None)
+    queries = entry.queries()
+    assert len(queries) > 50 and not [n for n in queries if n.startswith("p")]
+
+
+def test_cut_refuses_a_folder_of_one_machine_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        class _jsc:
+            sc = staticmethod(lambda: type("Sc", (), {"getCheckpointDir": lambda self: type("O", (), {"isEmpty": lambda self: True})()})())
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default: default)})
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.ensure_checkpoint_dir(Session)
+    assert session.LOCAL.fullmatch("local[8]") and session.LOCAL.fullmatch("local") and not session.LOCAL.fullmatch("local-cluster[3,2,1000]")
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_core_queries_match_sql(spark):
     import duckdb

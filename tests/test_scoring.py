@@ -5,11 +5,15 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 from pathlib import Path
 
 import pytest
+from pyspark import cloudpickle
 
+from stratawright import cli
 from stratawright.plans.pipeline import doctor, sanity
-from stratawright.scoring import remote
+from stratawright.scoring import remote, scorer
 from stratawright.scoring.scorer import WordOverlap, limited_counts, normalize_answers, score
+from stratawright.sources import credentials, settings
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 QUESTION = {"q": {"type": "choice", "criteria": ["a", "b"]}}
 
 
@@ -38,6 +42,113 @@ def test_score_with_worker(spark):
     assert all(r.confidence == 0.5 and r.probabilities == [0.5, 0.5] for r in local)
 
 
+class Told(WordOverlap):
+    """Answers in an envelope that says more, and remembers what it was asked."""
+
+    def predict(self, state, questions):
+        result, latency = super().predict(state, questions)
+        said = {q["instructions"] for q in questions.values()}
+        return {**result, "id": ",".join(said), "served_model": "m@2"}, latency
+
+
+def asked(spark, number):
+    rows = [(f"p{i}|title|name-only|seen|{d}|2", f"title|name-only|seen|{d}|2", f"p{i}", "c1", "title", "name-only", "seen", d, 2, ["c2", "c1"], ["r/c2", "r/c1"], ["r/c2", "r/c1"], "text") for i in range(number) for d in ("hard", "random")]
+    return spark.createDataFrame(rows, "prediction_id string, qid string, post_id string, target string, text_mode string, representation string, community_track string, difficulty string, k int, candidates array<string>, labels array<string>, texts array<string>, state string")
+
+
+def test_answers_keep_response_model_and_instruction(spark):
+    row = score(asked(spark, 1), Told(), instruction="Pick one.").first()
+    assert json.loads(row.response) == {"id": "Pick one."} and row.served_model == "m@2"
+    assert score(asked(spark, 1), WordOverlap()).first().response is None
+
+
+def test_commits_in_chunks_and_resumes(spark, tmp_path, monkeypatch):
+    path, done = str(tmp_path / "predictions.jsonl"), []
+    keep = scorer.append_predictions
+
+    def failing(scored, where):
+        if len(done) == 2:
+            raise RuntimeError("lost")
+        done.append(1)
+        keep(scored, where)
+
+    monkeypatch.setattr(scorer, "append_predictions", failing)
+    with pytest.raises(RuntimeError, match="lost"):
+        scorer.predictions_for(spark, asked(spark, 40), WordOverlap(), path, every=20)
+    kept = scorer.read_predictions(spark, path).count()
+    assert 0 < kept < 80
+    monkeypatch.setattr(scorer, "append_predictions", keep)
+    assert scorer.predictions_for(spark, asked(spark, 40), WordOverlap(), path, every=20).count() == 80
+    assert scorer.read_predictions(spark, path).groupBy("post_id", "batch_questions").count().filter("count <> 2 or batch_questions <> 2").count() == 0
+
+
+def test_no_criteria_ask_yes_or_no():
+    assert scorer.options({}) == (["no", "yes"], ["No", "Yes"])
+
+
+def test_worker_warms_up_and_ends():
+    worker = remote.CommandWorker([sys.executable, str(Path(__file__).with_name("support_worker.py"))])
+    worker.open()
+    child = worker.lines.child
+    assert worker.warm_up()["answers"]["warmup"]["choice"] == "r/one"
+    worker.close()
+    assert child.poll() is not None
+    with pytest.raises(RuntimeError, match="not running"):
+        worker.predict("text", QUESTION)
+    with pytest.raises(RuntimeError):
+        remote.CommandWorker([sys.executable, "-c", "print('{\"type\": \"capabilities\", \"protocol\": 1, \"probabilities\": \"some\"}')"]).open()
+
+
+def test_http_suffix_and_retry_policy():
+    assert remote.HttpScorer("http://h/", "m", suffix="/v1/x").url == "http://h/v1/x" == remote.HttpScorer("http://h/v1/x/", "m", suffix="/v1/x").url
+    assert remote.Retry(4).waits() == [1, 2, 4] and max(remote.Retry(9).waits()) == 30
+
+
+def test_credentials(tmp_path, monkeypatch):
+    monkeypatch.setenv("XDG_CONFIG_HOME", str(tmp_path))
+    path = credentials.save("m", "https://host/x", "secret")
+    assert credentials.load("m") == {"endpoint": "https://host/x", "token": "secret"} and path.stat().st_mode & 0o777 == 0o600
+    credentials.save("m", "https://other")
+    assert credentials.load("m")["token"] == "secret" and credentials.load("n") == {}
+    credentials.save("m", "https://other", "")
+    assert credentials.load("m") == {"endpoint": "https://other"}
+    with pytest.raises(ValueError, match="http"):
+        credentials.save("m", "ftp://host")
+    monkeypatch.setenv("TOKEN_HERE", "t")
+    assert cli.main(["configure", "n", "--endpoint", "https://h", "--token-from", "TOKEN_HERE"]) == 0 and credentials.load("n")["token"] == "t"
+    assert cli.main(["configure", "n", "--endpoint", "no address", "--token-from", "TOKEN_HERE"]) == 2
+
+
+def test_settings():
+    text = """# a comment
+name: demo  # another
+list:
+  - one
+  - a+b
+counts: [4, 8, 16]
+deep:
+  rate: 0.5
+  on: true
+  none: null
+  text: "a: b # c"
+items:
+  - title: What now? It's 5
+    candidates: [r/a, r/b]
+    more: {x: 1, y: 'z'}
+  - title: second
+plain:
+- x
+"""
+    assert settings.parse("a.yaml", text) == {
+        "name": "demo", "list": ["one", "a+b"], "counts": [4, 8, 16], "deep": {"rate": 0.5, "on": True, "none": None, "text": "a: b # c"},
+        "items": [{"title": "What now? It's 5", "candidates": ["r/a", "r/b"], "more": {"x": 1, "y": "z"}}, {"title": "second"}], "plain": ["x"],
+    }
+    assert settings.parse("a.json", '{"a": [1]}') == {"a": [1]}
+    for bad in ("a: &x 1", "a: 1\na: 2", "a: 1\n    b: 2\n  c: 3"):
+        with pytest.raises(ValueError):
+            settings.parse_yaml(bad)
+
+
 def test_normalize_answers():
     take = lambda r: normalize_answers(r, QUESTION)["q"]
     assert take({"q": {"choice": "b", "why": 1}})["extra"] == {"why": 1}
