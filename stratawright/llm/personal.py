@@ -6,8 +6,9 @@ its beginning, its word if the table knows it, the kind of word it is (CLASSES),
 scores depends on its type alone, so it is computed once per type and worker and then gathered.
 
 Tokens that cannot belong to an item are left out of the decoding by a bound that is exact: where the best run of labels other than O through a
-token loses against O even with the largest moves, the best path has O there, and what lies between is decoded by itself. What the field labels is an item; only a name that is none by
-definition (a single part, digits, or the end of a sentence in it) is dropped.
+token loses against O even with the largest moves, the best path has O there, and what lies between is decoded by itself. What the field labels is an item, unless it is none by
+definition (a name of a single part or with a digit, a bracket or the end of a sentence in it, a mail address without an at, a telephone number of fewer than
+seven digits).
 
 Defined cases: null, empty and blank texts hold no items; long lines are decoded whole; positions are code points of the stored
 text; repeated rows give one item each; an empty table gives an empty result; further columns are ignored; a null id takes no part.
@@ -16,7 +17,6 @@ text; repeated rows give one item each; an empty table gives an empty result; fu
 from __future__ import annotations
 
 import re
-import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratawright.llm.personal_examples import GIVEN, KINDS, labelled_lines, template_words
-from stratawright.llm.scrub import unaccented
+from stratawright.llm.scrub import plain, unaccented
 from stratawright.session import spread
 
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -36,9 +36,9 @@ REACH = 3
 OFFSETS = 2 * REACH + 1
 #: Most features of a token that ``features`` makes; token types remembered per worker.
 WIDTH, REMEMBERED = 12, 150_000
-EPOCHS, RATE, DECAY, BATCH = 8, 0.4, 5e-4, 40
+EPOCHS, RATE, DECAY, BATCH = 4, 0.4, 5e-4, 40
 #: Epoch from which on the weights are averaged.
-AVERAGED = 3
+AVERAGED = 1
 #: Fewest occurrences in the table of a feature; how often a word of the table is taken for an unknown one.
 KNOWN, KNOWN_WORD, FORGET = 5, 20, 0.2
 #: Signs that stand between words or cling to them.
@@ -46,7 +46,7 @@ SIGNS = "\n\r\t.,;:!?()[]{}<>\"“”„«»…/|*_#-–—'’。、（）！
 #: A word is often used in a corpus if it is so many times and in such a share of all rows.
 USUAL_ROWS, USUAL_SHARE = 3, 2e-4
 #: How likely a corpus uses a word of each kind often as plain or as proper word, as drawn for the labelled table; else it is rare.
-USUAL = {"language": (0.9, 0.02), "brand": (0.02, 0.6), "given": (0.02, 0.7), "other": (0.02, 0.15)}
+USUAL = {"language": (0.84, 0.02), "brand": (0.02, 0.6), "given": (0.02, 0.7), "other": (0.02, 0.15)}
 
 #: A letter, digit or underscore of a script that divides words; Japanese runs are tokens of their own.
 _W = r"[^\W぀-ヿ㐀-鿿]"
@@ -55,7 +55,7 @@ TOKEN = re.compile(
     r"|&#?\w+;"  # escaped characters
     rf"|(?:{_W}|[.+%-])+[@＠](?:{_W}|-)+(?:\.(?:{_W}|-)+)+"  # an address as such
     rf"|\d+(?:[-./,:]\d+)*(?!{_W})"  # numbers with their separators
-    rf"|{_W}+(?:[.+_'’-]{_W}+)*"  # words, also joined ones
+    rf"|{_W}+(?:[.+_'’\u00ad\u200b-\u200f\u2060\ufeff-]{_W}+)*"  # words, also joined ones; what shows nothing divides none
     r"|[぀-ヿ㐀-鿿]+"
     r"|[^\w\s]"
 )
@@ -83,8 +83,13 @@ CLASS_OF = {word: f"k={name}" for name, words in CLASSES.items() for word in map
 ROAD_END = re.compile(r"(?:strasse|str|weg|gasse|allee|platz|ring|damm|ufer|straat|laan|gracht|kade|plein|dijk)$")
 
 
+def shown(token: str) -> str:
+    """A token as it shows: compatibility-composed, without invisible characters, in one script if it mixes look-alike letters."""
+    return token if token.isascii() else plain(token)
+
+
 def folded(token: str) -> str:
-    return unaccented(unicodedata.normalize("NFKC", token).lower())
+    return unaccented(shown(token).lower())
 
 
 JOIN = re.compile(r"[-'’.]")
@@ -110,7 +115,7 @@ class Usage:
 
 def features(token: str, vocabulary: frozenset[str], usage: str) -> list[str]:
     """Names of a token's features. ``vocabulary`` are the words that count as such, ``usage`` tells how the corpus uses the word (Usage)."""
-    text = unicodedata.normalize("NFKC", token)
+    text = shown(token)
     low = unaccented(text.lower())
     if text.startswith(("http://", "https://", "www.")):
         return ["s=link", "b"]
@@ -137,6 +142,8 @@ def features(token: str, vocabulary: frozenset[str], usage: str) -> list[str]:
                 out += [f"c={runs[:2]}:{usage}", f"c={usage}"]
     elif low[:1].isdigit():
         out += [f"n={short}:{low[:1]}", f"n={short}:{low[:2]}", f"q={sum(c.isdigit() for c in low)}"]
+    elif not any(map(str.isalnum, low)):
+        out.append("sign")
     elif "d" in shape:
         out += [f"q={sum(c.isdigit() for c in low)}", "mixed"]
     return out
@@ -257,6 +264,7 @@ def train() -> Tagger:
     rng = np.random.default_rng(3)
     tokens, gold = [], []
     counts: dict[str, int] = {}
+    made: dict[tuple[str, bool, str], list[str]] = {}
     for text, items in lines:
         spans = [(m.start(), m.end(), m[0]) for m in TOKEN.finditer(text)]
         labels = np.zeros(len(spans), "int64")
@@ -271,7 +279,10 @@ def train() -> Tagger:
             plain, proper = USUAL["language"] if low in vocabulary else USUAL["brand"] if low in invented else USUAL["given"] if low in given or low in GIVEN_NAMES else USUAL["other"]
             draw = rng.random()
             usage = "plain" if draw < plain else "proper" if draw < plain + proper else "rare"
-            found.append(features(token, vocabulary if rng.random() > FORGET else frozenset(), usage))
+            key = (token, bool(rng.random() > FORGET), usage)
+            if key not in made:
+                made[key] = features(token, vocabulary if key[1] else frozenset(), usage)
+            found.append(made[key])
             for f in found[-1]:
                 counts[f] = counts.get(f, 0) + 1
         tokens.append(found)
@@ -351,12 +362,21 @@ def train() -> Tagger:
 # --- items -------------------------------------------------------------------------------------------------------------------
 
 PART = re.compile(r"[^\W\d_]+")
-NO_NAME = re.compile(r"\d|[^\W\d_]{2}[.!?:]")
+AT = re.compile(r"[@＠]|\bat\b", re.IGNORECASE)
+NO_NAME = re.compile(r"[\d()\[\]]|[^\W\d_]{2}[.!?:]")
 
 
 def is_item(kind: str, item: str) -> bool:
-    """Whether what the field found can be an item at all: a name has two parts or more, no digit, and no sentence ends within it."""
-    return kind != "name" or len(PART.findall(item)) > 1 and not NO_NAME.search(item[:-1])
+    """Whether what the field found can be an item at all, by what its kind means.
+
+    A name has two parts or more, no digit or bracket, and no sentence ends within it; a mail address has an at, a telephone number seven digits;
+    the others have a digit.
+    """
+    if kind == "email":
+        return bool(AT.search(item))
+    if kind != "name":
+        return sum(map(str.isdigit, item)) >= (7 if kind == "phone" else 1)
+    return len(PART.findall(item)) > 1 and not NO_NAME.search(item[:-1])
 
 
 def find_items(tagger: Tagger, texts: list[str | None]) -> list[list[tuple[int, int, str]]]:

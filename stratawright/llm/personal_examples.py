@@ -97,6 +97,8 @@ Phone: {phone}
 You have my number: {phone}
 His number is {phone}, by the way.
 Here is the number I got, {phone}, and nobody answers.
+That number, {phone}, is out of service.
+The line {phone} was cut off in {month}.
 {phone} keeps calling about the {noun}.
 Mobile {phone}
 Fax: {phone}
@@ -264,7 +266,13 @@ Serial number {d4}-{d4}-{d4}
 Serial {c}{c}{d2}-{d5}-{d3}
 Tracking {d4} {d4} {d4} {d4} {d2}
 Tracking code {c}{c}{d9}{c}{c} shows nothing.
-Invoice {d5}-{d2} is unpaid.
+Invoice {ref} is unpaid.
+Invoice no. {ref}, order no. {ref}
+My order, {ref}, was delayed by {d2} days.
+Order no. {ref} never shipped.
+The reference was {ref}, case {ref}.
+Ticket no. {ref}? Model no. {ref}!
+Serial no. {ref} and part no. {ref}
 Order #{d7} was cancelled.
 Ticket {d3}-{d4} is closed.
 Case no. {d2}-{d3}-{d4}
@@ -285,7 +293,10 @@ Model {c}{d3}, firmware {d1}.{d2}.{d3}
 Version {d1}.{d1}.{d2} and {d2}.{d1} both crash.
 ping {d3}.{d2}.{d1}.{d3} fails
 {d2}:{d2}:{d2} elapsed, {d3} errors
-The date was {year}-{d2}-{d2}, at {d2}:{d2}.
+The date was {date}, at {d2}:{d2}.
+Due {date}, paid {date}
+Published {date}. Last change: {date}
+{date}
 {d2}/{d2}/{year} or {d2}.{d2}.{year}
 It cost ${d2},{d3}.{d2}, or {d3} euros.
 {d1},{d3},{d3} people saw it.
@@ -418,6 +429,25 @@ AROUND = """\
 {W} {w}? {item} {w}
 {W} {w} {w} {w} {item} {w} {day}.
 {W} {w} {Noun} {item} {w}.""".split("\n")
+#: Sentences of random words without items: {b} is a made-up word.
+PLAIN = """\
+{W} {w} {w}, {w} {w}. I {w} {w} {w}.
+I {w} {w}, and I {w} {w} {w}.
+{b} {w} {w} {w}.
+{w} {w}. {b} {w} {w}
+{W} {b} {w} {w} {b}, {w}?
+{w} {b}, {w} {b} {w}.
+{W} {w} {B} {w} {w} {B} {w}.
+{W} {w}: I {w} {w}
+{B} {b} {w} {w}, {b} {w}.
+{b} {b} {b} {w} {b}, {b} {b}.
+{e} {w} {w} {e}{e}
+{W} {w} {date} {w} {w}.
+{w} {w} {w} {date}.
+{W} {d2}:{d2} {w}, {date}: {w} {w}
+{W} {w} {w} {e} {w}
+{W} {w} {d1}: I {w} {w} {w}.""".split("\n")
+SYMBOLS = ["🙂", "🎉", "🚗", "❤️", "👍🏽", "👨‍👩‍👧", "…", "→", "★", "***", "~~", "\u200b", "^^", "<3", ":-)", "&amp;", "&#40;"]
 COUNTRY_CODES = "1 31 32 33 34 351 353 39 41 43 44 45 46 47 48 49 7 81 86 90 91".split()
 
 
@@ -464,7 +494,7 @@ class Maker:
         known, last = self.given(), self.surname()
         form = self.r.choice(["{g} {l}"] * 10 + ["{l}, {g}"] * 4 + ["{i}. {l}"] * 5 + ["{g} {m}. {l}", "{g} {m}. {l}", "{g} {h} {l}", "{l}, {i}."])
         text = form.format(g=known, l=last, i=known[0], m=self.letter(), h=self.r.choice(GIVEN))
-        return text if "." in text else self.case(text, 0.07, 0.14)
+        return text if "." in text else self.case(text, 0.07, 0.05 if "," in text else 0.16)
 
     def email(self) -> str:
         a, b = (x.lower().replace(" ", "").replace("'", "") for x in (self.r.choice(GIVEN), self.surname()))
@@ -480,7 +510,7 @@ class Maker:
         return self.case(text, 0.08, 0)
 
     #: Forms of telephone numbers of several countries.
-    PHONES = """^##-^##-####|(^##) ^##-####|(^##)^##-####|^##.^##.####|1^##^######|1-^##-^##-####|+1 ^## ^## ####|+1-^##-^##-####|+1 (^##) ^##-####|^## ^## ####|^## ####
+    PHONES = """^##-^##-####|^##-^##-####|^##-^##-####|^##.^##.####|(^##) ^##-####|(^##)^##-####|^##.^##.####|1^##^######|1^##^######|1^##^######|1-^##-^##-####|+1 ^## ^## ####|+1-^##-^##-####|+1 (^##) ^##-####|^## ^## ####|^## ####
 07### ######|07### ### ###|0^## ### ####|0^### ######|0^## ########|0^# #### ####|020 #### ####|(0^##) ### ####|(0^###) ######|0^##-### ####|+44 ^### ######|+44 (0)^### ######|+44 (0)7### ###-###|+44^#########|+447#########|0044 ^### ######
 0^## ######|0^##/#######|0^#-#######|0^# ##### ###|0^#/########|+49 ^## #######|+49 (0)^##/#######|+49 (0)^##-######|+49^##########|0049 ^## #######|0049 ^# ########|01## #######|0^ ## ## ## ##|0# ## ## ## ##|0#.##.##.##.##|0^.##.##.##.##|0^-##-##-##-##|+33 ^ ## ## ## ##|+33 (0)^ ## ## ## ##|0033 ^ ## ## ## ##
 ^## ### ###|^## ## ## ##|+34 ^## ### ###|+34 ^########|+39 ^## ### ####|3## #######|+351 ^## ### ###|06-########|06 ########|0^#-### ####|+31 6 ########|+31 (0)6-########|+48 ^## ### ###|+48^########|0(^##) ### ## ##|+90 ^## ### ## ##|0^## ### ## ##|+7 ^## ###-##-##|8 (^##) ###-##-##|+7 (^##) ### ## ##|0^#-####-####|0^0-####-####|+81 ^# #### ####""".replace("\n", "|").split("|")
@@ -505,7 +535,7 @@ class Maker:
 
     def addr(self) -> str:
         r, town = self.r, self.r.choice(TOWNS) if self.r.random() < 0.5 else self.invented() + self.r.choice(["", "ton", "ville", "burg", "dorf", "field", "port", "haven"])
-        n, x = str(r.choice([r.randint(1, 99), r.randint(1, 300), r.randint(1, 2999)])) + (r.choice("abcd") if r.random() < 0.12 else ""), r.random()
+        n, x = str(r.choice([r.randint(1, 99), r.randint(1, 300), r.randint(1, 2999)])) + (r.choice("abcd") if r.random() < 0.18 else ""), r.random()
         tail = r.choice(["", "", "", "", f", {town}", f", {town} {self.code()}", f", {town}, {self.code()}", f", {self.code()} {town}", f" {self.code()} {town}"])
         if x < 0.5:
             name = r.choice(ROAD_NAMES) if r.random() < 0.5 else self.invented() + r.choice(["", "", "'s", " Hill", " Mill", " Park"])
@@ -523,7 +553,12 @@ class Maker:
             if form == "{n} {road}" and r.random() < 0.35:
                 form = "{n}, {road}"
             text = form.format(road=road, n=n + r.choice(["", "", "", f"/{r.randint(1, 9)}", f", {r.randint(1, 9)}º {r.choice('ABC')}", f" bis, app. {r.randint(1, 9)}"])) + tail
-        return self.case(text, 0.03, 0.14)
+        return self.case(text, 0.03, 0.2)
+
+    def date(self) -> str:
+        year, month, day = self.r.randint(1960, 2035), self.r.randint(1, 12), self.r.randint(1, 28)
+        form = self.r.choice(["{y}-{m:02d}-{d:02d}", "{y}-{m:02d}-{d:02d}", "{d:02d}.{m:02d}.{y}", "{d}.{m}.{y}", "{m:02d}/{d:02d}/{y}", "{d}/{m}/{y}", "{d:02d}-{m:02d}-{y}", "{y}/{m:02d}/{d:02d}", "{y}{m:02d}{d:02d}"])
+        return form.format(y=year, m=month, d=day)
 
     def filler(self, what: str) -> str:
         r = self.r
@@ -532,16 +567,27 @@ class Maker:
         table = {
             "noun": lambda: r.choice(NOUNS), "Noun": lambda: r.choice(NOUNS).capitalize(), "adj": lambda: r.choice(ADJECTIVES), "Adj": lambda: r.choice(ADJECTIVES).capitalize(), "day": lambda: r.choice(DAYS), "month": lambda: r.choice(MONTHS),
             "year": lambda: str(r.randint(1850, 2030)), "place": lambda: r.choice(PLACES), "people": lambda: r.choice(PEOPLES) if r.random() < 0.5 else self.invented() + r.choice(["i", "s", "ish", "ans", ""]), "given": lambda: r.choice(GIVEN), "initial": self.letter, "c": self.letter,
-            "brand": lambda: self.invented() + r.choice(["", "", "ex", "tech", "ia", "on"]), "code": lambda: self.form(r.choice(["@##", "@###", "@@##", "@##0", "##@", "@#", "@@###", "@-###"])),
+            "brand": lambda: self.invented() + r.choice(["", "", "ex", "tech", "ia", "on"]), "date": self.date, "ref": lambda: r.choice("-- /").join(self.digits(n) for n in r.choice([(4, 2, 4), (4, 4), (2, 5, 3), (5, 2), (2, 4), (4, 4, 4), (5, 5), (2, 2, 5), (6, 4), (4, 3, 3), (3, 7, 7), (2, 6)])), "code": lambda: self.form(r.choice(["@##", "@###", "@@##", "@##0", "##@", "@#", "@@###", "@-###"])),
         }
         word = table[what]()
         if what in ("brand", "people"):
             self.invented_words.add(word.lower())
         return word
 
+    def nothing(self, words: list[str]) -> tuple[str, list[tuple[int, int, str]]]:
+        """Sentences of random words and made-up ones, without items."""
+        line = self.r.choice(PLAIN)
+        while "{e}" in line:
+            line = line.replace("{e}", self.r.choice(SYMBOLS), 1)
+        for slot in ("{w}", "{W}", "{b}", "{B}"):
+            while slot in line:
+                word = self.r.choice(words) if slot in "{w}{W}" else self.filler("brand").lower()
+                line = line.replace(slot, word.capitalize() if slot in "{W}{B}" else word, 1)
+        return self.fill(line)
+
     def around(self, words: list[str]) -> tuple[str, list[tuple[int, int, str]]]:
         """A sentence of random words around items."""
-        kind = self.r.choice(["name", "name", "name", "email", "phone", "id", "addr", "addr"])
+        kind = self.r.choice(["name", "name", "name", "email", "phone", "phone", "id", "addr", "addr", "addr"])
         line = self.r.choice(AROUND).replace("{item}", "{" + kind + "}")
         while "{w}" in line or "{W}" in line:
             line = line.replace("{w}", self.r.choice(words), 1)
@@ -572,7 +618,7 @@ def template_words() -> list[str]:
     return [re.sub(r"\{\w+\}", " ", text) for text in (WITH, WITHOUT)] + [" ".join(x) for x in (NOUNS, ADJECTIVES, DAYS, MONTHS)]
 
 
-def labelled_lines(number: int = 8000, seed: int = 11, more_without: list[str] | None = None) -> tuple[list[tuple[str, list[tuple[int, int, str]]]], set[str], set[str]]:
+def labelled_lines(number: int = 20000, seed: int = 11, more_without: list[str] | None = None) -> tuple[list[tuple[str, list[tuple[int, int, str]]]], set[str], set[str]]:
     """``number`` labelled lines: one to four of the sentences above, in any order, set apart in the ways in which people do; and the made-up words that are no items, and those that are given names."""
     maker = Maker(seed)
     with_items, without = WITH.split("\n"), WITHOUT.split("\n")
@@ -581,8 +627,8 @@ def labelled_lines(number: int = 8000, seed: int = 11, more_without: list[str] |
     bare = [line for line in with_items if len(line) - line.rindex("}") <= 2 and line.index("{") <= 3]
     out = []
     for i in range(number):
-        picks = [maker.r.choice([with_items, bare, without, without, more, None, None, None]) for _ in range(maker.r.choice([1, 2, 2, 3, 3, 4]))]
-        parts = [maker.fill(maker.r.choice(lines)) if lines else maker.around(words) for lines in picks]
+        picks = [maker.r.choice([with_items, bare, without, without, more, None, None, None, ""]) for _ in range(maker.r.choice([1, 2, 2, 3, 3, 4]))]
+        parts = [maker.fill(maker.r.choice(lines)) if lines else maker.around(words) if lines is None else maker.nothing(words) for lines in picks]
         if i < len(with_items):
             parts[0] = maker.fill(with_items[i])
         elif i < len(with_items) + len(without):
