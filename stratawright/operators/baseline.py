@@ -17,22 +17,6 @@ def _regression(max_iter: int, penalty: float):
     return LogisticRegression(featuresCol="features", labelCol="y", family="multinomial", maxIter=max_iter, regParam=penalty, standardization=False)
 
 
-def supervised_baseline(rows: DataFrame, key: str, c: float = 10.0, max_iter: int = 300) -> DataFrame:
-    """``key``, label, prediction. The penalty is 1 / (C n), which matches a solver with inverse strength C over n rows."""
-    from pyspark.ml.feature import StringIndexer
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    data = rows.select(key, "label", array_to_vector(F.transform("vector", lambda x: x.cast("double"))).alias("features"))
-    index = StringIndexer(inputCol="label", outputCol="y", stringOrderType="alphabetAsc").fit(data)
-    data = index.transform(data)
-    n = data.count()
-    model = _regression(max_iter, 1.0 / (c * max(n, 1))).fit(data)
-    names = F.array(*map(F.lit, index.labels))
-    scored = model.transform(data).select(key, "label", vector_to_array("probability").alias("p"))
-    best = F.array_position(F.col("p"), F.array_max("p"))
-    return scored.select(key, "label", F.element_at(names, best.cast("int")).alias("prediction"))
-
-
 def training_posts(posts: DataFrame, evaluated: DataFrame, communities: DataFrame) -> DataFrame:
     """Train posts without the evaluated ones, of known communities (``subreddit`` is an id of these)."""
     train = posts.filter("split = 'train'").join(evaluated.select("post_id"), "post_id", "left_anti")
