@@ -174,7 +174,7 @@ class Tagger:
         self.types: dict[str, int] = {"": 0}
         self.shares = np.zeros((1024, OFFSETS, len(LABELS)), "float32")  # by type: what it adds to the token at each offset
         gain = self.moves - self.moves[0, 0]
-        self.step = float(max(gain[:, 1:].max(), (self.starts[1:] - self.starts[0]).max()))  # most that a label other than O wins by the move into it
+        self.step = np.maximum(gain.max(axis=0), self.starts - self.starts[0])[1:]  # most that each label other than O wins by the move into it
         self.out = float(max(gain[1:, 0].max(), 0.0))  # and by the move out of it
 
     def slots(self, token: str) -> list[int]:
@@ -204,7 +204,7 @@ class Tagger:
         A run of such labels wins no more over O than its tokens' largest gains and the largest moves; the best run through a token is the token with
         the best runs that end before and begin behind it. Where even that loses, the token is O. Lines begin at ``starts``.
         """
-        gain = (scores[:, 1:] - scores[:, :1]).max(axis=1).astype(float) + self.step
+        gain = (scores[:, 1:] - scores[:, :1] + self.step).max(axis=1).astype(float)
         first, last = np.zeros(len(gain), bool), np.zeros(len(gain), bool)
         first[starts], last[np.append(starts[1:], len(gain)) - 1] = True, True
         return best_ending(gain, first) + best_ending(gain[::-1], last[::-1])[::-1] - gain + self.out >= 0
