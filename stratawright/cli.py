@@ -65,6 +65,7 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--dataset", required=True)
     run.add_argument("--out", required=True)
     run.add_argument("--config", required=True, help="JSON or YAML: counts, representations, text_modes, per_community, seed, samples, instruction")
+    run.add_argument("--task-config", help="settings that hold unless --config gives them")
     run.add_argument("--posts-per-community", type=int, help="instead of per_community")
     run.add_argument("--text-modes", nargs="+", choices=["title", "title+selftext"], help="instead of text_modes")
     base = sub.add_parser("baseline")
@@ -103,8 +104,21 @@ def _configure(args: argparse.Namespace) -> int:
     return 0
 
 
+#: Other names of settings of a run, as model and task configurations have them.
+OTHER_NAMES = {"posts_per_community": "per_community", "bootstrap_samples": "samples", "benchmark_seed": "seed", "candidate_counts": "counts", "candidate_representations": "representations"}
+SETTINGS = ("counts", "representations", "text_modes", "per_community", "seed", "samples", "instruction", "revision")
+
+
+def run_settings(*configs: dict[str, Any]) -> dict[str, Any]:
+    """The settings of a run from a task's and a model's configuration, of which the last counts; what a run does not know is left out."""
+    out: dict[str, Any] = {}
+    for config in configs:
+        out |= {OTHER_NAMES.get(k, k): v for k, v in config.items() if v is not None}
+    return {k: v for k, v in out.items() if k in SETTINGS}
+
+
 def _run(spark: SparkSession, args: argparse.Namespace) -> None:
-    row, config = _row(spark, args), files.load_config(args.config)
+    row, config = _row(spark, args), run_settings(files.load_config(args.task_config) if args.task_config else {}, files.load_config(args.config))
     if args.posts_per_community:
         config["per_community"] = args.posts_per_community
     if args.text_modes:

@@ -25,11 +25,17 @@ def nfkc(values: pd.Series) -> pd.Series:
 
 
 @F.pandas_udf(T.StringType())
-def casefold(values: pd.Series) -> pd.Series:
-    """Unicode case folding, which lower() is not (sharp s becomes ss)."""
+def _casefold(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else v.casefold())
 
 
+def casefold(column: str | Column) -> Column:
+    """Unicode case folding, which lower() is not (sharp s becomes ss). Texts in ASCII, where both agree, are folded in the JVM; Python sees a null for them."""
+    value = col(column)
+    ascii_only = F.octet_length(value) == F.length(value)
+    return F.when(ascii_only, F.lower(value)).otherwise(_casefold(F.when(~ascii_only, value)))
+
+
 def strip(column: str | Column) -> Column:
     return F.regexp_replace(col(column), rf"^{SPACE}+|{SPACE}+$", "")
 

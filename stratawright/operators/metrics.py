@@ -162,6 +162,9 @@ def bootstrap_intervals(rows: DataFrame, samples: int, seed: int, keys: list[str
 
 def all_metrics(predictions: DataFrame, samples: int = 1000, seed: int = 0) -> DataFrame:
     """The metric table: one row per slice, in key order. What sums can give is pooled from sums; what needs an order reads the rows under both tracks."""
+    # Read once from what they are stored in (JSON lines), then as the few columns that metrics need.
+    needed = [*KEYS, "target", "post_id", "correct", "confidence", "true_probability", "squared_probability_sum", "probability_source", "amortized_latency_ms", "input_tokens", "output_tokens", "forward_count", "api_cost_usd"]
+    predictions = cut(predictions.select(*needed))
     rows = pooled(predictions)
     table = slice_metrics(predictions, pool=True)
     for part in (ece(predictions, pool=True), aurc(rows), latency_quantiles(rows), probability_source(rows), bootstrap_intervals(rows, samples, seed)):

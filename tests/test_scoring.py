@@ -119,6 +119,12 @@ def test_credentials(tmp_path, monkeypatch):
     assert cli.main(["configure", "n", "--endpoint", "no address", "--token-from", "TOKEN_HERE"]) == 2
 
 
+def test_run_settings_by_either_name():
+    task = {"name": "x", "benchmark_seed": 5, "candidate_counts": [4], "candidate_representations": ["name-only"], "splits": {}}
+    model = {"posts_per_community": 10, "bootstrap_samples": 7, "instruction": "Pick.", "seed": 6, "revision": None}
+    assert cli.run_settings(task, model) == {"seed": 6, "counts": [4], "representations": ["name-only"], "per_community": 10, "samples": 7, "instruction": "Pick."}
+
+
 def test_settings():
     text = """# a comment
 name: demo  # another
