@@ -248,11 +248,6 @@ def best_ending(gain: np.ndarray, first: np.ndarray) -> np.ndarray:
 # --- training ----------------------------------------------------------------------------------------------------------------
 
 
-def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
-
-
 @lru_cache(maxsize=1)
 def train() -> Tagger:
     """The tagger, by stochastic gradient of the log-likelihood (forward-backward), averaged over the later steps, with a fixed seed."""
@@ -319,29 +314,34 @@ def train() -> Tagger:
             for o in range(OFFSETS):
                 scores += weights[feats[:, o : o + n], o].sum(axis=2)
             scores[~mask] = 0
-            forward, backward = np.zeros_like(scores), np.zeros_like(scores)
-            forward[:, 0] = starts + scores[:, 0]
-            for t in range(1, n):
-                step = _log_sum(forward[:, t - 1, :, None] + moves, 1) + scores[:, t]
-                forward[:, t] = np.where(mask[:, t, None], step, forward[:, t - 1])
+            # Forward and backward in probabilities, every step scaled to sum 1, so that a step is one product of matrices.
+            emitted, turn = np.exp((scores - scores.max(axis=2, keepdims=True)).astype(float)), np.exp(moves.astype(float))
+            forward, backward, scale = np.empty_like(emitted), np.ones_like(emitted), np.ones((len(rows), n, 1))
+            for t in range(n):
+                step = (forward[:, t - 1] @ turn if t else np.exp(starts.astype(float))) * emitted[:, t]
+                scale[:, t] = step.sum(axis=1, keepdims=True)
+                forward[:, t] = step / scale[:, t]
+                if t and (over := ~mask[:, t]).any():
+                    forward[over, t], scale[over, t] = forward[over, t - 1], 1.0
+            ahead = emitted / scale
             for t in range(n - 2, -1, -1):
-                step = _log_sum(moves + (scores[:, t + 1] + backward[:, t + 1])[:, None, :], 2)
-                backward[:, t] = np.where(mask[:, t + 1, None], step, 0)
-            total = _log_sum(forward[:, -1], 1)
-            wrong = np.exp(forward + backward - total[:, None, None])
+                backward[:, t] = (ahead[:, t + 1] * backward[:, t + 1]) @ turn.T
+                if (over := ~mask[:, t + 1]).any():
+                    backward[over, t] = 1.0
+            wrong = forward * backward
             wrong[np.arange(len(rows))[:, None], np.arange(n)[None], truth] -= 1
             wrong[~mask] = 0
             first = wrong[:, 0].sum(axis=0)
-            both = np.exp(forward[:, :-1, :, None] + moves + (scores[:, 1:] + backward[:, 1:])[:, :, None, :] - total[:, None, None, None])
-            both[~mask[:, 1:]] = 0
-            pair = both.sum(axis=(0, 1))
+            inner = mask[:, 1:]
+            pair = turn * (forward[:, :-1][inner].T @ (ahead * backward)[:, 1:][inner])
             np.subtract.at(pair, (truth[:, :-1][mask[:, 1:]], truth[:, 1:][mask[:, 1:]]), 1)
             pair[fixed] = 0
             first[starts < -10] = 0
-            grad = np.zeros((size * OFFSETS, k), "float32")
-            at = np.concatenate([(feats[:, o : o + n] * OFFSETS + o)[mask].ravel() for o in range(OFFSETS)])
-            pull = np.repeat(wrong[mask], WIDTH, axis=0)
-            pull = np.tile(pull, (OFFSETS, 1))
+            windows = np.stack([feats[:, o : o + n] for o in range(OFFSETS)])[:, mask]  # (offset, token, feature)
+            offset, token, place = np.nonzero(windows != size - 1)
+            at = windows[offset, token, place] * OFFSETS + offset
+            pull = wrong[mask][token]
+            grad = np.empty((size * OFFSETS, k), "float32")
             for label in range(k):
                 grad[:, label] = np.bincount(at, weights=pull[:, label], minlength=len(grad))
             grad = grad.reshape(weights.shape) / len(rows)
