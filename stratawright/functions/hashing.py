@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 from hashlib import blake2b
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,6 +25,16 @@ def _blake2b63(values: pd.Series) -> pd.Series:
     return values.map(lambda v: int.from_bytes(blake2b(v.encode(), digest_size=8).digest(), "big") & MASK)
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _blake2b63_each(starts: pa.Array, lists: pa.Array) -> pa.Array:
+    digests, ends = [], [0]
+    for start, values in zip(starts.to_pylist(), lists.to_pylist(), strict=True):
+        digests += [blake2b(start + v, digest_size=8).digest() for v in values or ()]
+        ends.append(len(digests))
+    numbers = np.frombuffer(b"".join(digests), ">u8") & np.uint64(MASK)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers.astype(np.int64)))
+
+
 def joined(*parts: Column | str | int) -> Column:
     """Parts joined by NUL. A null part is an error, since leaving it out would give another key."""
     columns = [p if isinstance(p, Column) else F.lit(p) for p in parts]
@@ -40,3 +52,11 @@ def sha256_60(*parts: Column | str | int) -> Column:
 
 
 Hash = Callable[..., Column]
+
+
+def hash_each(hash_fn: Hash, parts: list[Column | str | int], values: Column) -> Column:
+    """Array of the hashes of the parts followed by each value of an array of strings; no lambda can hold a Python function."""
+    if hash_fn is not blake2b63:
+        return F.transform(values, lambda v: hash_fn(*parts, v))
+    known = F.transform(values, lambda v: F.when(v.isNull(), F.raise_error(F.lit("null in a hash key"))).otherwise(v).cast("binary"))
+    return _blake2b63_each(joined(*parts, "").cast("binary"), known)

@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratawright.functions.hashing import Hash, blake2b63
+from stratawright.functions.hashing import Hash, blake2b63, hash_each
 from stratawright.functions.vectors import dot, l2_normalize
+from stratawright.session import wide
 
 #: Most bytes of vectors that every task may hold.
 HELD_BYTES = 64_000_000
@@ -119,34 +120,68 @@ def select_posts(rows: DataFrame, seed: int, per_community: int, hash_fn: Hash =
 REPRESENTATIONS = ("name-only", "anonymous-id+description")
 
 
-def candidates_for_k(target: Column, pool: Column, k: Column) -> Column:
-    """Target and the first k - 1 negatives of the pool; k < 2 or a short pool is an error."""
-    bad = (k < 2) | (F.size(pool) < k - 1)
+def candidates_for_k(target: Column, pool: Column, k: Column, length: Column | None = None) -> Column:
+    """Target and the first k - 1 negatives of the pool; k < 2 or a short pool is an error. ``length``: of the pool, if ``pool`` is its beginning only."""
+    bad = (k < 2) | ((F.size(pool) if length is None else length) < k - 1)
     return F.when(bad, F.raise_error(F.lit("k below 2 or pool too small"))).otherwise(F.concat(F.array(target), F.slice(pool, F.lit(1), (k - 1).cast("int"))))
 
 
+def _named_pools(pools: DataFrame, known: DataFrame, most: int) -> DataFrame:
+    """pool_id, list (number of the list among those of its id), length, named (the first ``most`` ids with name and description), times (equal rows), pools (rows of the id)."""
+    of_id = Window.partitionBy("pool_id")
+    once = pools.groupBy("pool_id", "negative_pool").agg(F.count(F.lit(1)).alias("times")).withColumn("list", F.row_number().over(of_id.orderBy("negative_pool"))).withColumn("pools", F.sum("times").over(of_id))
+    few = once.select("pool_id", "list", "times", "pools", F.size("negative_pool").alias("length"), F.slice("negative_pool", F.lit(1), F.lit(most)).alias("ids")).filter("length >= 0")
+    each = few.select("*", F.posexplode_outer("ids").alias("place", "candidate")).drop("ids")
+    item = F.when(F.col("place").isNotNull(), F.struct("place", "candidate", "name", "public_description", F.coalesce("known", F.lit(False)).alias("known")))
+    return each.join(known, "candidate", "left").groupBy("pool_id", "list", "length", "times", "pools").agg(F.array_sort(F.collect_list(item)).alias("named"))
+
+
+def _hint(df: DataFrame, size: Column) -> str:
+    """How to join ``df``: by broadcast if its rows take at most HELD_BYTES by ``size``, else by exchange, whatever Spark guesses of it."""
+    return "broadcast" if (df.agg(F.sum(size + 64)).first()[0] or 0) <= HELD_BYTES else "merge"
+
+
 def questions(selected: DataFrame, rows: DataFrame, pools: DataFrame, communities: DataFrame, counts: list[int], representations: list[str], text_modes: list[str], hash_fn: Hash = blake2b63) -> DataFrame:
     """The question matrix: selected posts x difficulties x K x representations x text modes, with candidates in display order.
 
-    The matrix is a literal array; pools meet posts by a shuffled join, because their arrays are long; candidates get names and descriptions from the
-    communities by a join that Spark broadcasts only while its size is known to be small.
+    The matrix is a literal array. Candidates get names and descriptions once per pool, before pools meet posts, and are ordered inside their array, so
+    no exchange carries their texts by post. Posts are brought together before they get those; while the pools take at most HELD_BYTES, a post's questions stay in one partition.
+    Nothing that grows with the posts is ever broadcast: Spark guesses rows behind an explode as few.
     """
-    base = rows.join(selected.select("post_id"), "post_id", "left_semi").join(pools.select("pool_id", "negative_pool"), "pool_id")
-    ks = F.explode(F.array(*[F.lit(k) for k in counts]))
-    expanded = base.withColumn("k", ks).withColumn("candidate", F.explode(candidates_for_k(F.col("target"), F.col("negative_pool"), F.col("k")))).drop("negative_pool")
-    placed = expanded.withColumn("h", hash_fn(F.col("shuffle_seed"), F.col("k"), "candidate", F.col("candidate")))
     if unknown := sorted(set(representations) - set(REPRESENTATIONS)):
         raise ValueError(f"unknown representations: {unknown}")
+    keys = ["post_id", "target", "community_track", "difficulty"]
     known = communities.select(F.col("community_id").alias("candidate"), "name", "public_description", F.lit(True).alias("known"))
-    named = placed.join(known, "candidate", "left").withColumn("candidate", F.when(F.col("known"), F.col("candidate")).otherwise(F.raise_error(F.concat(F.lit("no such community: "), "candidate"))))
-    item = F.struct("h", "candidate", "name", "public_description")
-    listed = named.groupBy("post_id", "target", "community_track", "difficulty", "k").agg(F.array_sort(F.collect_list(item)).alias("items"))
+    letters = lambda x: 4 * sum(F.coalesce(F.length(x[n]), F.lit(0)) for n in ("candidate", "name", "public_description"))
+    lists = _named_pools(pools.select("pool_id", "negative_pool"), known, max(0, max(counts) - 1))
+    hint = _hint(lists, F.aggregate("named", F.lit(0), lambda n, x: n + letters(x) + 64))
+    own = known.withColumnRenamed("candidate", "target").hint(_hint(known, letters(F.struct("candidate", "name", "public_description"))))
+
+    kept = rows.join(selected.select("post_id").hint("merge"), "post_id", "left_semi")
+    drawn = kept.join(lists.select("pool_id", "list", "length", F.transform("named", lambda x: x["candidate"]).alias("ids")).hint(hint), "pool_id")
+    hashes = [
+        F.struct(F.lit(k).alias("k"), hash_each(hash_fn, [F.col("shuffle_seed"), k, "candidate"], candidates_for_k(F.col("target"), F.col("ids"), F.lit(k), F.col("length"))).alias("h"))
+        for k in counts
+    ]
+    # Behind Python Spark knows no partitioning any more; what is exchanged here is ids and numbers.
+    base = drawn.select(*keys, "pool_id", "list", F.array(*hashes).alias("hashes")).repartition(wide(rows.sparkSession), "post_id")
+    base = base.withColumn("rows", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    full = base.join(lists.drop("length").hint(hint), ["pool_id", "list"]).join(own, "target", "left").select("*", F.inline("hashes"))
+    first = F.struct(F.lit(-1).alias("place"), F.col("target").alias("candidate"), "name", "public_description", F.coalesce("known", F.lit(False)).alias("known"))
+    chosen = F.concat(F.array(first), F.filter("named", lambda x: x["place"] < F.col("k") - 1))
+    unknown = lambda x: F.raise_error(F.concat(F.lit("no such community: "), x["candidate"]))
+    placed = lambda h, x: F.struct(h.alias("h"), F.when(x["known"], x["candidate"]).otherwise(unknown(x)).alias("candidate"), x["name"].alias("name"), x["public_description"].alias("public_description"))
+    ordered = full.select(*keys, "k", "rows", "pools", "times", F.array_sort(F.zip_with("h", chosen, placed)).alias("items"))
+    # Several rows of one post, target and difficulty, or several pools of one id, are one question together.
+    single = (F.col("rows") == 1) & (F.col("pools") == 1)
+    several = ordered.filter(~single).groupBy(*keys, "k").agg(F.array_sort(F.flatten(F.collect_list(F.flatten(F.array_repeat("items", F.col("times").cast("int")))))).alias("items"))
+    found = ordered.filter(single).select(*keys, "k", "items").unionByName(several)
     matrix = F.explode(F.array(*[F.struct(F.lit(r).alias("representation"), F.lit(t).alias("text_mode")) for r in representations for t in text_modes]))
-    full = listed.withColumn("m", matrix).select("*", "m.*").drop("m")
+    asked = found.withColumn("m", matrix).select("*", "m.*").drop("m")
     labels = F.when(F.col("representation") == "name-only", F.col("items.name")).otherwise(F.transform(F.sequence(F.lit(1), F.size("items")), lambda i: F.format_string("option_%02d", i)))
     texts = F.when(F.col("representation") == "name-only", F.col("items.name")).otherwise(F.col("items.public_description"))
     qid = F.concat_ws("|", "text_mode", "representation", "community_track", "difficulty", F.col("k").cast("string"))
-    return full.select(
+    return asked.select(
         F.concat_ws("|", "post_id", qid).alias("prediction_id"), qid.alias("qid"), "post_id", "target", "text_mode", "representation", "community_track", "difficulty", "k",
         F.col("items.candidate").alias("candidates"), labels.alias("labels"), texts.alias("texts"),
     )

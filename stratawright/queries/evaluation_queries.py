@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratawright.operators import metrics
-from stratawright.session import read_table
+from stratawright.session import read_table, wide
 
 QUERIES, SQL = {}, {}
 
@@ -149,8 +149,8 @@ def M7_evaluate_local(spark, d):
 
     rows = _instances(spark, d)
     asked = mining.questions(rows.select("post_id").distinct(), rows, _pools(spark, d), _named(spark, d), [4, 16], ["name-only"], ["title"])
-    titles = read_table(spark, d, "posts").groupBy("post_id").agg(F.max("title").alias("state"))
-    return score(asked.join(titles, "post_id"), FirstOption()).select("prediction_id", "prediction", "correct", "k", "confidence", "candidate_fingerprint")
+    titles = read_table(spark, d, "posts").select("post_id", "title").repartition(wide(spark), "post_id").groupBy("post_id").agg(F.max("title").alias("state"))
+    return score(asked.join(titles.hint("shuffle_hash"), "post_id"), FirstOption(), together=True).select("prediction_id", "prediction", "correct", "k", "confidence", "candidate_fingerprint")
 
 
 @query()

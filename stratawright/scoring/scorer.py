@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import json
 import time
+from collections import namedtuple
 from collections.abc import Iterator
 from typing import Any, Protocol
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
 from stratawright.session import cut
 
@@ -104,31 +107,35 @@ def normalize_answers(result: dict[str, Any], questions: Questions) -> dict[str,
 def check_limits(scorer: Scorer, questions: Questions) -> None:
     if scorer.max_questions is not None and len(questions) > scorer.max_questions:
         raise ValueError(f"at most {scorer.max_questions} questions at a time, not {len(questions)}")
-    for qid, question in questions.items():
+    for qid, question in questions.items() if scorer.max_options is not None else ():
         n = len(options(question)[0])
-        if scorer.max_options is not None and n > scorer.max_options:
+        if n > scorer.max_options:
             raise ValueError(f"at most {scorer.max_options} options, {qid} has {n}")
 
 
 INSTRUCTION = "Select the community of this post."
 
+#: A question as a worker's task reads it.
+Asked = namedtuple("Asked", "post_id text_mode representation k prediction_id qid target community_track difficulty candidates labels texts state")
+#: How many of its columns tell its batch.
+BATCH = 4
+
 
-def score_batch(scorer: Scorer, rows: pd.DataFrame, instruction: str = INSTRUCTION) -> list[dict[str, Any]]:
+def score_batch(scorer: Scorer, rows: list[Asked], instruction: str = INSTRUCTION) -> list[dict[str, Any]]:
     """Prediction rows of the questions of one post, text mode, representation and K, sent together."""
     import hashlib
 
     questions: Questions = {}
-    for row in rows.itertuples():
-        labels, texts = list(row.labels), list(row.texts)
-        criteria = labels if row.representation == "name-only" else dict(zip(labels, texts, strict=True))
+    for row in rows:
+        criteria = row.labels if row.representation == "name-only" else dict(zip(row.labels, row.texts, strict=True))
         questions[row.qid] = {"type": "choice", "instructions": instruction, "criteria": criteria}
     check_limits(scorer, questions)
-    result, latency = scorer.predict(rows["state"].iloc[0] or "", questions)
+    result, latency = scorer.predict(rows[0].state or "", questions)
     # Whatever else an enveloped answer says is kept, so that nothing needs a rerun for it.
     besides = {k: v for k, v in result.items() if k not in ("answers", "usage", "probability_source", "served_model")} if "answers" in result else {}
     answers, usage, n, out = normalize_answers(result, questions), dict(result.get("usage") or {}), len(questions), []
-    for row in rows.itertuples():
-        answer, labels, candidates = answers[row.qid], list(row.labels), list(row.candidates)
+    for row in rows:
+        answer, labels, candidates = answers[row.qid], row.labels, row.candidates
         shares = public = None
         if answer["probabilities"] is not None:
             raw = [float(answer["probabilities"][x]) for x in labels]
@@ -151,36 +158,43 @@ def score_batch(scorer: Scorer, rows: pd.DataFrame, instruction: str = INSTRUCTI
     return out
 
 
-def score(asked: DataFrame, scorer: Scorer, partitions: int | None = None, instruction: str = INSTRUCTION) -> DataFrame:
+def score(asked: DataFrame, scorer: Scorer, partitions: int | None = None, instruction: str = INSTRUCTION, together: bool = False) -> DataFrame:
     """Predictions of all questions (with the post's text in ``state``).
 
-    Questions of one batch are brought together and sorted, so a task streams through its batches and holds one at a time. A retried
+    Questions of one batch are brought together and sorted, so a task streams through its batches and holds one at a time. ``together``: the plan
+    of ``asked`` has done so in enough partitions; a window asks Spark for the same, which adds an exchange only where it has not. A retried
     task asks again: write the result once before using it, and keep speculation off for this stage.
     """
-    batch = ["post_id", "text_mode", "representation", "k"]
-    n = partitions or 3 * asked.sparkSession.sparkContext.defaultParallelism
-    rows = asked.repartition(n, *batch).sortWithinPartitions(*batch, "qid")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    batch = list(Asked._fields[:BATCH])
+    rows = asked.withColumn("texts", F.when(F.col("representation") != "name-only", F.col("texts"))).select(*Asked._fields)  # names are their own text
+    if together:
+        rows = rows.withColumn("_place", F.row_number().over(Window.partitionBy(*batch).orderBy("qid")))
+    else:
+        rows = rows.repartition(partitions or 3 * asked.sparkSession.sparkContext.defaultParallelism, *batch).sortWithinPartitions(*batch, "qid")
+    schema = to_arrow_schema(_parse_datatype_string(PREDICTION))
+
+    def answered(out: list[dict[str, Any]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([row[f.name] for row in out], f.type, from_pandas=True) for f in schema], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer.open()
         try:
-            held, key = [], None
-            for frame in frames:
+            held: list[Asked] = []
+            for part in batches:
                 out = []
-                for this, part in frame.groupby(batch, sort=False):
-                    if held and this != key:
-                        out += score_batch(scorer, pd.concat(held), instruction)
+                for row in map(Asked, *(part.column(i).to_pylist() for i in range(len(Asked._fields)))):
+                    if held and row[:BATCH] != held[0][:BATCH]:
+                        out += score_batch(scorer, held, instruction)
                         held = []
-                    held.append(part)
-                    key = this
+                    held.append(row)
                 if out:
-                    yield pd.DataFrame(out)
+                    yield answered(out)
             if held:
-                yield pd.DataFrame(score_batch(scorer, pd.concat(held), instruction))
+                yield answered(score_batch(scorer, held, instruction))
         finally:
             scorer.close()
 
-    return rows.mapInPandas(run, PREDICTION)
+    return rows.mapInArrow(run, PREDICTION)
 
 
 def append_predictions(scored: DataFrame, path: str) -> None:

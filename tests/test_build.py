@@ -118,6 +118,37 @@ def test_missing_communities_and_unknown_representations_are_errors(spark):
         mining.questions(rows, rows, pools, known, [2], ["names"], ["title"])
 
 
+def test_questions_of_repeated_rows_and_pools_are_one(spark):
+    """Two rows of one post, target and difficulty, or two pools of one id, give one question that holds the candidates of all."""
+    from stratawright.functions.hashing import sha256_60, stable_uint_py
+
+    schema = "post_id string, target string, community_track string, difficulty string, pool_id string, shuffle_seed long"
+    rows = [("p", "a", "seen", "hard", "x", 5), ("p", "a", "seen", "hard", "y", 6), ("q", "b", "seen", "hard", "x", 7), ("r", "c", "seen", "hard", "z", 8), (None, "c", "seen", "hard", "z", 9)]
+    pools = [("x", ["b", "c", "d"]), ("y", ["d", "c"]), ("z", ["a", "b"]), ("z", ["a", "b"]), ("z", ["d", "a"]), ("w", [])]
+    known = spark.createDataFrame([(c, f"r/{c}", f"about {c}") for c in "abcd"], "community_id string, name string, public_description string")
+    df, pools_df = spark.createDataFrame(rows, schema), spark.createDataFrame(pools, "pool_id string, negative_pool array<string>")
+    want = {}
+    for post, target, _, difficulty, pool, seed in rows[:4]:
+        for name, ids in pools:
+            for k in (2, 3) if name == pool else ():
+                want.setdefault(f"{post}|title|name-only|seen|{difficulty}|{k}", []).extend((stable_uint_py(seed, k, "candidate", c), c) for c in [target, *ids[: k - 1]])
+    got = {r.prediction_id: r for r in mining.questions(df, df, pools_df, known, [2, 3], ["name-only"], ["title"]).collect()}
+    assert {i: r.candidates for i, r in got.items()} == {i: [c for _, c in sorted(x)] for i, x in want.items()} and all(r.labels == [f"r/{c}" for c in r.candidates] for r in got.values())
+    other = mining.questions(df, df, pools_df, known, [2, 3], ["anonymous-id+description"], ["title"], sha256_60).collect()
+    assert len(other) == 6 and all(sorted(r.texts) == sorted(f"about {c}" for c in r.candidates) for r in other)
+    with pytest.raises(Exception, match="pool too small"):
+        mining.questions(df, df, pools_df, known, [4], ["name-only"], ["title"]).collect()
+
+
+def test_pools_beyond_the_held_bytes_are_joined(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"p{i}", "a", "seen", "hard", "x", i) for i in range(9)], "post_id string, target string, community_track string, difficulty string, pool_id string, shuffle_seed long")
+    pools = spark.createDataFrame([("x", ["b", "c"])], "pool_id string, negative_pool array<string>")
+    known = spark.createDataFrame([(c, f"r/{c}", None) for c in "abc"], "community_id string, name string, public_description string")
+    held = sorted(mining.questions(rows, rows, pools, known, [2, 3], ["name-only"], ["title"]).collect())
+    monkeypatch.setattr(mining, "HELD_BYTES", 0)
+    assert sorted(mining.questions(rows, rows, pools, known, [2, 3], ["name-only"], ["title"]).collect()) == held and len(held) == 18
+
+
 def test_similar_pairs_either_way(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(f"c{i}", ("seen", "unseen")[i % 2], rng.normal(size=8).tolist()) for i in range(9)]

@@ -55,3 +55,19 @@ def test_core_queries_match_sql(spark):
         got = sorted(repr(tuple(r[c] for c in columns)) for r in df.collect())
         want = sorted(repr(tuple(r)) for r in con.sql("SELECT " + ", ".join(f'"{c}"' for c in columns) + f" FROM ({sql})").fetchall())
         assert got == want, name
+
+
+def broadcast(df):
+    """Text of the plan below each broadcast."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("\n")
+    depth = [len(x) - len(x.lstrip(" :+-")) for x in lines]
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            yield "\n".join(lines[i : next((j for j in range(i + 1, len(lines)) if depth[j] <= depth[i]), len(lines))])
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_questions_are_never_broadcast(spark):
+    """Spark guesses rows behind an explode by the file they come from, which is small even when the questions are not."""
+    for part in broadcast(entry.queries()["M7_evaluate_local"](spark, DATA)):
+        assert "post_id" not in part
