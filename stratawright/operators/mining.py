@@ -188,8 +188,8 @@ def questions(selected: DataFrame, rows: DataFrame, pools: DataFrame, communitie
 
 
 def remaining(asked: DataFrame, done: DataFrame) -> DataFrame:
-    """Questions without a prediction yet."""
-    return asked.join(done.select("prediction_id"), "prediction_id", "left_anti")
+    """Questions without a prediction yet; both sides are exchanged, because Spark's guess of rows behind an explode would broadcast millions of ids."""
+    return asked.join(done.select("prediction_id").hint("merge"), "prediction_id", "left_anti")
 
 
 def batches(asked: DataFrame) -> DataFrame:

@@ -69,5 +69,6 @@ def broadcast(df):
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_questions_are_never_broadcast(spark):
     """Spark guesses rows behind an explode by the file they come from, which is small even when the questions are not."""
-    for part in broadcast(entry.queries()["M7_evaluate_local"](spark, DATA)):
-        assert "post_id" not in part
+    for name in ("M7_evaluate_local", "J7_J9_remaining"):
+        for part in broadcast(entry.queries()[name](spark, DATA)):
+            assert "post_id" not in part, name
