@@ -46,7 +46,7 @@ def unaccented(text: str) -> str:
     if text.isascii():
         return text
     text = unicodedata.normalize("NFD", text.replace("ı", "i").replace("ł", "l").replace("ø", "o").replace("ß", "ss"))
-    return "".join(c for c in text if not unicodedata.combining(c))
+    return text if text.isascii() else "".join([c for c in text if c < "\u0300" or not unicodedata.combining(c)])
 
 
 #: A common romanisation of Cyrillic.

@@ -129,6 +129,43 @@ def test_every_dictionary_is_tried(classifier):
     assert (name, margin >= language.MARGIN) == ("en", True) and classifier.segment(letters) == ("en", min(1.0, margin / (2 * language.MARGIN)))
 
 
+def test_fields_encode_their_segments_together(classifier, monkeypatch):
+    """Many fields at once give what each gives alone, and no segment is encoded by itself but those told together."""
+    texts = [None, "", "hm", "日本語のテキストはここにあります。 Thanks a lot for that.", "Уже несколько недель пытаюсь выяснить это", *(t + " " + u for t in language.SEEDS.values() for u in list(language.SEEDS.values())[:3])]
+    alone = [classifier.field(t) for t in texts]
+    assert any(alone) and classifier.memory
+    classifier.memory.clear()
+    assert classifier.fields(texts) == alone
+    classifier.memory.clear()
+    segments = list(dict.fromkeys(letters for t in texts for s in language.segments(t) for _, letters in [language.legible(s)] if letters))
+    one_by_one = [classifier.score(x) for x in segments]
+    monkeypatch.setattr(language, "REMEMBERED", len(segments) - 1)
+    classifier.learn([*segments, "one more of them here"])
+    assert [classifier.memory[x] for x in segments] == one_by_one
+    monkeypatch.setattr(classifier, "coders", None)
+    assert [classifier.score(x) for x in segments] == one_by_one
+
+
+def test_texts_end_where_the_expression_ends_them():
+    import random
+
+    draw = random.Random(3)
+    for _ in range(20_000):
+        text = "".join(draw.choices("ab.!?…\"')]» \t\n/|。é", [6, 6, 4, 3, 3, 1, 1, 2, 2, 1, 1, 8, 1, 0.3, 0.3, 0.3, 0.2, 1], k=draw.randrange(24)))
+        assert language.ended(text) == language.ENDS.split(text)
+        letters = re.sub("[^a-z]+", " ", text.lower()).strip()
+        assert not text.isascii() or language.folded(text) == letters
+
+
+def test_wrong_labels_by_every_declaration(spark):
+    long = {name: language.SEEDS[name][:300] for name in ("en", "de", "fr")}
+    posts = spark.createDataFrame([(f"{a}{b}", None, f"{long[a]}\n{long[b]}" if a != b else long[a]) for a in long for b in long] + [("enen", None, long["en"])] * 3, "post_id string, title string, selftext string")
+    communities = spark.createDataFrame([("c", long["fr"])], "community_id string, public_description string")
+    declared = [("post", "enen", "English"), ("post", "enen", "de"), ("post", "dede", "en"), ("post", "dede", "unknown"), ("post", "frfr", "unknown"), ("post", "ende", "en"), ("community", "c", "tlh"), ("community", "c", "fr-CA")]
+    got = {(r.record_id, r.lang) for r in language.wrong_labels(posts, communities, spark.createDataFrame(declared, "record_kind string, record_id string, lang string")).collect()}
+    assert got == {(a + b, x) for a in long for b in long for x in (a, b)} - {("enen", "en")}
+
+
 def test_a_certain_segment_stands_beside_a_doubtful_one():
     first, certain, doubtful = ("e" * 300, "en", 1.0), ("d" * 100, "de", 1.0), ("d" * 20, "de", 0.5)
     assert {name for name, _, _ in language.merge([first, certain, doubtful])} == {"en", "de"}
