@@ -27,12 +27,13 @@ def _blake2b63(values: pd.Series) -> pd.Series:
 
 @F.arrow_udf(T.ArrayType(T.LongType()))
 def _blake2b63_each(starts: pa.Array, lists: pa.Array) -> pa.Array:
-    digests, ends = [], [0]
-    for start, values in zip(starts.to_pylist(), lists.to_pylist(), strict=True):
-        digests += [blake2b(start + v, digest_size=8).digest() for v in values or ()]
-        ends.append(len(digests))
+    values, at, digests = lists.flatten().to_numpy(zero_copy_only=False).tolist(), 0, []
+    sizes = lists.value_lengths().fill_null(0).to_pylist()
+    for start, n in zip(starts.to_numpy(zero_copy_only=False).tolist(), sizes, strict=True):
+        digests += [blake2b(start + v, digest_size=8).digest() for v in values[at : at + n]]
+        at += n
     numbers = np.frombuffer(b"".join(digests), ">u8") & np.uint64(MASK)
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(numbers.astype(np.int64)))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(numbers.astype(np.int64)))
 
 
 def joined(*parts: Column | str | int) -> Column:

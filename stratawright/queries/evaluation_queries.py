@@ -150,7 +150,7 @@ def M7_evaluate_local(spark, d):
     rows = _instances(spark, d)
     asked = mining.questions(rows.select("post_id").distinct(), rows, _pools(spark, d), _named(spark, d), [4, 16], ["name-only"], ["title"])
     titles = read_table(spark, d, "posts").select("post_id", "title").repartition(wide(spark), "post_id").groupBy("post_id").agg(F.max("title").alias("state"))
-    return score(asked.join(titles.hint("shuffle_hash"), "post_id"), FirstOption(), together=True).select("prediction_id", "prediction", "correct", "k", "confidence", "candidate_fingerprint")
+    return score(asked.join(titles.hint("shuffle_hash"), "post_id"), FirstOption(), together=True, columns=["prediction_id", "prediction", "correct", "k", "confidence", "candidate_fingerprint"])
 
 
 @query()

@@ -62,6 +62,18 @@ def test_answers_keep_response_model_and_instruction(spark):
     assert score(asked(spark, 1), WordOverlap()).first().response is None
 
 
+def test_chosen_columns_and_posts_together(spark):
+    """Fewer columns, and questions that a window brings together, give the same predictions; lists come from Arrow as they are."""
+    import pyarrow as pa
+
+    names = ["prediction_id", "candidates", "confidence", "batch_questions"]
+    want = sorted(tuple(r) for r in score(asked(spark, 5), WordOverlap()).select(*names).collect())
+    got = score(asked(spark, 5), WordOverlap(), together=True, columns=names)
+    assert got.columns == names and sorted(tuple(r) for r in got.collect()) == want and len(want) == 10 and {w[3] for w in want} == {2}
+    values = [["a", None, "c"], None, [], ["ß"]]
+    assert scorer.listed(pa.array([["x"], *values]).slice(1)) == values and scorer.listed(pa.array(["a", None])) == ["a", None]
+
+
 def test_commits_in_chunks_and_resumes(spark, tmp_path, monkeypatch):
     path, done = str(tmp_path / "predictions.jsonl"), []
     keep = scorer.append_predictions
